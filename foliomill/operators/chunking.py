@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliomill import config
+from foliomill.functions.plan import pinned
 
 PARAGRAPH_BREAK = r"\n{2,}"
 JOINER = "\n\n"
@@ -51,7 +52,7 @@ def chunk_text(
         end = F.coalesce(F.get(starts, i + 1), F.size(paragraphs) + 1)
         return F.array_join(F.slice(paragraphs, start, end - start), JOINER)
 
-    split = docs.withColumn("_paragraphs", F.when(is_long, F.split(F.col(text), separator, -1)))
-    placed = split.withColumn("_starts", F.when(is_long, _chunk_starts(paragraphs, max_chars)))
+    split = pinned(docs, _paragraphs=F.when(is_long, F.split(F.col(text), separator, -1)))
+    placed = pinned(split, _starts=F.when(is_long, _chunk_starts(paragraphs, max_chars)))
     chunks = F.when(is_long, F.transform(starts, paragraphs_from)).otherwise(F.array(F.col(text)))
-    return placed.select(*rest, F.posexplode(chunks).alias("chunk_no", "chunk"))
+    return pinned(placed, _chunks=chunks).select(*rest, F.posexplode("_chunks").alias("chunk_no", "chunk"))

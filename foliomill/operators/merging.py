@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliomill import config
+from foliomill.functions.plan import pinned
 from foliomill.operators.repair import REJECTED
 from foliomill.schemas import ITEM_LISTS, NOTE_LISTS, RECORD, RECORD_FIELDS, spark_type
 
@@ -63,27 +64,27 @@ def exploded_items(chunks: DataFrame) -> DataFrame:
 
     ``repeated`` marks an item whose key occurs earlier in the same list of the same chunk.
     """
-    chunk = _ok(chunks)
-    kinds = []
-    for kind, name in ITEM_LISTS.items():
-        items = F.col(f"record.{kind}")
-        keys = F.transform(items, lambda item, name=name: item_key(item[name]))
-
-        def tagged(item: Column, i: Column, kind: str = kind, name: str = name, keys: Column = keys) -> Column:
-            key = item_key(item[name])
-            return F.struct(
-                F.lit(kind).alias("kind"),
-                key.alias("key"),
-                i.alias("ordinal"),
-                (F.array_position(keys, key) != i + 1).alias("repeated"),
-                *[
-                    (item if other == kind else F.lit(None).cast(spark_type(RECORD_FIELDS[other]).elementType)).alias(other)
-                    for other in ITEM_LISTS
-                ],
-            )
-
-        kinds.append(F.transform(items, tagged))
-    return chunk.select("paper_id", "chunk_no", F.inline(F.concat(*kinds)))
+    tagged = F.concat(*[_tagged(kind, name) for kind, name in ITEM_LISTS.items()])
+    return pinned(_ok(chunks), _items=tagged).select("paper_id", "chunk_no", F.inline("_items"))
+
+
+def _tagged(kind: str, name: str) -> Column:
+    """The chunk's items of one kind with kind, key, position and whether the key was seen before."""
+    items = F.col(f"record.{kind}")
+    keys = F.transform(items, lambda item: item_key(item[name]))
+
+    def tag(item: Column, i: Column) -> Column:
+        key = item_key(item[name])
+        no_item = {other: F.lit(None).cast(spark_type(RECORD_FIELDS[other]).elementType) for other in ITEM_LISTS}
+        return F.struct(
+            F.lit(kind).alias("kind"),
+            key.alias("key"),
+            i.alias("ordinal"),
+            (F.array_position(keys, key) != i + 1).alias("repeated"),
+            *[(item if other == kind else nothing).alias(other) for other, nothing in no_item.items()],
+        )
+
+    return F.transform(items, tag)
 
 
 def merged_items(chunks: DataFrame, scalars: DataFrame) -> DataFrame:
@@ -106,11 +107,11 @@ def merged_items(chunks: DataFrame, scalars: DataFrame) -> DataFrame:
 
 def merged_notes(chunks: DataFrame) -> DataFrame:
     """Per paper the sorted union of each list of notes."""
-    each = [
-        F.transform(F.col(f"record.{name}"), lambda note, name=name: F.struct(F.lit(name).alias("kind"), note.alias("note")))
-        for name in NOTE_LISTS
-    ]
-    notes = _ok(chunks).select("paper_id", F.inline(F.concat(*each))).distinct()
+    def tagged(name: str) -> Column:
+        return F.transform(F.col(f"record.{name}"), lambda note: F.struct(F.lit(name).alias("kind"), note.alias("note")))
+
+    tagged_notes = pinned(_ok(chunks), _notes=F.concat(*[tagged(name) for name in NOTE_LISTS]))
+    notes = tagged_notes.select("paper_id", F.inline("_notes")).distinct()
     return notes.groupBy("paper_id").agg(
         *[F.array_sort(F.collect_list(F.when(F.col("kind") == name, F.col("note")))).alias(name) for name in NOTE_LISTS]
     )

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliomill import config
+from foliomill.functions.plan import pinned
 from foliomill.functions.text import WS, strip
 from foliomill.schemas import ITEM_LISTS, NOTE_LISTS, RECORD, RECORD_FIELDS, Field, spark_type
 
@@ -41,15 +42,15 @@ def decode_responses(df: DataFrame, raw: str = "raw") -> DataFrame:
     """
     text = F.col("_text")
     span = F.regexp_extract(text, BRACE_SPAN, 0)
-    df = df.withColumn("_text", strip_fences(F.coalesce(F.col(raw), F.lit(""))))
-    df = df.withColumn("decoded", F.coalesce(F.try_parse_json(text), F.try_parse_json(span)))
+    df = pinned(df, _text=strip_fences(F.coalesce(F.col(raw), F.lit(""))))
+    df = pinned(df, decoded=F.coalesce(F.try_parse_json(text), F.try_parse_json(span)))
     reason = (
         F.when(text == "", F.lit("empty response"))
         .when(F.col("decoded").isNull() & (span == ""), F.lit("no JSON found"))
         .when(F.col("decoded").isNull(), F.lit("invalid JSON"))
         .when(~F.expr(_is_object("decoded")), F.lit("not an object"))
     )
-    return df.withColumn("reject_reason", reason).drop("_text")
+    return pinned(df, reject_reason=reason).drop("_text")
 
 
 # --- SQL of the checks; every helper takes and returns SQL text ------------------------------
@@ -184,12 +185,10 @@ NO_LABELS = "CAST(array() AS ARRAY<STRING>)"
 
 def validate_records(df: DataFrame) -> DataFrame:
     """Adds ``violations`` (sorted distinct labels; null for a rejected row) and the working column ``shaped``."""
-    # Shaping inside a one-item transform keeps the lookups from being inlined into every use.
-    shaped = f"get(transform(array(decoded), answer -> {_shape('answer', RECORD)}), 0)"
-    df = df.withColumn("shaped", F.when(F.col("reject_reason").isNull(), F.expr(shaped)))
+    df = pinned(df, shaped=F.when(F.col("reject_reason").isNull(), F.expr(_shape("decoded", RECORD))))
     blank_summary = f"CASE WHEN NOT ({_get('shaped.summary', 'string')} RLIKE r'[^{WS}]') THEN 'summary' END"
     problems = f"array_sort(array_distinct(array_append({_problems('shaped', RECORD)}, {blank_summary})))"
-    return df.withColumn("violations", F.when(F.col("shaped").isNotNull(), F.array_compact(F.expr(problems))))
+    return pinned(df, violations=F.when(F.col("shaped").isNotNull(), F.array_compact(F.expr(problems))))
 
 
 def recover_records(df: DataFrame) -> DataFrame:
@@ -208,9 +207,9 @@ def recover_records(df: DataFrame) -> DataFrame:
         for name in [*ITEM_LISTS, *NOTE_LISTS]
     ]
     fillable = F.array_compact(F.array(*not_lists, F.when(no_summary, F.lit("summary"))))
-    df = df.withColumn(
-        "outcome",
-        F.when(F.col("reject_reason").isNotNull(), F.lit(REJECTED))
+    df = pinned(
+        df,
+        outcome=F.when(F.col("reject_reason").isNotNull(), F.lit(REJECTED))
         .when(F.size(broken) == 0, F.lit(VALID))
         .when(F.size(F.array_except(broken, fillable)) == 0, F.lit(RECOVERED))
         .otherwise(F.lit(MINIMAL)),
@@ -242,7 +241,7 @@ def recover_records(df: DataFrame) -> DataFrame:
         return own
 
     record = F.struct(*[settled(field).alias(field.name) for field in RECORD])
-    return df.withColumn("record", F.when(outcome != REJECTED, record)).drop("shaped")
+    return pinned(df, record=F.when(outcome != REJECTED, record)).drop("shaped")
 
 
 def repair_responses(df: DataFrame, raw: str = "raw") -> DataFrame:
