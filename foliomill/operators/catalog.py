@@ -137,10 +137,14 @@ def extraction_flags(records: DataFrame) -> DataFrame:
     )
 
 
-def paper_detail(papers: DataFrame, journals: DataFrame, links: DataFrame, authors: DataFrame, ids: list[str]) -> DataFrame:
-    """Everything about the given papers, with authors and positions and what output is available."""
-    chosen = papers.where(F.col("paper_id").isin(ids)).drop("raw_text")
-    named = links.where(F.col("paper_id").isin(ids)).join(authors.select("author_id", "full_name"), "author_id")
+def paper_detail(
+    papers: DataFrame, journals: DataFrame, links: DataFrame, authors: DataFrame, ids: list | None = None
+) -> DataFrame:
+    """Everything about the given papers (or all), with authors and positions and what output is available."""
+    chosen = papers.drop("raw_text")
+    if ids is not None:
+        chosen, links = chosen.where(F.col("paper_id").isin(ids)), links.where(F.col("paper_id").isin(ids))
+    named = links.join(authors.select("author_id", "full_name"), "author_id")
     people = named.groupBy("paper_id").agg(
         F.array_sort(F.collect_list(F.struct("position", F.col("full_name").alias("name")))).alias("authors")
     )

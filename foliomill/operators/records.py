@@ -124,18 +124,25 @@ def extraction_report(records: DataFrame) -> DataFrame:
     )
 
 
-def nest(children: dict[str, DataFrame], keys: list[str], order: str = "ordinal", part_size: int = config.PART_SIZE) -> DataFrame:
+def nest(
+    children: dict[str, DataFrame],
+    keys: list[str],
+    order: str = "ordinal",
+    part_size: int = config.PART_SIZE,
+    part: str | None = None,
+) -> DataFrame:
     """Child tables folded into one list each: a row per key and ``part_no``, in one shuffle.
 
     Part 0 holds positions below ``part_size``, part 1 the next, and so on, so that no list grows
-    without bound; an ordinary record is a single part.
+    without bound; an ordinary record is a single part.  Where positions are not plain numbers,
+    ``part`` names a column that holds the part.
     """
-    part = F.floor(F.col(order) / part_size).cast("bigint")
+    part_no = F.floor(F.col(order) / part_size).cast("bigint") if part is None else F.col(part)
     tagged = []
     for name, rows in children.items():
-        fields = [c for c in rows.columns if c not in (*keys, order)]
+        fields = [c for c in rows.columns if c not in (*keys, order, part)]
         item = F.struct(F.col(order), *fields)
-        tagged.append(rows.select(*keys, part.alias("part_no"), item.alias(name)))
+        tagged.append(rows.select(*keys, part_no.alias("part_no"), item.alias(name)))
     together = tagged[0]
     for rows in tagged[1:]:
         together = together.unionByName(rows, allowMissingColumns=True)
@@ -144,10 +151,11 @@ def nest(children: dict[str, DataFrame], keys: list[str], order: str = "ordinal"
     )
 
 
-def record_detail(records: DataFrame, children: dict[str, DataFrame], part_size: int = config.PART_SIZE) -> DataFrame:
+def record_detail(records: DataFrame, children: dict[str, DataFrame], **parts) -> DataFrame:
     """Canonical records with their child lists (see ``nest`` for the parts of very long lists)."""
     head = canonical(records)
-    nested = nest(children, ["record_id"], part_size=part_size)
+    mine = {name: rows.join(head.select("record_id"), "record_id", "left_semi") for name, rows in children.items()}
+    nested = nest(mine, ["record_id"], **parts)
     joined = head.join(nested, "record_id", "left")
     lists = {name: F.coalesce(F.col(name), F.array().cast(nested.schema[name].dataType)) for name in children}
     return joined.withColumns({"part_no": F.coalesce("part_no", F.lit(0).cast("bigint")), **lists})

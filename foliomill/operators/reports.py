@@ -54,7 +54,7 @@ def _row(*cells: Column) -> Column:
 
 
 def _confidence(value: Column) -> Column:
-    return F.coalesce(F.format_string("%.2f", value), F.lit(NOT_GIVEN))
+    return F.when(value.isNotNull(), F.format_string("%.2f", value)).otherwise(F.lit(NOT_GIVEN))
 
 
 def _value(item: Column) -> Column:
