@@ -313,7 +313,7 @@ def file_quality(t):
 
 @query(
     "item_rules",
-    """SELECT record_id, l_linenumber, l_partkey, l_suppkey, (confidence IS NULL OR confidence BETWEEN 0 AND 1) AS confidence_ok,
+    """SELECT record_id, l_linenumber, l_partkey, l_suppkey, l_shipdate, (confidence IS NULL OR confidence BETWEEN 0 AND 1) AS confidence_ok,
  variable_role IN ('input', 'output', 'contextual') AS role_ok, trim(coalesce(value_text, '')) <> '' AS text_given FROM conditions""",
     ("conditions",),
 )

@@ -270,7 +270,7 @@ RESULT_EXPR = {
     "needs_review": "l_quantity > 40",
 }
 # Position of a value within its record; the order is total.
-ORDINAL = "struct(l_linenumber, l_partkey, l_suppkey) AS ordinal"
+ORDINAL = "struct(l_linenumber, l_partkey, l_suppkey, l_shipdate) AS ordinal"
 
 
 def _of_lineitem(expressions: dict[str, str]) -> list[str]:
@@ -292,7 +292,7 @@ def results(t) -> DataFrame:
 for _name, _exprs in (("conditions", CONDITION_EXPR), ("results", RESULT_EXPR)):
     SQL[_name] = (
         "SELECT l_orderkey AS record_id, l_orderkey AS paper_id, "
-        "row(l_linenumber, l_partkey, l_suppkey) AS ordinal, l_linenumber, l_partkey, l_suppkey, "
+        "row(l_linenumber, l_partkey, l_suppkey, l_shipdate) AS ordinal, l_linenumber, l_partkey, l_suppkey, l_shipdate, "
         + ", ".join(_of_lineitem(_exprs))
         + " FROM lineitem"
     )
@@ -339,7 +339,7 @@ def materials(t) -> DataFrame:
 
 
 SQL["materials"] = """
-SELECT l_orderkey AS record_id, l_orderkey AS paper_id, row(l_linenumber, l_partkey, l_suppkey) AS ordinal, p_brand AS name,
+SELECT l_orderkey AS record_id, l_orderkey AS paper_id, row(l_linenumber, l_partkey, l_suppkey, l_shipdate) AS ordinal, p_brand AS name,
  p_name AS composition, CASE WHEN p_type <> 'ECONOMY' THEN p_type END AS substrate, p_type AS crystal_structure
 FROM lineitem JOIN part ON p_partkey = l_partkey"""
 
