@@ -3,57 +3,122 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from urllib.parse import quote
 
-import pandas as pd
+import pyarrow as pa
+from pyarrow.fs import FileSystem, LocalFileSystem
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliomill import config
 from foliomill.functions import text as tx
+from foliomill.functions.plan import pinned
 
 NATIVE, OCR, HYBRID = "native", "ocr", "hybrid"
 PAGE_SEPARATOR = "\n\n"
-PAGE_ROWS = "paper_id string, page_number int, native_text string, ocr_text string, meta map<string,string>, error string"
+# What a page reader's job returns: one row per file, so pages never leave the task that read them.
+FILE_ROWS = (
+    "paper_id string, meta map<string,string>, "
+    "pages array<struct<page_number int, native_text string, ocr_text string>>, error string"
+)
 
-PageReader = Callable[[str, bytes], Iterator[dict]]
+# A page reader gets a file's bytes and yields dicts with "page_number", "native_text", optionally
+# "ocr_text" (a text, or a function called only for pages with little text) and "meta" (of the file).
+PageReader = Callable[[bytes], Iterator[dict]]
 
 
-def read_pages(files: DataFrame, page_reader: PageReader) -> DataFrame:
-    """Runs the given reader on each file (``paper_id, content``); a bad file gives one row with its error.
+def read_bytes(path: str) -> bytes:
+    """Content of a file on any filesystem Arrow knows."""
+    scheme, colon, rest = path.partition(":")
+    uri = f"{scheme}://{quote('/' + rest.lstrip('/'))}" if colon and scheme == "file" else quote(path, safe=":/")
+    filesystem, inner = (FileSystem.from_uri(uri)) if colon else (LocalFileSystem(), path)
+    with filesystem.open_input_stream(inner) as stream:
+        return stream.read()
 
-    The reader yields one dict per page with ``page_number``, ``native_text``, ``ocr_text`` and ``meta``.
+
+def _page(page: dict, threshold: int) -> dict:
+    native, ocr = page.get("native_text") or "", page.get("ocr_text")
+    if callable(ocr):
+        ocr = ocr() if len(native.strip()) < threshold else None
+    return {"page_number": page["page_number"], "native_text": native, "ocr_text": ocr}
+
+
+def read_pages(files: DataFrame, page_reader: PageReader, threshold: int = config.OCR_MIN_CHARS) -> DataFrame:
+    """Runs the reader on each file (``paper_id, path``); a bad file gives a row with its error.
+
+    Each task opens its own files, so their bytes are neither shuffled nor kept.
     """
-    names = ["page_number", "native_text", "ocr_text", "meta", "error"]
 
-    def pages_of(paper_id: str, content: bytes) -> list[dict]:
+    def read(paper_id: str, path: str) -> dict:
+        row: dict = {"paper_id": paper_id, "meta": None, "pages": [], "error": None}
         try:
-            return list(page_reader(paper_id, bytes(content)))
+            for page in page_reader(read_bytes(path)):
+                row["meta"] = row["meta"] or page.get("meta")
+                row["pages"].append(_page(page, threshold))
         except Exception as failure:  # noqa: BLE001 - any failure of a file is that file's outcome
-            return [{"error": f"Parse error: {failure}"}]
+            row["error"] = f"Parse error: {failure}"
+        return row
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for paper_id, content in zip(batch["paper_id"], batch["content"]):
-                pages = pages_of(paper_id, content)
-                if pages:
-                    rows = pd.DataFrame(pages).reindex(columns=names)
-                    rows["page_number"] = rows["page_number"].astype("Int32")
-                    rows = rows.astype(object).where(rows.notna(), None)
-                    yield rows.assign(paper_id=paper_id)[["paper_id", *names]]
-
-    return files.select("paper_id", "content").mapInPandas(run, PAGE_ROWS)
+            for file in batch.to_pylist():
+                yield pa.RecordBatch.from_pylist([read(file["paper_id"], file["path"])], schema=ARROW_FILE_ROWS)
+
+    return files.select("paper_id", "path").mapInArrow(run, FILE_ROWS)
+
+
+ARROW_FILE_ROWS = pa.schema(
+    {
+        "paper_id": pa.string(),
+        "meta": pa.map_(pa.string(), pa.string()),
+        "pages": pa.list_(
+            pa.struct({"page_number": pa.int32(), "native_text": pa.string(), "ocr_text": pa.string()})
+        ),
+        "error": pa.string(),
+    }
+)
+
+
+def page_method(native: Column, ocr: Column, threshold: int = config.OCR_MIN_CHARS) -> Column:
+    """``ocr`` where the page's own text is short and the recognised text is longer, else ``native``."""
+    native_len = F.length(tx.strip(F.coalesce(native, F.lit(""))))
+    use_ocr = (native_len < threshold) & (F.length(tx.strip(ocr)) > native_len)
+    return F.when(F.coalesce(use_ocr, F.lit(False)), F.lit(OCR)).otherwise(F.lit(NATIVE))
+
+
+def documents_of(files: DataFrame, threshold: int = config.OCR_MIN_CHARS) -> DataFrame:
+    """Documents from ``read_pages`` rows without a shuffle: text, page count, method, first page, metadata."""
+
+    def choose(page: Column) -> Column:
+        method = page_method(page["native_text"], page["ocr_text"], threshold)
+        native = F.coalesce(page["native_text"], F.lit(""))
+        return F.struct(
+            page["page_number"].alias("page_number"),
+            F.when(method == OCR, page["ocr_text"]).otherwise(native).alias("text"),
+            method.alias("method"),
+        )
+
+    chosen = pinned(files, _pages=F.array_sort(F.transform("pages", choose)))
+    methods = F.array_distinct(F.col("_pages.method"))
+    return chosen.select(
+        "paper_id",
+        F.array_join(F.col("_pages.text"), PAGE_SEPARATOR).alias("text"),
+        F.size("_pages").cast("bigint").alias("page_count"),
+        F.when(F.size(methods) > 1, F.lit(HYBRID)).otherwise(F.coalesce(F.get(methods, F.lit(0)), F.lit(NATIVE))).alias(
+            "parse_method"
+        ),
+        F.coalesce(F.get("_pages.text", F.lit(0)), F.lit("")).alias("first_page"),
+        F.coalesce("meta", F.create_map().cast("map<string,string>")).alias("meta"),
+        "error",
+    )
 
 
 def choose_page_text(pages: DataFrame, threshold: int = config.OCR_MIN_CHARS) -> DataFrame:
-    """Adds ``text``, ``method`` and ``word_count``: recognised text replaces the page's own text only
-    where that is short and the recognised text is longer."""
+    """Adds ``method``, ``text`` and ``word_count`` to page rows with ``native_text`` and ``ocr_text``."""
     native = F.coalesce("native_text", F.lit(""))
-    native_len, ocr_len = F.length(tx.strip(native)), F.length(tx.strip(F.col("ocr_text")))
-    use_ocr = F.coalesce((native_len < threshold) & (ocr_len > native_len), F.lit(False))
-    return (
-        pages.withColumn("method", F.when(use_ocr, F.lit(OCR)).otherwise(F.lit(NATIVE)))
-        .withColumn("text", F.when(F.col("method") == OCR, F.col("ocr_text")).otherwise(native))
-        .withColumn("word_count", tx.word_count(F.col("text")))
+    chosen = pinned(pages, method=page_method(F.col("native_text"), F.col("ocr_text"), threshold))
+    return chosen.withColumn("text", F.when(F.col("method") == OCR, F.col("ocr_text")).otherwise(native)).withColumn(
+        "word_count", tx.word_count(F.col("text"))
     )
 
 
@@ -103,13 +168,6 @@ def assemble_document(pages: DataFrame, key: str = "paper_id", page: str = "page
     )
 
 
-def first_pages(pages: DataFrame) -> DataFrame:
-    """Text of the first page and the file metadata, per document."""
-    return pages.groupBy("paper_id").agg(
-        F.min_by("text", "page_number").alias("first_page"), F.min_by("meta", "page_number").alias("meta")
-    )
-
-
 def mine_metadata(docs: DataFrame) -> DataFrame:
     """Adds title, doi, year, abstract and authors; expects ``text, first_page, meta``."""
     text, meta = F.col("text"), F.col("meta")
@@ -122,29 +180,21 @@ def mine_metadata(docs: DataFrame) -> DataFrame:
     )
 
 
-def parse_outcome(docs: DataFrame, failures: DataFrame | None = None) -> DataFrame:
-    """Adds ``parse_error`` and ``status``: blank text and reader failures count as failed.
+EMPTY_TEXT = "PDF parsing yielded empty text"
 
-    ``failures`` holds ``paper_id, error`` of files the reader could not open.
-    """
-    if failures is not None:
-        errors = failures.groupBy("paper_id").agg(F.min("error").alias("_reader_error"))
-        docs = docs.join(errors, "paper_id", "full")
-    else:
-        docs = docs.withColumn("_reader_error", F.lit(None).cast("string"))
-    blank = F.when(tx.is_blank(F.col("text")), F.lit("PDF parsing yielded empty text"))
-    error = F.coalesce("_reader_error", blank)
-    return (
-        docs.withColumn("parse_error", error)
-        .withColumn("status", F.when(F.col("parse_error").isNull(), F.lit("parsed")).otherwise(F.lit("failed")))
-        .drop("_reader_error")
-    )
+
+def parse_outcome(docs: DataFrame) -> DataFrame:
+    """Adds ``parse_error`` and ``status``: a reader's error (column ``error``, if any) or blank text is a failure."""
+    reader_error = F.col("error") if "error" in docs.columns else F.lit(None).cast("string")
+    blank = F.when(tx.is_blank(F.col("text")), F.lit(EMPTY_TEXT))
+    settled = pinned(docs, parse_error=F.coalesce(reader_error, blank))
+    return settled.withColumn("status", F.when(F.col("parse_error").isNull(), F.lit("parsed")).otherwise(F.lit("failed")))
 
 
 def require_text(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFrame]:
     """Documents with text, and the blank ones with a reason."""
     blank = tx.is_blank(F.col(text))
-    return docs.where(~blank), docs.where(blank).withColumn("parse_error", F.lit("PDF parsing yielded empty text"))
+    return docs.where(~blank), docs.where(blank).withColumn("parse_error", F.lit(EMPTY_TEXT))
 
 
 def parse_stats(docs: DataFrame) -> DataFrame:

@@ -10,27 +10,29 @@ from dataclasses import dataclass
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliomill.schemas import CONDITION, MATERIAL, METHOD, RESULT, RECORD_TYPE, struct_type
+from foliomill.schemas import RECORD_TYPE
 
+# Layouts, needed to read a table that was not written yet.
 FILE = "file_hash string, paper_id string, original_filename string, file_path string, file_size_bytes bigint"
 PARSED = (
-    "paper_id string, parsed_at timestamp, title string, doi string, abstract string, publication_year int, "
-    "authors array<string>, page_count bigint, raw_text string, parse_method string, parse_error string"
+    "paper_id string, title string, doi string, abstract string, publication_year int, authors array<string>, "
+    "page_count bigint, parse_method string, raw_text string, parse_error string, status string, parsed_at timestamp"
 )
+PROMPT = "paper_id string, chunk_no int, prompt_hash string, chunk string"
 RAW = (
-    "paper_id string, chunk_no int, prompt_hash string, called_at timestamp, response string, error string, "
-    "error_class string, attempts int, elapsed_s double, input_tokens bigint, output_tokens bigint"
+    "paper_id string, chunk_no int, prompt_hash string, response string, error string, error_class string, "
+    "attempts int, elapsed_s double, input_tokens bigint, output_tokens bigint, called_at timestamp"
 )
-CHUNK_RECORDS = T.StructType(
+MERGED = T.StructType(
     [
         T.StructField("paper_id", T.StringType()),
-        T.StructField("chunk_no", T.IntegerType()),
-        T.StructField("outcome", T.StringType()),
-        T.StructField("reject_reason", T.StringType()),
+        T.StructField("n_chunks", T.LongType()),
+        T.StructField("n_failed", T.LongType()),
+        T.StructField("error", T.StringType()),
         T.StructField("record", RECORD_TYPE),
+        T.StructField("extracted_at", T.TimestampType()),
     ]
 )
 
@@ -52,11 +54,12 @@ class Lake:
         return self.spark.read.schema(rows.schema).parquet(folder)
 
     def read(self, table: str, schema: T.StructType | str) -> DataFrame:
-        """All runs of a table; empty if it was never written."""
+        """All runs of a table; empty if it was never written.  ``run`` is there if the schema names it."""
+        empty = self.spark.createDataFrame([], schema)
         try:
-            found = self.spark.read.schema(schema).parquet(f"{self.path(table)}/run=*")
+            found = self.spark.read.schema(schema).parquet(self.path(table))
         except AnalysisException as missing:
             if missing.getCondition() != "PATH_NOT_FOUND":
                 raise
-            return self.spark.createDataFrame([], schema)
-        return found
+            return empty
+        return found.select(*empty.columns)
