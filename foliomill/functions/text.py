@@ -9,6 +9,9 @@ from foliomill import config
 
 # Patterns.  WS lists the whitespace a Unicode-aware strip removes.
 WS = r"\t-\r\x1c-\x1f\x85\p{Z}"
+WS_CHARS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(
+    chr(c) for c in range(0x2000, 0x200B)
+)
 DOI = r"(?iU)\b(10\.[0-9]{4,9}/[-._;()/:A-Z0-9a-z]+)"
 DOI_TRAILING = ".,;)>"
 YEAR_IN_DATE = r"((?:19|20)[0-9]{2})"
@@ -18,7 +21,7 @@ ABSTRACT = r"(?is)abstract[:\s]*\n?(.*?)(?:\n\n|\n(?:Keywords|Introduction|1\.))
 
 def strip(text: Column) -> Column:
     """``text`` without leading and trailing whitespace of any kind."""
-    return F.regexp_replace(text, f"^[{WS}]+|[{WS}]+$", "")
+    return F.btrim(text, F.lit(WS_CHARS))
 
 
 def is_blank(text: Column) -> Column:

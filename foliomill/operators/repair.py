@@ -2,8 +2,8 @@
 
 The checks are generated from the contract in ``schemas`` as SQL expressions over the decoded
 variant, so they run inside the JVM.  They work on a "shaped" copy of the answer in which every
-field was looked up once: a scalar is a variant, an object is ``{raw, fields}`` and a list is
-``{raw, items: [{raw, fields}]}``.
+field was looked up once: a scalar is a variant, an object is ``{raw, ok, fields}`` and a list is
+``{raw, items: [{ok, fields}]}``, where ``ok`` says that it is an object.
 """
 
 from __future__ import annotations
@@ -43,14 +43,17 @@ def decode_responses(df: DataFrame, raw: str = "raw") -> DataFrame:
     text = F.col("_text")
     span = F.regexp_extract(text, BRACE_SPAN, 0)
     df = pinned(df, _text=strip_fences(F.coalesce(F.col(raw), F.lit(""))))
-    df = pinned(df, decoded=F.coalesce(F.try_parse_json(text), F.try_parse_json(span)))
+    df = pinned(df, decoded=F.try_parse_json(text))
+    # What the span gives always is an object; the whole text may also be a list or a single value.
+    df = df.withColumn("_other", F.col("decoded").isNotNull() & ~text.startswith("{"))
+    df = pinned(df, decoded=F.coalesce("decoded", F.try_parse_json(span)))
     reason = (
         F.when(text == "", F.lit("empty response"))
         .when(F.col("decoded").isNull() & (span == ""), F.lit("no JSON found"))
         .when(F.col("decoded").isNull(), F.lit("invalid JSON"))
-        .when(~F.expr(_is_object("decoded")), F.lit("not an object"))
+        .when(F.col("_other"), F.lit("not an object"))
     )
-    return pinned(df, reject_reason=reason).drop("_text")
+    return pinned(df, reject_reason=reason).drop("_text", "_other")
 
 
 # --- SQL of the checks; every helper takes and returns SQL text ------------------------------
@@ -92,9 +95,9 @@ def _shape(value: str, fields: tuple[Field, ...], path: str = "$") -> str:
         here = f"{path}.{field.name}"
         raw = _get(value, "variant", here)
         if field.kind == "object":
-            shaped = f"named_struct('raw', {raw}, 'fields', {_shape(value, field.of, here)})"
+            shaped = f"named_struct('raw', {raw}, 'ok', {_is_object(raw)}, 'fields', {_shape(value, field.of, here)})"
         elif field.kind == "list":
-            item = f"item -> named_struct('raw', item, 'fields', {_shape('item', field.of)})"
+            item = f"item -> named_struct('ok', {_is_object('item')}, 'fields', {_shape('item', field.of)})"
             shaped = f"named_struct('raw', {raw}, 'items', transform({_get(value, 'array<variant>', here)}, {item}))"
         else:
             shaped = raw
@@ -121,7 +124,7 @@ def _typed(at: str, field: Field) -> str:
         "strs": lambda: f"transform({array}, x -> CASE WHEN {_is_string('x')} THEN {_get('x', 'string')} END)",
         "ints": lambda: f"transform({array}, x -> {_whole_number('x')})",
         "map": lambda: f"CASE WHEN {_is_object(value)} THEN to_json({value}) END",
-        "object": lambda: f"CASE WHEN {_is_object(value)} THEN {_typed_struct(here + '.fields', field.of)} END",
+        "object": lambda: f"CASE WHEN {here}.ok THEN {_typed_struct(here + '.fields', field.of)} END",
         "list": lambda: f"transform({here}.items, item -> {_typed_struct('item.fields', field.of)})",
     }[field.kind]()
     if field.default is not None:
@@ -139,8 +142,10 @@ def _fits(at: str, field: Field) -> str:
     """True when a given value has the right type and lies within its bounds."""
     value = _raw(at, field)
     if field.kind == "list":
-        return _is_array(value)
-    if field.kind in ("object", "map"):
+        return f"({at}.{field.name}.items IS NOT NULL)"
+    if field.kind == "object":
+        return f"{at}.{field.name}.ok"
+    if field.kind == "map":
         return _is_object(value)
     if field.kind in ("strs", "ints"):
         item = _is_string("x") if field.kind == "strs" else f"({_whole_number('x')}) IS NOT NULL"
@@ -169,10 +174,10 @@ def _problems(at: str, fields: tuple[Field, ...], label: str = "") -> str:
         own.append(f"CASE WHEN {broken} THEN '{name}' END")
         if field.kind == "object":
             inner = _problems(f"{at}.{field.name}.fields", field.of, name + ".")
-            nested.append(f"CASE WHEN {_is_object(value)} THEN {inner} ELSE {NO_LABELS} END")
+            nested.append(f"CASE WHEN {at}.{field.name}.ok THEN {inner} ELSE {NO_LABELS} END")
         elif field.kind == "list":
             inner = _problems("item.fields", field.of, name + "[].")
-            each = f"item -> CASE WHEN {_is_object('item.raw')} THEN {inner} ELSE array('{name}[]') END"
+            each = f"item -> CASE WHEN item.ok THEN {inner} ELSE array('{name}[]') END"
             nested.append(f"coalesce(flatten(transform({at}.{field.name}.items, {each})), {NO_LABELS})")
     return f"concat({', '.join([f'array_compact(array({chr(44).join(own)}))', *nested])})"
 
@@ -183,65 +188,71 @@ NO_LABELS = "CAST(array() AS ARRAY<STRING>)"
 # --- operators -------------------------------------------------------------------------------
 
 
+def _fillable(at: str) -> str:
+    """SQL of an array with the labels of the problems that recovery can fill in."""
+    not_lists = [f"CASE WHEN {at}.{name}.items IS NULL THEN '{name}' END" for name in ITEM_LISTS]
+    not_lists += [f"CASE WHEN NOT {_is_array(f'{at}.{name}')} THEN '{name}' END" for name in NOTE_LISTS]
+    # A summary that counts as not given: absent, null, or an empty or zero value.
+    falsy = f"""coalesce(to_json({at}.summary) IN ('null', '""', '0', '0.0', 'false', '[]', '{{}}'), true)"""
+    return f"array_compact(array({', '.join(not_lists)}, CASE WHEN {falsy} THEN 'summary' END))"
+
+
 def validate_records(df: DataFrame) -> DataFrame:
-    """Adds ``violations`` (sorted distinct labels; null for a rejected row) and the working column ``shaped``."""
-    df = pinned(df, shaped=F.when(F.col("reject_reason").isNull(), F.expr(_shape("decoded", RECORD))))
+    """Adds ``violations`` (sorted distinct labels), ``fillable`` and the typed ``record``; null for a rejected row."""
     blank_summary = f"CASE WHEN NOT ({_get('shaped.summary', 'string')} RLIKE r'[^{WS}]') THEN 'summary' END"
-    problems = f"array_sort(array_distinct(array_append({_problems('shaped', RECORD)}, {blank_summary})))"
-    return pinned(df, violations=F.when(F.col("shaped").isNotNull(), F.array_compact(F.expr(problems))))
+    labels = f"array_compact(array_append({_problems('shaped', RECORD)}, {blank_summary}))"
+    # The shaped copy is bound to a name by a one-item transform and never leaves the expression:
+    # each of its parts carries the answer's whole key table, which would be copied into every row.
+    check = f"""get(transform(array({_shape('decoded', RECORD)}), shaped -> named_struct(
+        'violations', array_sort(array_distinct({labels})),
+        'fillable', {_fillable('shaped')},
+        'record', {_typed_struct('shaped', RECORD)})), 0)"""
+    df = pinned(df, _check=F.when(F.col("reject_reason").isNull(), F.expr(check)))
+    kept = [c for c in df.columns if c != "_check"]
+    return df.select(*kept, "_check.violations", "_check.fillable", "_check.record")
 
 
 def recover_records(df: DataFrame) -> DataFrame:
-    """Adds ``outcome`` and the settled ``record``.
+    """Adds ``outcome`` and settles ``record``.
 
     A record that meets the contract is kept.  Otherwise a missing summary and lists that are not
     lists are filled in; a record that then meets the contract is kept with a warning and marked
     for review.  Any other is replaced by a minimal record.  Rows that could not be decoded have
     no record.
     """
-    broken, outcome = F.col("violations"), F.col("outcome")
-    summary_json = F.to_json(F.col("shaped.summary"))
-    no_summary = F.coalesce(summary_json.isin("null", '""', "0", "0.0", "false", "[]", "{}"), F.lit(True))
-    not_lists = [
-        F.when(~F.expr(_is_array(_raw("shaped", RECORD_FIELDS[name]))), F.lit(name))
-        for name in [*ITEM_LISTS, *NOTE_LISTS]
-    ]
-    fillable = F.array_compact(F.array(*not_lists, F.when(no_summary, F.lit("summary"))))
+    broken, outcome, own = F.col("violations"), F.col("outcome"), F.col("record")
     df = pinned(
         df,
         outcome=F.when(F.col("reject_reason").isNotNull(), F.lit(REJECTED))
         .when(F.size(broken) == 0, F.lit(VALID))
-        .when(F.size(F.array_except(broken, fillable)) == 0, F.lit(RECOVERED))
+        .when(F.size(F.array_except(broken, "fillable")) == 0, F.lit(RECOVERED))
         .otherwise(F.lit(MINIMAL)),
     )
-
+    no_summary = F.array_contains("fillable", "summary")
     warning = F.concat(F.lit(config.RECOVERY_WARNING), F.array_join(broken, ", "))
     warnings = F.array_compact(F.array(warning, F.when(no_summary, F.lit(config.MISSING_SUMMARY_WARNING))))
     whole_record = F.array(F.lit(config.REVIEW_WHOLE_RECORD))
-    own_summary = F.when((outcome == RECOVERED) & no_summary, F.lit(config.INCOMPLETE_SUMMARY)).otherwise(
-        strip(F.expr(_typed("shaped", RECORD_FIELDS["summary"])))
-    )
+    summary = F.when((outcome == RECOVERED) & no_summary, F.lit(config.INCOMPLETE_SUMMARY)).otherwise(strip(own["summary"]))
 
     def noted(name: str, extra: Column) -> Column:
-        own = F.expr(f"coalesce({_typed('shaped', RECORD_FIELDS[name])}, {NO_LABELS})")
-        return F.when(outcome == VALID, own).when(outcome == RECOVERED, F.concat(own, extra)).otherwise(extra)
+        given = F.coalesce(own[name], F.expr(NO_LABELS))
+        return F.when(outcome == VALID, given).when(outcome == RECOVERED, F.concat(given, extra)).otherwise(extra)
+
+    special = {
+        "schema_version": F.when(outcome != MINIMAL, own["schema_version"]).otherwise(F.lit(config.SCHEMA_VERSION)),
+        "summary": F.when(outcome == MINIMAL, F.lit(config.FAILED_SUMMARY)).otherwise(summary),
+        "extraction_warnings": noted("extraction_warnings", warnings),
+        "fields_needing_review": noted("fields_needing_review", whole_record),
+    }
 
     def settled(field: Field) -> Column:
-        if field.name == "summary":
-            return F.when(outcome == MINIMAL, F.lit(config.FAILED_SUMMARY)).otherwise(own_summary)
-        if field.name == "extraction_warnings":
-            return noted(field.name, warnings)
-        if field.name == "fields_needing_review":
-            return noted(field.name, whole_record)
-        own = F.when(outcome != MINIMAL, F.expr(_typed("shaped", field)).cast(spark_type(field)))
-        if field.name in ITEM_LISTS:
-            return F.coalesce(own, F.array().cast(spark_type(field)))
-        if field.name == "schema_version":
-            return F.coalesce(own, F.lit(config.SCHEMA_VERSION))
-        return own
+        if field.name in special:
+            return special[field.name]
+        kept = F.when(outcome != MINIMAL, own[field.name]).cast(spark_type(field))
+        return F.coalesce(kept, F.array().cast(spark_type(field))) if field.name in ITEM_LISTS else kept
 
     record = F.struct(*[settled(field).alias(field.name) for field in RECORD])
-    return pinned(df, record=F.when(outcome != REJECTED, record)).drop("shaped")
+    return pinned(df, record=F.when(outcome != REJECTED, record)).drop("fillable")
 
 
 def repair_responses(df: DataFrame, raw: str = "raw") -> DataFrame:
