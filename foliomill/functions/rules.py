@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from foliomill import config
-from foliomill.functions.text import WS, present, strip
+from foliomill.functions.text import NOT_WS, present, strip
 
 # Patterns.
 DOI_WHOLE = r"(?iU)^10\.[0-9]{4,9}/[-._;()/:A-Z0-9a-z]+$"
@@ -20,7 +20,7 @@ def valid_confidence(confidence: Column) -> Column:
 
 def valid_summary(summary: Column) -> Column:
     """Present and not only whitespace."""
-    return F.coalesce(summary.rlike(f"[^{WS}]"), F.lit(False))
+    return F.coalesce(summary.rlike(NOT_WS), F.lit(False))
 
 
 def valid_role(role: Column) -> Column:

@@ -9,6 +9,8 @@ from foliomill import config
 
 # Patterns.  WS lists the whitespace a Unicode-aware strip removes.
 WS = r"\t-\r\x1c-\x1f\x85\p{Z}"
+# The same, complemented; the ranges most text is made of come first, so that few characters need the full test.
+NOT_WS = rf"[!-~\xa1-\u167f[^{WS}]]"
 WS_CHARS = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" + "".join(
     chr(c) for c in range(0x2000, 0x200B)
 )
@@ -26,7 +28,7 @@ def strip(text: Column) -> Column:
 
 def is_blank(text: Column) -> Column:
     """True when ``text`` is null or holds nothing but whitespace."""
-    return F.coalesce(~text.rlike(f"[^{WS}]"), F.lit(True))
+    return F.coalesce(~text.rlike(NOT_WS), F.lit(True))
 
 
 def missing(text: Column) -> Column:
@@ -41,7 +43,7 @@ def present(text: Column) -> Column:
 
 def word_count(text: Column) -> Column:
     """Number of whitespace-separated words; 0 for null."""
-    return F.coalesce(F.regexp_count(text, F.lit(f"[^{WS}]+")), F.lit(0))
+    return F.coalesce(F.regexp_count(text, F.lit(f"{NOT_WS}+")), F.lit(0))
 
 
 def mine_title(first_page: Column, meta_title: Column | None = None) -> Column:
@@ -94,7 +96,7 @@ def split_authors(names: Column) -> Column:
 
 
 def name_tokens(full_name: Column) -> Column:
-    return F.regexp_extract_all(full_name, F.lit(f"[^{WS}]+"), F.lit(0))
+    return F.regexp_extract_all(full_name, F.lit(f"{NOT_WS}+"), F.lit(0))
 
 
 def last_name(full_name: Column) -> Column:
@@ -111,6 +113,8 @@ def first_name(full_name: Column) -> Column:
 def double_text(number: Column) -> Column:
     """A double as the shortest decimal text: fixed notation from 1e-4 up to 1e16, else ``1e+16`` style."""
     size = F.abs(number)
+    # Java writes numbers of ordinary size the same way.
+    ordinary = (size == 0) | ((size >= 1e-3) & (size < 1e7))
     digits = F.regexp_replace(number.cast("decimal(38,21)").cast("string"), "0+$", "")
     fixed = F.when(digits.endswith("."), F.concat(digits, F.lit("0"))).otherwise(digits)
     java = number.cast("string")
@@ -124,10 +128,8 @@ def double_text(number: Column) -> Column:
         .when(number == float("inf"), F.lit("inf"))
         .when(number == float("-inf"), F.lit("-inf"))
     )
-    return F.when(
-        number.isNotNull(),
-        F.coalesce(special, F.when((size == 0) | ((size >= 1e-4) & (size < 1e16)), fixed).otherwise(scientific)),
-    )
+    unusual = F.coalesce(special, F.when((size >= 1e-4) & (size < 1e16), fixed).otherwise(scientific))
+    return F.when(ordinary, java).when(number.isNotNull(), unusual)
 
 
 def value_text(numeric: Column, text: Column) -> Column:

@@ -29,12 +29,15 @@ def build_session(app_name: str = "foliomill", master: str | None = None, **sett
 
 
 def durable(df: DataFrame) -> DataFrame:
-    """``df`` saved in the cluster's shared checkpoint folder, so a lost executor costs no recomputation.
+    """``df`` saved in the cluster's shared checkpoint folder, for a result that is read several times.
 
-    The folder comes from ``spark.checkpoint.dir``; without it the plan is returned unchanged.
+    A lost executor then costs no recomputation.  The folder is the one the session names in
+    ``spark.checkpoint.dir``; where there is none, the plan is returned as it is.
     """
-    spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder and not spark.sparkContext.getCheckpointDir():
-        return df
+    context = df.sparkSession.sparkContext
+    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
+    if not context.getCheckpointDir():
+        if not folder:
+            return df
+        context.setCheckpointDir(folder)
     return df.checkpoint(eager=True)

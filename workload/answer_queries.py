@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from foliomill.operators import merging, records, repair, reports
 from foliomill.schemas import NOTE_LISTS
+from foliomill.session import durable
 from workload.base import query
 
 
@@ -106,7 +107,7 @@ def merge_chunks(t):
         "measurement_methods": "technique_name",
         "result_properties": "property_name",
     }
-    return merging.merge_chunks(chunk_records(t)).select(
+    return merging.merge_chunks(durable(chunk_records(t))).select(
         "paper_id",
         "n_chunks",
         "n_failed",
@@ -192,7 +193,7 @@ def result_rows(t):
 
 
 def evidence_table(t):
-    r = single_records(t)
+    r = durable(single_records(t))
     return records.evidence(records.explode_materials(r), records.explode_conditions(r), records.explode_results(r))
 
 

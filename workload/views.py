@@ -140,7 +140,9 @@ def responses(t) -> DataFrame:
         """"value_numeric":', CAST(p_retailprice AS STRING), ',"unit":"$","evidence":{"section":"results"}}],"""
         """"fields_needing_review":[', CASE WHEN p_size > 25 THEN concat('"', p_type, '"') ELSE '' END, ']}')"""
     )
-    return t.part.selectExpr(
+    # Answers are written by many tasks; the one file they are made of here is spread likewise.
+    parts = t.part.repartition(t.spark.sparkContext.defaultParallelism, "p_partkey")
+    return parts.selectExpr(
         "p_partkey AS record_id",
         "CAST(floor(p_partkey / 10) AS BIGINT) AS paper_id",
         "CAST(p_partkey - 10 * CAST(floor(p_partkey / 10) AS BIGINT) AS INT) AS chunk_no",
