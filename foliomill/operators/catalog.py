@@ -84,9 +84,13 @@ def with_relations(
 ) -> DataFrame:
     """A page with journal name, ordered author names and the extraction flags.
 
-    The page has at most ``MAX_PAGE_SIZE`` rows, so its ids are broadcast and the large tables are
-    filtered by them before anything is grouped.
+    The page has at most ``MAX_PAGE_SIZE`` rows: it is fetched once, so that the papers are scanned
+    once, and its ids are broadcast to filter the large tables before anything is grouped.
     """
+    rows = page.take(config.MAX_PAGE_SIZE + 1)
+    if len(rows) > config.MAX_PAGE_SIZE:
+        raise ValueError(f"a page has at most {config.MAX_PAGE_SIZE} rows")
+    page = page.sparkSession.createDataFrame(rows, page.schema).coalesce(1)
     ids = F.broadcast(page.select("paper_id"))
     journal_ids = F.broadcast(page.select("journal_id").where(F.col("journal_id").isNotNull()).distinct())
     journal_names = journals.join(journal_ids, "journal_id", "left_semi").select(

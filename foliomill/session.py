@@ -11,6 +11,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # A page far down a listing is found by a distributed sort instead of a heap in every task.
+    "spark.sql.execution.topKSortFallbackThreshold": "100000",
     # A response row carries a whole text chunk; keep Arrow batches small.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
     # Model calls are side effects: never run a second copy of a slow task.

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from foliomill.functions.plan import pinned
+
 PDF_GLOB = "*.[pP][dD][fF]"
 # The binary reader holds a file in one cell, whose size Spark limits.
 MAX_CELL_BYTES = 2_147_000_000
@@ -48,11 +50,9 @@ def folder_inventory(files: DataFrame) -> DataFrame:
 
 def fingerprint(files: DataFrame, content: str = "content") -> DataFrame:
     """``path, file_hash, file_size, error``: the content is reduced to its hash before anything moves."""
-    return files.select(
-        "path",
-        F.sha2(F.col(content), 256).alias("file_hash"),
-        F.col("length").alias("file_size"),
-        F.lit(None).cast("string").alias("error"),
+    hashed = pinned(files.select("path", "length", content), file_hash=F.sha2(F.col(content), 256))
+    return hashed.select(
+        "path", "file_hash", F.col("length").alias("file_size"), F.lit(None).cast("string").alias("error")
     )
 
 

@@ -21,12 +21,10 @@ START = "2024-01-01 00:00:00"
 
 def files(t) -> DataFrame:
     """Documents as scanned files: the text is the content."""
-    return t.documents.select(
-        F.col("doc_id").alias("path"),
-        F.sha2("text", 256).alias("file_hash"),
-        F.octet_length("text").cast("bigint").alias("file_size"),
-        F.lit(None).cast("string").alias("error"),
-    )
+    from foliomill.sources.files import fingerprint
+
+    size = F.octet_length("text").cast("bigint")
+    return fingerprint(t.documents.select(F.col("doc_id").alias("path"), size.alias("length"), "text"), "text")
 
 
 SQL["files"] = """
@@ -35,10 +33,10 @@ SELECT doc_id AS path, sha256(text) AS file_hash, CAST(strlen(text) AS BIGINT) A
 
 def registry(t) -> DataFrame:
     """Labelled documents as the papers already known."""
-    labelled = t.documents.join(t.labels.select("doc_id", "quality"), "doc_id")
+    labelled = t.files.join(t.labels.select(F.col("doc_id").alias("path"), "quality"), "path")
     return labelled.select(
-        F.sha2("text", 256).alias("file_hash"),
-        F.col("doc_id").cast("string").alias("paper_id"),
+        "file_hash",
+        F.col("path").cast("string").alias("paper_id"),
         F.when(F.col("quality") == 1, F.lit("extracted")).otherwise(F.lit("failed")).alias("status"),
     )
 
