@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from foliomill import config
 from foliomill.functions.text import missing
+from foliomill.operators.joins import spread_join
 
 LISTED = [
     "paper_id",
@@ -175,7 +176,7 @@ def evidence_for(evidence: DataFrame, records: DataFrame | None = None, field: s
     if field:
         evidence = evidence.where(F.contains(F.lower("field_name"), F.lower(F.lit(field))))
     if records is not None:
-        evidence = evidence.join(records.select("record_id"), "record_id", "left_semi")
+        evidence = spread_join(evidence, records.select("record_id"), "record_id", "left_semi")
     return evidence
 
 

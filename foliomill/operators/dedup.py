@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from foliomill.operators.joins import spread_join
+
 
 def path_order(path: Column) -> Column:
     """Order in which a scan visits paths: folder by folder."""
@@ -31,7 +33,7 @@ def dedup_batch(files: DataFrame, key: str = "file_hash", path: str = "path", or
 
 def drop_known(files: DataFrame, registry: DataFrame, key: str = "file_hash") -> DataFrame:
     """Files whose hash is not registered."""
-    return files.join(registry.select(key).distinct(), key, "left_anti")
+    return spread_join(files, registry.select(key).distinct(), key, "left_anti")
 
 
 def duplicates_of(files: DataFrame, registry: DataFrame, key: str = "file_hash") -> DataFrame:
@@ -39,13 +41,14 @@ def duplicates_of(files: DataFrame, registry: DataFrame, key: str = "file_hash")
     known = registry.groupBy(key).agg(
         F.min_by(F.struct(F.col("paper_id").alias("existing_id"), "status"), "paper_id").alias("_paper")
     )
-    return files.join(known, key).select(*files.columns, "_paper.*")
+    return spread_join(files, known, key).select(*files.columns, "_paper.*")
 
 
 def scan_outcomes(files: DataFrame, registry: DataFrame, key: str = "file_hash", order: Column | None = None) -> DataFrame:
     """``outcome`` of every scanned file: ``failed`` (it has an error), ``ingested`` (new, and first with
     its content) or ``skipped``."""
-    new_firsts = drop_known(first_paths(files.where(F.col("error").isNull()), key, order=order), registry, key)
+    firsts = first_paths(files.where(F.col("error").isNull()), key, order=order)
+    new_firsts = firsts.join(registry.select(key).distinct(), key, "left_anti")
     marked = files.join(new_firsts.select("path", F.lit(True).alias("_new")), "path", "left")
     outcome = (
         F.when(F.col("error").isNotNull(), F.lit("failed"))

@@ -1,0 +1,47 @@
+"""Joins whose left side may hold very many rows of one key.
+
+Adaptive execution splits such a key only where both sides of the join come straight from a shuffle.
+When the right side was grouped or ranked just before, it does not, and one task would get all rows
+of the key.  These joins therefore spread the rows of frequent keys themselves.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+# A key with this many rows is spread.
+HOT_ROWS = 1_000_000
+SALTS = 64
+
+
+def hot_keys(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Keys with at least ``hot_rows`` rows, counted exactly; there can be no more than rows / ``hot_rows``."""
+    counted = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
+    return counted.where(F.col("_rows") >= hot_rows).select(key, F.lit(True).alias("_hot"))
+
+
+def _row_hash(df: DataFrame) -> Column:
+    """Hash of a row's plain columns; rows of a key differ in some of them."""
+    plain = [f.name for f in df.schema if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    return F.xxhash64(*plain)
+
+
+def spread_join(
+    left: DataFrame, right: DataFrame, key: str, how: str = "inner", hot_rows: int = HOT_ROWS, salts: int = SALTS
+) -> DataFrame:
+    """``left.join(right, key, how)`` for inner, left, left_semi and left_anti joins; ``right`` is unique by ``key``.
+
+    Rows of a frequent key go to ``salts`` groups by their hash, and the one matching right row is
+    repeated for each group; all other rows are joined as usual.  The result is the same as without.
+    """
+    if how not in ("inner", "left", "left_semi", "left_anti"):
+        raise ValueError(f"join type {how!r} cannot be spread")
+    hot = hot_keys(left, key, hot_rows)
+    # Few by construction (see hot_keys), so both sides look them up by broadcast.
+    spread = F.when(F.col("_hot"), F.pmod(_row_hash(left), F.lit(salts))).otherwise(F.lit(0)).cast("int")
+    groups = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    salted_left = left.join(F.broadcast(hot), key, "left").withColumn("_salt", spread).drop("_hot")
+    salted_right = right.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(groups)).drop("_hot")
+    return salted_left.join(salted_right, [key, "_salt"], how).drop("_salt")

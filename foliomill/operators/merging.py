@@ -39,6 +39,7 @@ def merged_scalars(chunks: DataFrame, strict_first: bool = False) -> DataFrame:
     return chunks.groupBy("paper_id").agg(
         F.count_if(usable).alias("n_chunks"),
         F.count_if(~usable).alias("n_failed"),
+        F.min(F.when(usable, number)).alias("first_chunk"),
         *[first_of(name) for name in SCALARS],
         *[F.min_by(record[name], F.when(usable, number)).alias(f"_first_{name}") for name in NOTE_LISTS],
     )
@@ -100,8 +101,9 @@ def merged_items(chunks: DataFrame, scalars: DataFrame) -> DataFrame:
         .agg(F.min_by(F.struct(*ITEM_LISTS, "chunk_no", "ordinal"), place).alias("_first"))
         .select("paper_id", "kind", "key", "_first.*")
     )
-    single = scalars.where(F.col("n_chunks") == 1).select("paper_id")
-    kept = items.where("repeated").join(single, "paper_id", "left_semi")
+    # Matched by chunk as well, so that the many chunks of one paper do not meet in one task.
+    single = scalars.where(F.col("n_chunks") == 1).select("paper_id", F.col("first_chunk").alias("chunk_no"))
+    kept = items.where("repeated").join(single, ["paper_id", "chunk_no"], "left_semi")
     return firsts.unionByName(kept.select(*firsts.columns))
 
 

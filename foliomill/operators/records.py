@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from foliomill import config
 from foliomill.functions.text import double_text
+from foliomill.operators.joins import spread_join
 from foliomill.schemas import CONDITION, MATERIAL, METHOD, RESULT, Field
 
 EVIDENCE_FIELDS = ["source_text", "page_numbers", "section", "confidence", "is_inferred", "inference_reasoning"]
@@ -154,7 +155,8 @@ def nest(
 def record_detail(records: DataFrame, children: dict[str, DataFrame], **parts) -> DataFrame:
     """Canonical records with their child lists (see ``nest`` for the parts of very long lists)."""
     head = canonical(records)
-    mine = {name: rows.join(head.select("record_id"), "record_id", "left_semi") for name, rows in children.items()}
+    ids = head.select("record_id")
+    mine = {name: spread_join(rows, ids, "record_id", "left_semi") for name, rows in children.items()}
     nested = nest(mine, ["record_id"], **parts)
     joined = head.join(nested, "record_id", "left")
     lists = {name: F.coalesce(F.col(name), F.array().cast(nested.schema[name].dataType)) for name in children}

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from foliomill import config
 from foliomill.operators import biblio, chunking, corrections, dedup, inference, merging, parsing, repair, reports
 from foliomill.operators import records as rec
+from foliomill.operators.joins import spread_join
 from foliomill.sources import files as fs
 from foliomill.sources.registry import register_papers
 from foliomill.sources.tables import FILE, MERGED, PARSED, PROMPT, RAW, Lake
@@ -94,9 +95,10 @@ def settle(lake: Lake, run: str, model: str) -> DataFrame:
     """
     prompts = lake.read("prompts", PROMPT).select(*inference.KEY).distinct()
     raw = lake.read("raw_responses", RAW)
-    ready = prompts.join(inference.incomplete_papers(prompts, raw), "paper_id", "left_anti").join(
-        others(lake, "merged", _ddl(lake), run).select("paper_id").distinct(), "paper_id", "left_anti"
-    )
+    done = others(lake, "merged", _ddl(lake), run).select("paper_id")
+    # Papers to leave out: those with an answer still to come, and those already merged.
+    skipped = inference.incomplete_papers(prompts, raw).unionByName(done).distinct()
+    ready = spread_join(prompts, skipped, "paper_id", "left_anti")
     answers = inference.latest_responses(raw).join(ready, inference.KEY, "left_semi")
     repaired = repair.repair_responses(answers, "response")
     kept = repaired.select("paper_id", "chunk_no", "outcome", "reject_reason", "record", "error")

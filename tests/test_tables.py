@@ -5,7 +5,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from foliomill.operators import biblio, catalog, corrections, dedup, features, inference, records
+from foliomill.operators import biblio, catalog, corrections, dedup, features, inference, joins, records
 from foliomill.sources import files as fs
 from foliomill.sources import sinks
 from foliomill.sources.registry import paper_id, register_papers
@@ -73,30 +73,22 @@ def test_scan_outcomes_with_one_hot_hash(spark):
         assert step.index("partial_min_by") > step.index("Exchange")
 
 
-def test_hot_key_joins_are_split(spark):
-    """Half of the files share a hash that is registered: the join is cut into several tasks."""
-    settings = {
-        "spark.sql.shuffle.partitions": "16",
-        "spark.sql.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1",
-        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20KB",
-        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
-        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10KB",
-    }
-    before = {k: spark.conf.get(k, None) for k in settings}
-    for key, value in settings.items():
-        spark.conf.set(key, value)
-    try:
-        files = spark.range(40000).selectExpr(
-            "concat('f', id) AS path", "CASE WHEN id % 2 = 0 THEN 'hot' ELSE concat('h', id) END AS file_hash"
-        ).repartition(4, "path")
-        registry = spark.range(1000).selectExpr("IF(id = 0, 'hot', concat('h', id)) AS file_hash", "concat('p', id) AS paper_id", "'parsed' AS status")
-        found = dedup.duplicates_of(files, registry)
-        assert len(found.collect()) == 20000 + 500
-        assert "skew=true" in plan(found)
-    finally:
-        for key, value in before.items():
-            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
+def test_hot_keys_are_spread(spark, how):
+    """Half of the rows share one key that the right side knows; a null key never matches."""
+    left = spark.range(20000).selectExpr("id", "CASE WHEN id % 2 = 0 THEN 'hot' WHEN id % 97 = 0 THEN NULL ELSE concat('h', id) END AS k")
+    right = spark.range(1000).selectExpr("IF(id = 0, 'hot', concat('h', id)) AS k", "id AS n").groupBy("k").agg(F.max("n").alias("n"))
+    spread = joins.spread_join(left, right, "k", how, hot_rows=5000, salts=8)
+    usual = left.join(right, "k", how)
+    assert spread.columns == usual.columns and rows(spread, *usual.columns) == rows(usual, *usual.columns)
+
+
+def test_hot_rows_reach_all_salts(spark):
+    left = spark.range(20000).selectExpr("id", "IF(id % 3 = 0, -1, id) AS k")
+    assert rows(joins.hot_keys(left, "k", 1000), "k") == [(-1,)]
+    salted = left.where("k = -1").groupBy(F.pmod(joins._row_hash(left), F.lit(8))).count()
+    sizes = [r["count"] for r in salted.collect()]
+    assert len(sizes) == 8 and max(sizes) < 1.2 * min(sizes)
 
 
 def test_biblio_updates(spark):

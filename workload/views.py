@@ -300,8 +300,9 @@ for _name, _exprs in (("conditions", CONDITION_EXPR), ("results", RESULT_EXPR)):
 
 def of_versions(children: DataFrame, versions: DataFrame) -> DataFrame:
     """Children of the given record versions, with the version's paper as their paper."""
-    owner = versions.select("record_id", "paper_id")
-    return children.drop("paper_id").join(owner, "record_id")
+    from foliomill.operators.joins import spread_join
+
+    return spread_join(children.drop("paper_id"), versions.select("record_id", "paper_id"), "record_id")
 
 
 def version_conditions(t) -> DataFrame:
