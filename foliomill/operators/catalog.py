@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from foliomill import config
 from foliomill.functions.text import missing
-from foliomill.operators.joins import spread_join
+from foliomill.operators.joins import HOT_ROWS, spread_join, with_part
 
 LISTED = [
     "paper_id",
@@ -102,6 +102,7 @@ def with_relations(
     joined = page.join(journal_names, "journal_id", "left").join(names, "paper_id", "left").join(flags, "paper_id", "left")
     return joined.withColumns(
         {
+            "part_no": F.coalesce("part_no", F.lit(0).cast("bigint")),
             "author_names": F.coalesce("author_names", F.array().cast("array<string>")),
             "has_extraction": F.coalesce("has_extraction", F.lit(False)),
             "needs_review": F.coalesce("needs_review", F.lit(False)),
@@ -128,11 +129,20 @@ def list_papers(
     return with_relations(page, journals, links, authors, records, sort_by, direction), total
 
 
-def author_names(links: DataFrame, authors: DataFrame) -> DataFrame:
-    """Per paper its author names by position."""
+def author_lists(links: DataFrame, authors: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``paper_id, part_no, authors``: per paper its authors by position.
+
+    An ordinary paper is one row, part 0; the links of a paper with ``hot_rows`` or more are given in parts.
+    """
     named = links.select("paper_id", "author_id", "position").join(authors.select("author_id", "full_name"), "author_id")
-    listed = named.groupBy("paper_id").agg(F.array_sort(F.collect_list(F.struct("position", "full_name"))).alias("_listed"))
-    return listed.select("paper_id", F.col("_listed.full_name").alias("author_names"))
+    people = F.array_sort(F.collect_list(F.struct("position", F.col("full_name").alias("name"))))
+    return with_part(named, "paper_id", hot_rows).groupBy("paper_id", "part_no").agg(people.alias("authors"))
+
+
+def author_names(links: DataFrame, authors: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``paper_id, part_no, author_names``, see ``author_lists``."""
+    listed = author_lists(links, authors, hot_rows)
+    return listed.select("paper_id", "part_no", F.col("authors.name").alias("author_names"))
 
 
 def extraction_flags(records: DataFrame) -> DataFrame:
@@ -149,10 +159,7 @@ def paper_detail(
     chosen = papers.drop("raw_text")
     if ids is not None:
         chosen, links = chosen.where(F.col("paper_id").isin(ids)), links.where(F.col("paper_id").isin(ids))
-    named = links.join(authors.select("author_id", "full_name"), "author_id")
-    people = named.groupBy("paper_id").agg(
-        F.array_sort(F.collect_list(F.struct("position", F.col("full_name").alias("name")))).alias("authors")
-    )
+    people = author_lists(links, authors)
     journal = journals.select("journal_id", F.struct("journal_id", "name").alias("journal"))
     people_type = people.schema["authors"].dataType
     return (
@@ -160,6 +167,7 @@ def paper_detail(
         .join(people, "paper_id", "left")
         .withColumns(
             {
+                "part_no": F.coalesce("part_no", F.lit(0).cast("bigint")),
                 "authors": F.coalesce("authors", F.array().cast(people_type)),
                 "summary_available": ~missing(F.col("summary_path")),
                 "extraction_available": ~missing(F.col("extraction_json_path")),

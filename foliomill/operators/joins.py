@@ -28,6 +28,19 @@ def _row_hash(df: DataFrame) -> Column:
     return F.xxhash64(*plain)
 
 
+def with_part(df: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """Adds ``part_no``, to be grouped by along with ``key`` where a group's rows are put into one list.
+
+    It is 0 for an ordinary key.  The rows of a key with ``hot_rows`` or more are dealt out to as many
+    parts as keep each list at about a tenth of that.
+    """
+    parts = F.ceil(F.col("_rows") / (hot_rows / 10)).cast("bigint").alias("_parts")
+    counted = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_rows"))
+    hot = counted.where(F.col("_rows") >= hot_rows).select(key, parts)
+    part_no = F.coalesce(F.pmod(_row_hash(df), F.col("_parts")), F.lit(0)).cast("bigint")
+    return df.join(F.broadcast(hot), key, "left").withColumn("part_no", part_no).drop("_parts")
+
+
 def spread_join(
     left: DataFrame, right: DataFrame, key: str, how: str = "inner", hot_rows: int = HOT_ROWS, salts: int = SALTS
 ) -> DataFrame:

@@ -197,6 +197,19 @@ def require_text(docs: DataFrame, text: str = "text") -> tuple[DataFrame, DataFr
     return docs.where(~blank), docs.where(blank).withColumn("parse_error", F.lit(EMPTY_TEXT))
 
 
+def page_stats(pages: DataFrame, key: str = "paper_id") -> DataFrame:
+    """Page count, method and text length per document, from its pages alone: no text is moved."""
+    summed = pages.groupBy(key).agg(
+        F.count(F.lit(1)).alias("page_count"),
+        _rolled_up(F.min("method"), F.max("method")).alias("parse_method"),
+        F.sum(F.length("text")).alias("_chars"),
+        F.bool_or(~tx.is_blank(F.col("text"))).alias("_has_text"),
+    )
+    status = F.when(F.col("_has_text"), F.lit("parsed")).otherwise(F.lit("failed"))
+    length = F.col("_chars") + len(PAGE_SEPARATOR) * (F.col("page_count") - 1)
+    return summed.select(key, status.alias("status"), "page_count", "parse_method", length.alias("text_length"))
+
+
 def parse_stats(docs: DataFrame) -> DataFrame:
     """Page count, method and text length per document."""
     return docs.select(

@@ -91,6 +91,16 @@ def test_hot_rows_reach_all_salts(spark):
     assert len(sizes) == 8 and max(sizes) < 1.2 * min(sizes)
 
 
+def test_author_lists_of_a_huge_paper_come_in_parts(spark):
+    links = spark.range(3000).selectExpr("IF(id < 1000, 0, id) AS paper_id", "id AS author_id", "CAST(IF(id < 1000, id, 0) AS INT) AS position")
+    authors = spark.range(3000).selectExpr("id AS author_id", "concat('A', id) AS full_name")
+    lists = catalog.author_lists(links, authors, hot_rows=500).collect()
+    hot = [r for r in lists if r.paper_id == 0]
+    assert len(hot) == 20 and len(lists) == 2020 and max(len(r.authors) for r in hot) < 100
+    assert sorted(a.position for r in hot for a in r.authors) == list(range(1000))
+    assert all(r.authors == sorted(r.authors) for r in hot)
+
+
 def test_biblio_updates(spark):
     layout = "paper_id string, title string, doi string, abstract string, publication_year int, volume string, issue string, pages string, keywords array<string>, journal_id string"
     base = spark.createDataFrame(

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from foliomill.functions import text as tx
 from foliomill.operators import biblio, corrections, records
+from foliomill.operators.joins import with_part
 from workload.base import query
 
 
@@ -173,17 +174,16 @@ def canonical_events(t):
 
 @query(
     "record_detail",
-    """SELECT c.record_id, c.paper_id, c.status, CAST(coalesce(part_no, 0) AS BIGINT) AS part_no, coalesce(n.conditions, '') AS conditions, coalesce(n.results, '') AS results
-FROM canon c LEFT JOIN (SELECT record_id, part_no, string_agg(parameter_name, '|' ORDER BY ordinal) AS conditions, string_agg(property_name, '|' ORDER BY ordinal) AS results FROM
-  (SELECT *, l_linenumber // 4 AS part_no FROM conditions JOIN (SELECT ordinal, record_id, property_name FROM results) USING (record_id, ordinal)) GROUP BY ALL) n USING (record_id)""",
+    """SELECT c.record_id, c.paper_id, c.status, CAST(0 AS BIGINT) AS part_no, coalesce(n.conditions, '') AS conditions, coalesce(n.results, '') AS results
+FROM canon c LEFT JOIN (SELECT record_id, string_agg(parameter_name, '|' ORDER BY ordinal) AS conditions, string_agg(property_name, '|' ORDER BY ordinal) AS results FROM
+  (SELECT * FROM conditions JOIN (SELECT ordinal, record_id, property_name FROM results) USING (record_id, ordinal)) GROUP BY record_id) n USING (record_id)""",
     ("canon", "conditions", "results"),
 )
 def record_detail(t):
     head = t.versions.select("record_id", "paper_id", "created_at", "status")
-    part = {"part_no": F.floor(F.col("ordinal.l_linenumber") / 4).cast("bigint")}
     children = {
-        "conditions": t.conditions.select("record_id", "ordinal", "parameter_name").withColumns(part),
-        "results": t.results.select("record_id", "ordinal", "property_name").withColumns(part),
+        "conditions": with_part(t.conditions.select("record_id", "ordinal", "parameter_name"), "record_id"),
+        "results": with_part(t.results.select("record_id", "ordinal", "property_name"), "record_id"),
     }
     detail = records.record_detail(head, children, part="part_no")
     return detail.select(

@@ -127,8 +127,7 @@ def assemble_document(t):
     ("turns",),
 )
 def parse_stats(t):
-    docs = parsing.assemble_document(t.turns)
-    return parsing.parse_stats(parsing.parse_outcome(docs))
+    return parsing.page_stats(t.turns)
 
 
 @query(
