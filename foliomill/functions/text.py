@@ -61,8 +61,8 @@ def mine_title(first_page: Column, meta_title: Column | None = None) -> Column:
 
 def mine_doi(text: Column) -> Column:
     """First DOI in the opening part of ``text``, without trailing punctuation."""
-    found = F.regexp_extract(F.substring(text, 1, config.DOI_WINDOW), DOI, 1)
-    return F.rtrim(present(found), F.lit(DOI_TRAILING))
+    found = F.regexp_extract_all(F.substring(text, 1, config.DOI_WINDOW), F.lit(DOI), F.lit(1))
+    return F.rtrim(F.get(found, F.lit(0)), F.lit(DOI_TRAILING))
 
 
 def _mined_year(year: Column) -> Column:
@@ -84,9 +84,13 @@ def mine_year(text: Column, meta_created: Column | None = None) -> Column:
 
 def mine_abstract(text: Column) -> Column:
     """Text after the word "abstract" up to a blank line or the next heading, if its length is plausible."""
-    found = strip(F.regexp_extract(text, ABSTRACT, 1))
-    plausible = F.length(found).between(config.ABSTRACT_MIN_CHARS, config.ABSTRACT_MAX_CHARS)
-    return F.when(plausible, found)
+
+    def plausible(abstract: Column) -> Column:
+        return F.length(abstract).between(config.ABSTRACT_MIN_CHARS, config.ABSTRACT_MAX_CHARS)
+
+    # Filtered as a list of one, so that the text is searched once and not again for each use of the result.
+    found = F.array(strip(F.regexp_extract(text, ABSTRACT, 1)))
+    return F.get(F.filter(found, plausible), F.lit(0))
 
 
 def split_authors(names: Column) -> Column:
