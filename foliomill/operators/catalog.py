@@ -215,5 +215,11 @@ def recent(papers: DataFrame, n: int = 8) -> DataFrame:
     return papers.orderBy(F.col("created_at").desc_nulls_first(), F.col("paper_id").asc()).limit(n)
 
 
+def sort_rows(rows: DataFrame, column: str, descending: bool = False) -> DataFrame:
+    """A listing in the order of any of its columns, nulls last, ties by id."""
+    key = F.col(column).desc_nulls_last() if descending else F.col(column).asc_nulls_last()
+    return rows.orderBy(key, F.col("paper_id").asc())
+
+
 def extracted_only(papers: DataFrame) -> DataFrame:
     return filter_papers(papers, status="extracted")

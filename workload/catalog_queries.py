@@ -166,6 +166,19 @@ def status_counts(t):
     return catalog.status_counts(t.papers)
 
 
+@query(
+    "sort_rows",
+    """SELECT paper_id, file_size_bytes, CAST(row_number() OVER (ORDER BY file_size_bytes DESC, paper_id) AS BIGINT) AS place FROM
+ (SELECT * FROM papers ORDER BY created_at DESC, paper_id LIMIT 200) ORDER BY place""",
+    ("papers",),
+)
+def sort_rows(t):
+    page = catalog.page_of_papers(t.papers, limit=200).select("paper_id", "file_size_bytes")
+    ordered = catalog.sort_rows(page, "file_size_bytes", descending=True).coalesce(1)
+    # One page is at most 200 rows, so its places can be counted in one task.
+    return ordered.withColumn("place", F.monotonically_increasing_id() + 1)
+
+
 @query("in_progress", "SELECT paper_id, status FROM papers WHERE status IN ('parsing', 'extracting')", ("papers",))
 def in_progress(t):
     return catalog.in_progress(t.papers).select("paper_id", "status")
