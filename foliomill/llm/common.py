@@ -102,3 +102,42 @@ def mixed(x: np.ndarray) -> np.ndarray:
     x *= np.uint64(0x94D049BB133111EB)
     x ^= x >> np.uint64(31)
     return x
+
+
+def grouped(df: DataFrame, keys: list[str], work: Callable[[pa.Table], pa.RecordBatch], schema: str) -> DataFrame:
+    """``work`` over each group of equal integer ``keys``, one group in memory at a time; groups are to be of bounded size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            values = np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in keys])
+            cuts = np.flatnonzero((values[:, 1:] != values[:, :-1]).any(axis=0)) + 1
+            bounds = [0, *cuts.tolist(), batch.num_rows]
+            if held and any(held[0].column(k)[0] != batch.column(k)[0] for k in keys):
+                yield work(pa.Table.from_batches(held))
+                held = []
+            for begin, end in zip(bounds[:-1], bounds[1:]):
+                held.append(batch.slice(begin, end - begin))
+                if end < batch.num_rows:
+                    yield work(pa.Table.from_batches(held))
+                    held = []
+        if held:
+            yield work(pa.Table.from_batches(held))
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)
+
+
+def forest(a: np.ndarray, b: np.ndarray, nodes: int) -> np.ndarray:
+    """For each of ``nodes`` numbers the smallest that the links ``a``-``b`` connect it with."""
+    label = np.arange(nodes)
+    while True:
+        low = np.minimum(label[a], label[b])
+        new = label.copy()
+        np.minimum.at(new, label[a], low)
+        np.minimum.at(new, label[b], low)
+        new = new[new]
+        if np.array_equal(new, label):
+            return label
+        label = new

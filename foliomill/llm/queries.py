@@ -3,9 +3,21 @@
 from __future__ import annotations
 
 from foliomill.llm.op01_language_id import op1_language_id
+from foliomill.llm.op02_minhash_dedup import op2_minhash_dedup
 from foliomill.llm.op03_decontamination import op3_decontamination
 from foliomill.llm.op05_token_counts import op5_token_counts
+from foliomill.llm.op07_embedding_dedup import op7_embedding_dedup
 from foliomill.llm.op10_packing import op10_packing
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_decontamination, op5_token_counts, op10_packing)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_language_id,
+        op2_minhash_dedup,
+        op3_decontamination,
+        op5_token_counts,
+        op7_embedding_dedup,
+        op10_packing,
+    )
+}
 TWINS: dict[str, str] = {}

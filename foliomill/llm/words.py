@@ -58,5 +58,5 @@ def rolled(words: np.ndarray, size: int) -> np.ndarray:
     """At each place the hash of the ``size`` words that end there; the first ``size`` - 1 places hold no use."""
     out = np.zeros(len(words), np.uint64)
     for back in range(size):
-        out[back:] += mixed(words[: len(words) - back] + np.uint64(back * 0x9E3779B97F4A7C15 % 2**64)) * _PLACE[back]
+        out[back:] += mixed(words[: max(len(words) - back, 0)] + np.uint64(back * 0x9E3779B97F4A7C15 % 2**64)) * _PLACE[back]
     return mixed(out)
