@@ -7,6 +7,7 @@ from foliomill.llm.op02_minhash_dedup import op2_minhash_dedup
 from foliomill.llm.op03_decontamination import op3_decontamination
 from foliomill.llm.op05_token_counts import op5_token_counts
 from foliomill.llm.op07_embedding_dedup import op7_embedding_dedup
+from foliomill.llm.op09_substring_dedup import op9_substring_dedup
 from foliomill.llm.op10_packing import op10_packing
 
 QUERIES = {
@@ -17,6 +18,7 @@ QUERIES = {
         op3_decontamination,
         op5_token_counts,
         op7_embedding_dedup,
+        op9_substring_dedup,
         op10_packing,
     )
 }
