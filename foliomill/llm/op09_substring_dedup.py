@@ -127,7 +127,8 @@ def answered(group: pa.Table) -> pa.RecordBatch:
     share = np.bincount(group_of, np.where(told[open_] == 2, 2, 1))[group_of] > 1 if len(group_of) else np.zeros(0, bool)
     keep = told == 1
     keep[np.flatnonzero(open_)[share & (told[open_] == 0)]] = True
-    out = [(int(node[keep][at[0]]), low[keep][at].tobytes()) for _, at in split_by(node[keep])]
+    node, low = node[keep], low[keep]
+    out = [(value, low[at].tobytes()) for value, at in split_by(node)]
     return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.binary())], names=["node", "low"])
 
 
