@@ -29,10 +29,12 @@ from foliomill.llm.words import hashes
 
 LENGTH, GRAM = 50, 16
 # Bytes of text behind one part of the minimizers; parts are as many as the input asks for.
-PART_BYTES = 48 << 20
-# Bytes of stretches that go to one part, and that are indexed at once.
-DEAL_BYTES, INDEX_BYTES = 16 << 20, 2 << 20
+PART_BYTES = 32 << 20
+# Bytes of candidate texts behind one part of the stretches, and of stretches that are indexed at once.
+DEAL_BYTES, INDEX_BYTES = 12 << 20, 2 << 20
 HERE = np.uint32(2**32 - 1)
+# Minimizers are told by 48 of their bits; a chance agreement costs a comparison, no wrong result.
+NAME_SHIFT = np.uint64(16)
 
 
 def stretches(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
@@ -64,13 +66,19 @@ def stretches(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tu
 
 
 def packed(*arrays: np.ndarray) -> list[bytes]:
-    codec = pa.Codec("zstd", 1)
-    return [np.int64(len(b := a.tobytes())).tobytes() + codec.compress(b, asbytes=True) for a in arrays]
+    """Compressed cells; the bytes of integers stand plane by plane, as the high ones are much alike."""
+    codec, out = pa.Codec("zstd", 1), []
+    for array in arrays:
+        planes = np.ascontiguousarray(array).view(np.uint8).reshape(len(array), array.dtype.itemsize).T.tobytes()
+        out.append(np.int64(len(planes)).tobytes() + codec.compress(planes, asbytes=True))
+    return out
 
 
-def unpacked(cell: bytes, kind: str) -> np.ndarray:
+def unpacked(cell: bytes, kind: type) -> np.ndarray:
     size = int(np.frombuffer(cell[:8], np.int64)[0])
-    return np.frombuffer(pa.Codec("zstd").decompress(cell[8:], size, asbytes=True), kind)
+    planes = np.frombuffer(pa.Codec("zstd").decompress(cell[8:], size, asbytes=True), np.uint8)
+    width = np.dtype(kind).itemsize
+    return np.ascontiguousarray(planes.reshape(width, size // width).T).view(kind).reshape(-1)
 
 
 def split_by(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
@@ -86,7 +94,14 @@ def offered(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in pieces(batches, 8 << 20):
             low, _, _, text = stretches(*utf8(batch.column(1)))
-            node = batch.column(0).to_numpy()
+            node, content, doc = (batch.column(i).to_numpy() for i in (0, 2, 3))
+            # Of equal texts only the earliest is looked at further.
+            order = np.lexsort((doc, content))
+            lead = np.ones(len(order), bool)
+            lead[1:] = content[order][1:] != content[order][:-1]
+            chosen = np.zeros(len(order), bool)
+            chosen[order[lead]] = True
+            low, text = low[chosen[text]] >> NAME_SHIFT, text[chosen[text]]
             order = np.lexsort((text, low))
             low, text = low[order], text[order]
             new = np.ones(len(low), bool)
@@ -99,35 +114,45 @@ def offered(parts: int):
             rows: list[tuple] = []
             # Of a shared one, its name alone is offered; its texts are answered at once.
             sent = first | ~shared
-            place = (low >> np.uint64(32)).astype(np.int64) % parts
+            place = (low >> np.uint64(16)).astype(np.int64) % parts
             for value, at in split_by(place[sent]):
                 who = np.where(shared[sent][at], HERE, text[sent][at].astype(np.uint32))
-                rows.append((value, False, node.tobytes(), *packed(who, low[sent][at])))
+                rows.append((value, False, node.tobytes(), content.tobytes(), *packed(who, low[sent][at])))
             if shared.any():
-                rows.append((int(node[0]) % parts, True, node.tobytes(), *packed(text[shared].astype(np.uint32), low[shared])))
-            names = ["part", "settled", "nodes", "who", "low"]
-            kinds = [pa.int32(), pa.bool_(), pa.binary(), pa.binary(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 5, kinds)], names=names)
+                rows.append((int(node[0]) % parts, True, node.tobytes(), content.tobytes(), *packed(text[shared].astype(np.uint32), low[shared])))
+            names = ["part", "settled", "nodes", "contents", "who", "low"]
+            kinds = [pa.int32(), pa.bool_(), *[pa.binary()] * 4]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 6, kinds)], names=names)
 
     return run
 
 
 def answered(group: pa.Table) -> pa.RecordBatch:
     """The shared minimizers of each document, from one part's offers."""
-    node, low, told = [], [], []
-    for settled, nodes, who, values in zip(*(group.column(c).to_pylist() for c in ("settled", "nodes", "who", "low"))):
-        nodes, who = np.frombuffer(nodes, np.int64), unpacked(who, np.uint32)
+    node, low, content, settled_node, settled_low = [], [], [], [], []
+    for settled, nodes, contents, who, values in zip(*(group.column(c).to_pylist() for c in ("settled", "nodes", "contents", "who", "low"))):
+        nodes, contents, who, values = np.frombuffer(nodes, np.int64), np.frombuffer(contents, np.int64), unpacked(who, np.uint32), unpacked(values, np.uint64)
+        if settled:
+            settled_node.append(nodes[who])
+            settled_low.append(values)
+            continue
         here = who == HERE
-        node.append(np.where(here, 0, nodes[np.where(here, 0, who)]))
-        low.append(unpacked(values, np.uint64))
-        told.append(np.where(here, 2, int(settled)))  # 2: offered for several texts; 1: settled; 0: to be found out
-    node, low, told = np.concatenate(node), np.concatenate(low), np.concatenate(told)
-    open_ = told != 1
-    _, group_of = np.unique(low[open_], return_inverse=True)
-    share = np.bincount(group_of, np.where(told[open_] == 2, 2, 1))[group_of] > 1 if len(group_of) else np.zeros(0, bool)
-    keep = told == 1
-    keep[np.flatnonzero(open_)[share & (told[open_] == 0)]] = True
-    node, low = node[keep], low[keep]
+        who = np.where(here, 0, who)
+        # One that is known to be shared counts as two contents.
+        for extra in (slice(None), here):
+            node.append(np.where(here, 0, nodes[who])[extra])
+            content.append(np.where(here, 0, contents[who])[extra] + (0 if extra is not here else 1))
+            low.append(values[extra])
+    if node:
+        node, low, content = np.concatenate(node), np.concatenate(low), np.concatenate(content)
+        order = np.lexsort((content, low))
+        node, low, content = node[order], low[order], content[order]
+        first = np.flatnonzero(np.concatenate([[True], low[1:] != low[:-1]])) if len(low) else np.zeros(0, np.int64)
+        last = np.append(first[1:], len(low))[: len(first)] - 1
+        shared = np.repeat(content[first] != content[last], last - first + 1) & (node != 0)
+        settled_node.append(node[shared])
+        settled_low.append(low[shared])
+    node, low = np.concatenate(settled_node), np.concatenate(settled_low)
     out = [(value, low[at].tobytes()) for value, at in split_by(node)]
     return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.binary())], names=["node", "low"])
 
@@ -148,7 +173,7 @@ def dealt(parts: int):
             low, start, many, text = stretches(data, offsets)
             answers = [np.frombuffer(b"".join(x), np.uint64) for x in batch.column(4).to_pylist()]
             asked = np.concatenate(answers), np.repeat(np.arange(len(answers)), [len(a) for a in answers])
-            names = mixed(low + mixed(text.astype(np.uint64)))
+            names = mixed((low >> NAME_SHIFT) + mixed(text.astype(np.uint64)))
             wanted = np.isin(names, mixed(asked[0] + mixed(asked[1].astype(np.uint64))))
             low, start, many, text = low[wanted], start[wanted], many[wanted], text[wanted]
             doc, node = batch.column(1).to_numpy(), batch.column(0).to_numpy()
@@ -167,13 +192,12 @@ def dealt(parts: int):
             for value, at in split_by((low[sent] >> np.uint64(20)).astype(np.int64) % parts):
                 at = np.flatnonzero(sent)[at]
                 who, at_text = np.unique(text[at], return_inverse=True)
-                sub = (low[at] & np.uint64(0xFFFF)).astype(np.uint16)
-                cells = packed(at_text.astype(np.uint32), inner[at], many[at].astype(np.uint32), sub, cut_out(data, start[at], size[at]))
+                cells = packed(at_text.astype(np.uint32), inner[at], many[at].astype(np.uint32), low[at], cut_out(data, start[at], size[at]))
                 rows.append((value, False, node[who].tobytes(), doc[who].tobytes(), *cells))
             if lost.any():
-                cells = packed(text[lost].astype(np.uint32), inner[lost], many[lost].astype(np.uint32), np.zeros(0, np.uint16), np.zeros(0, np.uint8))
+                cells = packed(text[lost].astype(np.uint32), inner[lost], many[lost].astype(np.uint32), low[:0], np.zeros(0, np.uint8))
                 rows.append((int(node[0]) % parts, True, node.tobytes(), doc.tobytes(), *cells))
-            names = ["part", "settled", "nodes", "docs", "who", "start", "many", "sub", "bytes"]
+            names = ["part", "settled", "nodes", "docs", "who", "start", "many", "low", "bytes"]
             kinds = [pa.int32(), pa.bool_(), *[pa.binary()] * 7]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 9, kinds)], names=names)
 
@@ -258,9 +282,9 @@ class RunLengthIndex:
 
 def compared(group: pa.Table) -> pa.RecordBatch:
     """Byte runs that each document of one part loses."""
-    node, doc, start, many, sub, data = [], [], [], [], [], []
+    node, doc, start, many, low, data = [], [], [], [], [], []
     spans = []
-    columns = ("settled", "nodes", "docs", "who", "start", "many", "sub", "bytes")
+    columns = ("settled", "nodes", "docs", "who", "start", "many", "low", "bytes")
     for settled, nodes, docs, who, begin, count, kind, bytes_ in zip(*(group.column(c).to_pylist() for c in columns)):
         who, begin, count = (unpacked(x, np.uint32).astype(np.int64) for x in (who, begin, count))
         owner = np.frombuffer(nodes, np.int64)[who]
@@ -271,36 +295,47 @@ def compared(group: pa.Table) -> pa.RecordBatch:
         doc.append(np.frombuffer(docs, np.int64)[who])
         start.append(begin)
         many.append(count)
-        sub.append(unpacked(kind, np.uint16))
+        low.append(unpacked(kind, np.uint64))
         data.append(unpacked(bytes_, np.uint8))
     if node:
-        node, doc, start, many, sub, data = (np.concatenate(x) for x in (node, doc, start, many, sub, data))
+        node, doc, start, many, low, data = (np.concatenate(x) for x in (node, doc, start, many, low, data))
         size = many + LENGTH - 1
         at = np.cumsum(size) - size
-        # Stretches of one minimizer stay together.
-        for _, rows in split_by(sub % (1 + len(data) // INDEX_BYTES)):
-            owner, begin, end = lost_runs(cut_out(data, at[rows], size[rows]), doc[rows], start[rows], many[rows])
-            spans.append((node[rows][owner], begin, end))
+        # Equal stretches are taken once, as the earliest document's.
+        same = hashes(data, size)
+        order = np.lexsort((doc, size, same, low))
+        new = np.ones(len(order), bool)
+        for values in (low, same, size):
+            new[1:] &= values[order][1:] == values[order][:-1]
+        new[1:] = ~new[1:]
+        kind = np.empty(len(order), np.int64)
+        kind[order] = np.cumsum(new) - 1
+        lead = order[new]
+        # A minimizer with but one kind of stretch needs no index: later documents lose all of it.
+        _, group_of, kinds = np.unique(low[lead], return_inverse=True, return_counts=True)
+        single = kinds[group_of] == 1
+        all_lost = single[kind] & (doc > doc[lead][kind])
+        spans.append((node[all_lost], start[all_lost], start[all_lost] + size[all_lost]))
+        mixed_kinds = np.flatnonzero(~single)
+        chunk = low[lead[mixed_kinds]] % np.uint64(1 + int(size[lead[mixed_kinds]].sum()) // INDEX_BYTES)
+        members = np.argsort(kind, kind="stable")
+        bounds = np.searchsorted(kind[members], np.arange(len(lead) + 1))
+        for _, part in split_by(chunk):
+            part = mixed_kinds[part]
+            count = bounds[part + 1] - bounds[part]
+            rows = members[np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count - bounds[part], count)]
+            index = RunLengthIndex(cut_out(data, at[lead[part]], size[lead[part]]), size[lead[part]])
+            earliest = index.earliest(np.repeat(doc[lead[part]], size[lead[part]] + 1))
+            begin = np.repeat(np.cumsum(size[lead[part]] + 1) - size[lead[part]] - 1, count)
+            owner, head, end = lost_runs(earliest, begin, doc[rows], start[rows], many[rows])
+            spans.append((node[rows][owner], head, end))
     node, start, end = (np.concatenate(x) for x in zip(*spans))
     out = [(int(node[at[0]]), np.stack([start[at], end[at]], 1).astype("<u4").tobytes()) for _, at in split_by(node)]
     return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.binary())], names=["node", "spans"])
 
 
-def lost_runs(data: np.ndarray, doc: np.ndarray, start: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Which stretch loses which bytes of its document; ``data`` holds the stretches one after another."""
-    size = many + LENGTH - 1
-    at = np.cumsum(size) - size
-    # Equal stretches are indexed once, as the earliest document's.
-    same = hashes(data, size)
-    order = np.lexsort((doc, size, same))
-    new = np.ones(len(order), bool)
-    new[1:] = (same[order][1:] != same[order][:-1]) | (size[order][1:] != size[order][:-1])
-    kind = np.empty(len(order), np.int64)
-    kind[order] = np.cumsum(new) - 1
-    lead = order[new]
-    index = RunLengthIndex(cut_out(data, at[lead], size[lead]), size[lead])
-    low = index.earliest(np.repeat(doc[lead], size[lead] + 1))
-    begin = (np.cumsum(size[lead] + 1) - size[lead] - 1)[kind]
+def lost_runs(low: np.ndarray, begin: np.ndarray, doc: np.ndarray, start: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Which stretch loses which bytes of its document; its strings' earliest documents stand in ``low`` from ``begin`` on."""
     # A stretch's strings, each with the smallest document that holds it.
     string = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
     owner = np.repeat(np.arange(len(many)), many)
@@ -366,7 +401,8 @@ def repeats(docs: DataFrame, text: str = "text", id_column: str = "doc_id", with
 
     # Parts are multiples of the shuffle's, so that tasks get equal shares of them.
     parts = 1 + total // PART_BYTES
-    offers = eligible.select("node", "text").mapInArrow(offered(parts), "part int, settled boolean, nodes binary, who binary, low binary")
+    offers = eligible.select("node", "text", F.xxhash64("key").alias("content"), "id")
+    offers = offers.mapInArrow(offered(parts), "part int, settled boolean, nodes binary, contents binary, who binary, low binary")
     shared = grouped(offers, ["part"], answered, "node bigint, low binary").groupBy("node").agg(F.collect_list("low").alias("low"))
     # A copy of an earlier document goes as a whole.
     lone = light.where("id = first").select("node").distinct()
@@ -374,8 +410,8 @@ def repeats(docs: DataFrame, text: str = "text", id_column: str = "doc_id", with
     small = eligible.select("node", "id", "text").mapInArrow(squeezed, "node bigint, id bigint, packed binary, size bigint")
     chosen = durable(small.join(durable(shared), "node"))
     stretch = chosen.agg(F.sum("size")).first()[0] or 0
-    parts = 1 + 2 * stretch // DEAL_BYTES
-    deal = chosen.mapInArrow(dealt(parts), "part int, settled boolean, nodes binary, docs binary, who binary, start binary, many binary, sub binary, bytes binary")
+    parts = 1 + stretch // DEAL_BYTES
+    deal = chosen.mapInArrow(dealt(parts), "part int, settled boolean, nodes binary, docs binary, who binary, start binary, many binary, low binary, bytes binary")
     lost = grouped(deal, ["part"], compared, "node bigint, spans binary").groupBy("node").agg(F.collect_list("spans").alias("spans"))
     lost = chosen.dropDuplicates(["node"]).select("node", "packed", "size").join(durable(lost), "node")
     lost = lost.mapInArrow(trimmed, "node bigint, n_removed bigint, runs binary, kept_sha256 string, kept binary")
