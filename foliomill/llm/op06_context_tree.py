@@ -1,14 +1,14 @@
 """Language-model scores by context-tree weighting.
 
 A text is its words (A-Z lower-cased), each followed by a space, the last by an end sign; a null text is the end sign.
-The next byte is told bit by bit, high bits first.  Every context of 0 to 4 bytes has, for each place in that binary
+The next byte is told bit by bit, high bits first.  Every context of 0 to 5 bytes has, for each place in that binary
 tree, a Krichevsky-Trofimov estimate from the training texts.  A node's weighted probability is the mean of its own
 estimate and the product over its longer contexts; so for every bit the estimates of all depths are mixed, each by how
 well its node has told the training texts.
 
-Counts of byte 5-grams are gathered over all documents and grow with them.  They are filed under the last two bytes of
+Counts of byte 6-grams are gathered over all documents and grow with them.  They are filed under the last two bytes of
 their context, so the deep part of the tree is weighted in parallel; only the two upper levels, at most 65,280 nodes,
-meet at the driver.  The table of 5-gram costs goes to the tasks in passes of bounded size.
+meet at the driver.  The table of 6-gram costs goes to the tasks in passes of bounded size.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ from foliomill.llm.common import annotate, durable, grouped, held_out, pieces, q
 from foliomill.llm.op09_substring_dedup import packed, split_by, unpacked
 from foliomill.llm.words import LOWER, hashes
 
-DEPTH = 4
+DEPTH = 5
 END = 10
 # Table entries that a task holds at once, counts that it holds back, bytes of text behind one part of the words,
 # documents whose sums are put together at once, and groups in which counts of tasks are merged first.
@@ -50,7 +50,7 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The 5-gram that ends at each byte of each text's normal form (five bytes in an integer), its text, words of texts."""
+    """The bytes that end at each byte of each text's normal form, with its context in one integer, its text, words of texts."""
     low, inside, start, end, first = tokens(data, offsets)
     docs = len(offsets) - 1
     words = np.diff(first)
@@ -80,7 +80,7 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
 
 
 def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Per task, 5-grams of all texts with their number in training texts, filed under the two bytes before the last."""
+    """Per task, grams of all texts with their number in training texts, filed under the two bytes before the last."""
     held: list[tuple[np.ndarray, np.ndarray]] = []
 
     def merged() -> tuple[np.ndarray, np.ndarray]:
@@ -105,7 +105,7 @@ def filed(keys: np.ndarray, many: np.ndarray, salt: int) -> pa.RecordBatch:
 
 
 def merge(group: pa.Table) -> pa.RecordBatch:
-    """One row from several: the same 5-grams, added up."""
+    """One row from several: the same grams, added up."""
     keys = np.concatenate([unpacked(c, np.uint64) for c in group.column("keys").to_pylist()])
     many = np.concatenate([unpacked(c, np.int64) for c in group.column("many").to_pylist()])
     keys, where = np.unique(keys, return_inverse=True)
@@ -176,7 +176,7 @@ def handed_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def costs(upper: tuple[Level, Level]):
-    """Per file: the log probability of each 5-gram's last byte."""
+    """Per file: the log probability of each gram's last byte."""
     one, none = upper
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

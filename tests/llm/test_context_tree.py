@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 
 import pytest
 
-from foliomill.llm.op06_context_tree import op6_context_tree, score
+from foliomill.llm.op06_context_tree import DEPTH, op6_context_tree, score
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -19,10 +19,10 @@ def normal(text):
 
 def bits(data):
     """Context (most recent byte last), place in the byte's tree, bit."""
-    data = b"\0" * 4 + data
-    for i in range(4, len(data)):
+    data = b"\0" * DEPTH + data
+    for i in range(DEPTH, len(data)):
         for k in range(8):
-            yield data[i - 4 : i], 1 << k | data[i] >> (8 - k), data[i] >> (7 - k) & 1
+            yield data[i - DEPTH : i], 1 << k | data[i] >> (8 - k), data[i] >> (7 - k) & 1
 
 
 def brute(rows, parts):
@@ -34,14 +34,14 @@ def brute(rows, parts):
             words, data = normal(text)
             tokens.update([*words, None])
             for context, place, bit in bits(data):
-                for depth in range(5):
-                    counts[context[4 - depth :], place][bit] += 1
+                for depth in range(DEPTH + 1):
+                    counts[context[DEPTH - depth :], place][bit] += 1
     kt = lambda a, b: math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
     logs, longer = {}, defaultdict(float)
-    for depth in range(4, -1, -1):
+    for depth in range(DEPTH, -1, -1):
         for key in [k for k in counts if len(k[0]) == depth]:
             own = kt(*counts[key])
-            if depth < 4:
+            if depth < DEPTH:
                 a, b = max(own, longer[key]), min(own, longer[key])
                 logs[key] = a + math.log1p(math.exp(b - a)) - math.log(2)
             else:
@@ -49,10 +49,10 @@ def brute(rows, parts):
             longer[key[0][1:], key[1]] += logs[key] if depth else 0
 
     def told(context, place, bit, depth=0):
-        key = (context[4 - depth :], place)
+        key = (context[DEPTH - depth :], place)
         a, b = counts.get(key, (0, 0))
         own = ((a, b)[bit] + 0.5) / (a + b + 1)
-        if depth == 4:
+        if depth == DEPTH:
             return own
         trust = math.exp(kt(a, b) - math.log(2) - logs.get(key, 0.0))
         return trust * own + (1 - trust) * told(context, place, bit, depth + 1)
@@ -94,5 +94,5 @@ def test_query(spark):
     rows = op6_context_tree(spark, SMALL).collect()
     unseen = [r for r in rows if r.held_out]
     assert len(unseen) > 10 and all(r.score < 0 for r in rows)
-    assert sum(r.score for r in unseen) > sum(r.base_score for r in unseen)
-    assert sum(r.score for r in unseen) / sum(r.n_bytes for r in unseen) * -math.log2(10) < 4
+    # The tree has learned from 200 documents only; their words' entropy is about two bits a byte.
+    assert sum(r.score for r in unseen) / sum(r.n_bytes for r in unseen) * -math.log2(10) < 3
