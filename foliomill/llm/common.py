@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from foliomill.session import durable
 
-__all__ = ["annotate", "durable", "held_out", "mixed", "pieces", "quoted", "shared_folder", "table", "texts_of", "utf8"]
+__all__ = ["annotate", "durable", "held_out", "mixed", "pieces", "quoted", "shared_folder", "small", "table", "texts_of", "utf8"]
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -38,6 +38,11 @@ def shared_folder(spark: SparkSession, kind: str) -> str:
     return f"{base.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
+def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
+    """``df``, marked for broadcast if it has no more than ``rows`` rows (of a hundred bytes or so); joined as usual else."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
 def pieces(batches: Iterable[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
     """The same rows in slices of about ``limit`` bytes, so that work arrays stay small."""
     for batch in batches:

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from foliomill.llm.common import durable, grouped, quoted, shared_folder, table
+from foliomill.llm.common import durable, grouped, quoted, shared_folder, small, table
 
 # The format's signs.
 MAGIC, END = "WARC/1.1\r\n", "\r\n\r\n"
@@ -43,7 +43,8 @@ def write_archives(pages: DataFrame, path: str, id_column: str = "page_id", url:
     rows = pages.select(quoted(id_column).cast("bigint").alias("id"), quoted(url).alias("url"), F.coalesce(quoted(payload), F.lit("")).alias("payload"))
     rows = rows.withColumn("digest", F.sha2(F.col("payload").cast("binary"), 256)).withColumn("bytes", F.octet_length("payload"))
     same = rows.where(F.col("bytes") >= REVISIT_BYTES).groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("copies"))
-    rows = rows.join(durable(same.where("copies > 1 and first is not null").select("digest", "first")), "digest", "left")
+    # Few payloads repeat as a rule; then the others stay where they are.
+    rows = rows.join(small(durable(same.where("copies > 1 and first is not null").select("digest", "first"))), "digest", "left")
     again = F.col("first").isNotNull() & F.coalesce(F.col("id") != F.col("first"), F.lit(True))
     http = F.concat(F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "), F.col("bytes").cast("string"), F.lit(END))
     rows = rows.withColumn("again", again).withColumn("block", F.when(F.col("again"), http).otherwise(F.concat(http, "payload")))
