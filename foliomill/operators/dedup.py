@@ -24,11 +24,12 @@ def first_paths(files: DataFrame, key: str = "file_hash", path: str = "path", or
 
 
 def dedup_batch(files: DataFrame, key: str = "file_hash", path: str = "path", order: Column | None = None) -> DataFrame:
-    """One file per hash: the first in scan order, with all its columns."""
+    """One file per hash: the first in scan order, with all its columns.  Files without a hash all stay."""
     order = path_order(F.col(path)) if order is None else order
     rest = [c for c in files.columns if c != key]
-    chosen = files.groupBy(key).agg(F.min_by(F.struct(*rest), order).alias("_first"))
-    return chosen.select(key, "_first.*").select(*files.columns)
+    hashed = files.where(F.col(key).isNotNull())
+    chosen = hashed.groupBy(key).agg(F.min_by(F.struct(*rest), order).alias("_first"))
+    return chosen.select(key, "_first.*").select(*files.columns).union(files.where(F.col(key).isNull()))
 
 
 def drop_known(files: DataFrame, registry: DataFrame, key: str = "file_hash") -> DataFrame:
