@@ -204,8 +204,21 @@ def dealt(parts: int):
     return run
 
 
+def ranked(key: np.ndarray, bits: np.uint64) -> tuple[np.ndarray, np.ndarray]:
+    """The order of ``key``, and where in it a new value begins; ``bits`` hold any place in it."""
+    if int(key.max(initial=0)).bit_length() + int(bits) <= 64:
+        both = np.sort((key << bits) | np.arange(len(key), dtype=np.uint64))
+        order, key = (both & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64), both >> bits
+    else:
+        order = np.argsort(key)
+        key = key[order]
+    new = np.ones(len(key), bool)
+    new[1:] = key[1:] != key[:-1]
+    return order, new
+
+
 class RunLengthIndex:
-    """Run-length BWT of several texts, each followed by an end sign, with samples where runs begin."""
+    """Run-length BWT of several texts, each followed by an end sign of its own, with samples where runs begin."""
 
     def __init__(self, data: np.ndarray, sizes: np.ndarray, length: int = LENGTH):
         ends = np.cumsum(sizes + 1) - 1
@@ -214,34 +227,50 @@ class RunLengthIndex:
         inside[ends] = False
         text[inside] = data.astype(np.uint16) + 1
         self.text, self.length = text, length
-        order = self._sorted()
+        order = self._sorted(np.repeat(ends, sizes + 1) - np.arange(len(text)))
         before = text[order - 1]
-        heads = np.ones(len(order), bool)
-        heads[1:] = before[1:] != before[:-1]
+        # End signs differ from one another, so none of them continues a run.
+        heads = before == 0
+        heads[:1] = True
+        heads[1:] |= before[1:] != before[:-1]
         self.run_starts = np.flatnonzero(heads)
         self.run_bytes = before[self.run_starts]
         # Each sample: the place that the byte at a run's head stands at.
         self.samples = (order[self.run_starts] - 1) % max(len(order), 1)
         self.order = order
 
-    def _sorted(self) -> np.ndarray:
+    def _sorted(self, left: np.ndarray) -> np.ndarray:
+        """The places in the order of their suffixes; ``left`` is how far each is from its end sign.
+
+        Prefix doubling, where only suffixes that still tie are sorted further.  Suffixes that agree up to their end
+        signs are in the order of their places.
+        """
         text, n = self.text, len(self.text)
-        rank = np.zeros(n, np.uint64)
-        for i in range(7):
-            rank[: n - i] |= text[i:].astype(np.uint64) << np.uint64(9 * (6 - i))
-        depth = 7
+        bits = np.uint64(max(n.bit_length(), 1))
+        present = np.bincount(text, minlength=1) > 0
+        present[0] = True
+        code = (np.cumsum(present) - 1).astype(np.uint64)[text]
+        width = max(int(present.sum() - 1).bit_length(), 1)
+        depth = (64 - int(bits)) // width
+        key = np.zeros(n, np.uint64)
+        for i in range(depth):
+            key <<= np.uint64(width)
+            key[: n - i] |= np.where(left[: n - i] >= i, code[i:], np.uint64(0))
+        order, new = ranked(key, bits)
+        slots = np.arange(n)
+        number = np.empty(n, np.int64)
         while True:
-            order = np.argsort(rank)
-            values = rank[order]
-            new = np.zeros(n, np.uint64)
-            new[1:] = values[1:] != values[:-1]
-            number = np.empty(n, np.uint64)
-            number[order] = np.cumsum(new, dtype=np.uint64)
-            # The transform needs the order of whole suffixes.
-            if int(new.sum()) == n - 1:
+            # A class is numbered by the slot that its first member has.
+            number[order[slots]] = np.maximum.accumulate(np.where(new, slots, 0))
+            tied = ~new
+            tied[:-1] |= ~new[1:]
+            slots = slots[tied]
+            if not len(slots):
                 return order
-            rank = number << np.uint64(32)
-            rank[: n - depth] |= number[depth:] + np.uint64(1)
+            at = order[slots]
+            further = np.where(left[at] >= depth, number[np.minimum(at + depth, n - 1)], at)
+            moved, new = ranked((number[at].astype(np.uint64) << bits) | further.astype(np.uint64), bits)
+            order[slots] = at[moved]
             depth *= 2
 
     def matches(self) -> np.ndarray:
@@ -258,7 +287,7 @@ class RunLengthIndex:
         for step in range(self.length):
             x, y = a[left] + step, b[left] + step
             fine = (x < n) & (y < n)
-            fine[fine] = text[x[fine]] == text[y[fine]]
+            fine[fine] = (text[x[fine]] == text[y[fine]]) & (text[x[fine]] > 0)
             left = left[fine]
             size[left] += 1
         far[a] = size
@@ -330,8 +359,18 @@ def compared(group: pa.Table) -> pa.RecordBatch:
             owner, head, end = lost_runs(earliest, begin, doc[rows], start[rows], many[rows])
             spans.append((node[rows][owner], head, end))
     node, start, end = (np.concatenate(x) for x in zip(*spans))
-    out = [(int(node[at[0]]), np.stack([start[at], end[at]], 1).astype("<u4").tobytes()) for _, at in split_by(node)]
-    return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.binary())], names=["node", "spans"])
+    order = np.lexsort((start, node))
+    node, start, end = node[order], start[order], end[order]
+    # Runs that overlap are one; a document's come one after another, so each is moved beyond those before.
+    other = np.ones(len(node), bool)
+    other[1:] = node[1:] != node[:-1]
+    shift = np.cumsum(other) << 32
+    reach = np.maximum.accumulate(end + shift)
+    head = np.ones(len(node), bool)
+    head[1:] = start[1:] + shift[1:] > reach[:-1]
+    at = np.flatnonzero(head)
+    last = reach[np.append(at[1:], len(node))[: len(at)] - 1] - shift[at]
+    return pa.RecordBatch.from_arrays([pa.array(node[at], pa.int64()), pa.array((start[at] << 32) + last, pa.int64())], names=["node", "span"])
 
 
 def lost_runs(low: np.ndarray, begin: np.ndarray, doc: np.ndarray, start: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -348,10 +387,10 @@ def lost_runs(low: np.ndarray, begin: np.ndarray, doc: np.ndarray, start: np.nda
     return owner[head], place[head], place[tail] + LENGTH
 
 
-def merged(spans: bytes) -> np.ndarray:
-    """Maximal runs of the bytes that ``spans`` cover, as rows of begin and end."""
-    both = np.frombuffer(spans, "<u4").astype(np.int64).reshape(-1, 2)
-    both = both[np.argsort(both[:, 0], kind="stable")]
+def merged(spans: list[int]) -> np.ndarray:
+    """Maximal runs of the bytes that ``spans`` cover, as rows of begin and end; a span is begin * 2**32 + end."""
+    both = np.sort(np.array(spans, np.int64))
+    both = np.stack([both >> 32, both & (2**32 - 1)], 1)
     reach = np.maximum.accumulate(both[:, 1])
     new = np.ones(len(both), bool)
     new[1:] = both[1:, 0] > reach[:-1]
@@ -364,7 +403,7 @@ def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out = []
         for node, packed_text, size, spans in zip(*(batch.column(i).to_pylist() for i in range(4))):
             text = pa.Codec("zstd").decompress(packed_text, size, asbytes=True)
-            runs = merged(b"".join(spans))
+            runs = merged(spans)
             ends = [0, *runs[:, 1].tolist()]
             kept = b"".join(text[a:b] for a, b in zip(ends, [*runs[:, 0].tolist(), len(text)]))
             out.append((node, int((runs[:, 1] - runs[:, 0]).sum()), runs.astype("<u4").tobytes(), hashlib.sha256(kept).hexdigest(), kept))
@@ -408,12 +447,13 @@ def repeats(docs: DataFrame, text: str = "text", id_column: str = "doc_id", with
     lone = light.where("id = first").select("node").distinct()
     shared = shared.join(lone, "node", "left_semi")
     small = eligible.select("node", "id", "text").mapInArrow(squeezed, "node bigint, id bigint, packed binary, size bigint")
-    chosen = durable(small.join(durable(shared), "node"))
+    # Rows that repeat an id and text are one; the join has them in one place already.
+    chosen = durable(small.join(durable(shared), "node").dropDuplicates(["node"]))
     stretch = chosen.agg(F.sum("size")).first()[0] or 0
     parts = 1 + stretch // DEAL_BYTES
     deal = chosen.mapInArrow(dealt(parts), "part int, settled boolean, nodes binary, docs binary, who binary, start binary, many binary, low binary, bytes binary")
-    lost = grouped(deal, ["part"], compared, "node bigint, spans binary").groupBy("node").agg(F.collect_list("spans").alias("spans"))
-    lost = chosen.dropDuplicates(["node"]).select("node", "packed", "size").join(durable(lost), "node")
+    lost = grouped(deal, ["part"], compared, "node bigint, span bigint").groupBy("node").agg(F.collect_list("span").alias("spans"))
+    lost = chosen.select("node", "packed", "size").join(durable(lost), "node")
     lost = lost.mapInArrow(trimmed, "node bigint, n_removed bigint, runs binary, kept_sha256 string, kept binary")
     if not with_kept:
         lost = lost.drop("kept")
