@@ -32,13 +32,35 @@ LENGTH, GRAM = 50, 16
 PART_BYTES = 32 << 20
 # Bytes of candidate texts behind one part of the stretches, and of stretches that are indexed at once.
 DEAL_BYTES, INDEX_BYTES = 12 << 20, 2 << 20
+# Bytes of texts whose strings are looked at together.
+BLOCK_BYTES = 1 << 20
 HERE = np.uint32(2**32 - 1)
 # Minimizers are told by 48 of their bits; a chance agreement costs a comparison, no wrong result.
 NAME_SHIFT = np.uint64(16)
 
 
+def blocks(offsets: np.ndarray) -> Iterator[tuple[int, int]]:
+    """First of, and first after, the pieces between ``offsets`` that make up about ``BLOCK_BYTES`` each time."""
+    begin = 0
+    while begin < len(offsets) - 1:
+        end = max(begin + 1, int(np.searchsorted(offsets, offsets[begin] + BLOCK_BYTES, "right")) - 1)
+        yield begin, end
+        begin = end
+
+
 def stretches(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """Maximal runs of ``length``-byte strings with one minimizer: its hash, first byte, number of strings, text."""
+    """Maximal runs of ``length``-byte strings with one minimizer: its hash, first byte, number of strings, text.
+
+    Whole texts are taken about ``BLOCK_BYTES`` at a time, as the work arrays hold many bytes for each of theirs.
+    """
+    found = [block_stretches(data[:0], np.zeros(1, np.int64), length)]
+    for a, b in blocks(offsets):
+        low, start, many, text = block_stretches(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], length)
+        found.append((low, start + offsets[a], many, text + a))
+    return tuple(np.concatenate(x) for x in zip(*found))
+
+
+def block_stretches(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple[np.ndarray, ...]:
     none = np.zeros(0, np.int64)
     if len(data) < length:
         return none.astype(np.uint64), none, none, none
@@ -48,7 +70,9 @@ def stretches(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tu
     grams = x[: len(x) - GRAM + 1] * np.uint64(0x9E3779B97F4A7C15)
     grams ^= grams >> np.uint64(29)
     grams += x[8 : 8 + len(grams)] * np.uint64(0xC2B2AE3D27D4EB4F)
+    del x
     low = mixed(grams)
+    del grams
     span, width = 1, length - GRAM + 1
     while 2 * span <= width:
         low = np.minimum(low[:-span], low[span:])
@@ -57,7 +81,7 @@ def stretches(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH) -> tu
     low = np.minimum(low[: len(low) - rest], low[rest:]) if rest else low
     count = np.maximum(np.diff(offsets) - length + 1, 0)
     text = np.repeat(np.arange(len(count)), count)
-    place = np.arange(len(text)) - np.repeat(np.cumsum(count) - count, count) + offsets[:-1][text]
+    place = np.arange(len(text)) + np.repeat(offsets[:-1] - np.cumsum(count) + count, count)
     low = low[place]
     new = np.ones(len(low), bool)
     new[1:] = (low[1:] != low[:-1]) | (text[1:] != text[:-1])
@@ -162,6 +186,12 @@ def cut_out(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray
     return data[np.arange(int(size.sum())) - np.repeat(begin - start, size)]
 
 
+def content_hashes(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Hashes of the strings of ``size`` bytes at ``start``."""
+    offsets = np.concatenate([[0], np.cumsum(size)])
+    return np.concatenate([np.zeros(0, np.uint64), *(hashes(cut_out(data, start[a:b], size[a:b]), size[a:b]) for a, b in blocks(offsets))])
+
+
 def dealt(parts: int):
     """Per task: the stretches under shared minimizers, to the parts that compare them."""
 
@@ -178,7 +208,7 @@ def dealt(parts: int):
             low, start, many, text = low[wanted], start[wanted], many[wanted], text[wanted]
             doc, node = batch.column(1).to_numpy(), batch.column(0).to_numpy()
             size = many + LENGTH - 1
-            same = hashes(cut_out(data, start, size), size)
+            same = content_hashes(data, start, size)
             # Of equal stretches of a slice only the earliest document's goes out; later documents lose theirs.
             order = np.lexsort((doc[text], same, low))
             low, start, many, text, same, size = (a[order] for a in (low, start, many, text, same, size))
@@ -331,7 +361,7 @@ def compared(group: pa.Table) -> pa.RecordBatch:
         size = many + LENGTH - 1
         at = np.cumsum(size) - size
         # Equal stretches are taken once, as the earliest document's.
-        same = hashes(data, size)
+        same = content_hashes(data, at, size)
         order = np.lexsort((doc, size, same, low))
         new = np.ones(len(order), bool)
         for values in (low, same, size):
