@@ -91,7 +91,7 @@ def block_stretches(data: np.ndarray, offsets: np.ndarray, length: int) -> tuple
 
 def packed(*arrays: np.ndarray) -> list[bytes]:
     """Compressed cells; the bytes of integers stand plane by plane, as the high ones are much alike."""
-    codec, out = pa.Codec("zstd", 1), []
+    codec, out = pa.Codec("zstd", 3), []
     for array in arrays:
         planes = np.ascontiguousarray(array).view(np.uint8).reshape(len(array), array.dtype.itemsize).T.tobytes()
         out.append(np.int64(len(planes)).tobytes() + codec.compress(planes, asbytes=True))
@@ -105,6 +105,11 @@ def unpacked(cell: bytes, kind: type) -> np.ndarray:
     return np.ascontiguousarray(planes.reshape(width, size // width).T).view(kind).reshape(-1)
 
 
+def steps(rising: np.ndarray) -> np.ndarray:
+    """Differences of sorted numbers, whose high bytes are mostly zero; ``np.cumsum`` brings the numbers back."""
+    return np.diff(rising, prepend=rising.dtype.type(0))
+
+
 def split_by(part: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
     order = np.argsort(part, kind="stable")
     values, first = np.unique(part[order], return_index=True)
@@ -141,9 +146,9 @@ def offered(parts: int):
             place = (low >> np.uint64(16)).astype(np.int64) % parts
             for value, at in split_by(place[sent]):
                 who = np.where(shared[sent][at], HERE, text[sent][at].astype(np.uint32))
-                rows.append((value, False, node.tobytes(), content.tobytes(), *packed(who, low[sent][at])))
+                rows.append((value, False, node.tobytes(), content.tobytes(), *packed(who, steps(low[sent][at]))))
             if shared.any():
-                rows.append((int(node[0]) % parts, True, node.tobytes(), content.tobytes(), *packed(text[shared].astype(np.uint32), low[shared])))
+                rows.append((int(node[0]) % parts, True, node.tobytes(), content.tobytes(), *packed(text[shared].astype(np.uint32), steps(low[shared]))))
             names = ["part", "settled", "nodes", "contents", "who", "low"]
             kinds = [pa.int32(), pa.bool_(), *[pa.binary()] * 4]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows) if rows else [[]] * 6, kinds)], names=names)
@@ -155,7 +160,7 @@ def answered(group: pa.Table) -> pa.RecordBatch:
     """The shared minimizers of each document, from one part's offers."""
     node, low, content, settled_node, settled_low = [], [], [], [], []
     for settled, nodes, contents, who, values in zip(*(group.column(c).to_pylist() for c in ("settled", "nodes", "contents", "who", "low"))):
-        nodes, contents, who, values = np.frombuffer(nodes, np.int64), np.frombuffer(contents, np.int64), unpacked(who, np.uint32), unpacked(values, np.uint64)
+        nodes, contents, who, values = np.frombuffer(nodes, np.int64), np.frombuffer(contents, np.int64), unpacked(who, np.uint32), np.cumsum(unpacked(values, np.uint64), dtype=np.uint64)
         if settled:
             settled_node.append(nodes[who])
             settled_low.append(values)
@@ -177,8 +182,9 @@ def answered(group: pa.Table) -> pa.RecordBatch:
         settled_node.append(node[shared])
         settled_low.append(low[shared])
     node, low = np.concatenate(settled_node), np.concatenate(settled_low)
-    out = [(value, low[at].tobytes()) for value, at in split_by(node)]
-    return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.binary())], names=["node", "low"])
+    # A document's stand together, which packs better in the shuffle.
+    order = np.argsort(node, kind="stable")
+    return pa.RecordBatch.from_arrays([pa.array(node[order], pa.int64()), pa.array(low[order].view(np.int64), pa.int64())], names=["node", "low"])
 
 
 def cut_out(data: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -201,8 +207,8 @@ def dealt(parts: int):
             data = np.frombuffer(b"".join(texts), np.uint8)
             offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
             low, start, many, text = stretches(data, offsets)
-            answers = [np.frombuffer(b"".join(x), np.uint64) for x in batch.column(4).to_pylist()]
-            asked = np.concatenate(answers), np.repeat(np.arange(len(answers)), [len(a) for a in answers])
+            answers = batch.column(4)
+            asked = answers.flatten().to_numpy().view(np.uint64), np.repeat(np.arange(len(answers)), answers.value_lengths().to_numpy())
             names = mixed((low >> NAME_SHIFT) + mixed(text.astype(np.uint64)))
             wanted = np.isin(names, mixed(asked[0] + mixed(asked[1].astype(np.uint64))))
             low, start, many, text = low[wanted], start[wanted], many[wanted], text[wanted]
@@ -222,7 +228,7 @@ def dealt(parts: int):
             for value, at in split_by((low[sent] >> np.uint64(20)).astype(np.int64) % parts):
                 at = np.flatnonzero(sent)[at]
                 who, at_text = np.unique(text[at], return_inverse=True)
-                cells = packed(at_text.astype(np.uint32), inner[at], many[at].astype(np.uint32), low[at], cut_out(data, start[at], size[at]))
+                cells = packed(at_text.astype(np.uint32), inner[at], many[at].astype(np.uint32), steps(low[at] >> NAME_SHIFT), cut_out(data, start[at], size[at]))
                 rows.append((value, False, node[who].tobytes(), doc[who].tobytes(), *cells))
             if lost.any():
                 cells = packed(text[lost].astype(np.uint32), inner[lost], many[lost].astype(np.uint32), low[:0], np.zeros(0, np.uint8))
@@ -354,7 +360,7 @@ def compared(group: pa.Table) -> pa.RecordBatch:
         doc.append(np.frombuffer(docs, np.int64)[who])
         start.append(begin)
         many.append(count)
-        low.append(unpacked(kind, np.uint64))
+        low.append(np.cumsum(unpacked(kind, np.uint64), dtype=np.uint64))
         data.append(unpacked(bytes_, np.uint8))
     if node:
         node, doc, start, many, low, data = (np.concatenate(x) for x in (node, doc, start, many, low, data))
@@ -443,7 +449,7 @@ def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    codec = pa.Codec("zstd", 1)
+    codec = pa.Codec("zstd", 3)
     for batch in batches:
         texts = [(t or "").encode() for t in batch.column(2).to_pylist()]
         yield pa.RecordBatch.from_arrays(
@@ -472,7 +478,7 @@ def repeats(docs: DataFrame, text: str = "text", id_column: str = "doc_id", with
     parts = 1 + total // PART_BYTES
     offers = eligible.select("node", "text", F.xxhash64("key").alias("content"), "id")
     offers = offers.mapInArrow(offered(parts), "part int, settled boolean, nodes binary, contents binary, who binary, low binary")
-    shared = grouped(offers, ["part"], answered, "node bigint, low binary").groupBy("node").agg(F.collect_list("low").alias("low"))
+    shared = grouped(offers, ["part"], answered, "node bigint, low bigint").groupBy("node").agg(F.collect_list("low").alias("low"))
     # A copy of an earlier document goes as a whole.
     lone = light.where("id = first").select("node").distinct()
     shared = shared.join(lone, "node", "left_semi")
