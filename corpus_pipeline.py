@@ -16,7 +16,7 @@ from foliomill.llm.common import annotate, durable, quoted, shared_folder, table
 from foliomill.llm.op01_language_id import UNKNOWN, identify, learn
 from foliomill.llm.op02_minhash_dedup import near_duplicates
 from foliomill.llm.op03_decontamination import find_items
-from foliomill.llm.op09_substring_dedup import repeats
+from foliomill.llm.op09_substring_dedup import removed_runs, row_name, without
 from foliomill.llm.op10_packing import pack
 
 
@@ -52,20 +52,41 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
     A character that is cut in two goes as a whole.  A document of which nothing but white space is left goes.
     """
-    cut = repeats(docs).where("n_removed > 0").select(F.col("doc_id").alias("_id"), "kept").dropDuplicates(["_id"])
-    joined = aside(docs).join(durable(cut), F.col("given_doc_id") == F.col("_id"), "left")
+    cut = durable(removed_runs(docs))
+
+    def squeeze():
+        codec = pa.Codec("zstd", 3)
+
+        def work(text: pa.Array) -> list[pa.Array]:
+            texts = [None if t is None else t.encode() for t in text.to_pylist()]
+            packed = [None if t is None else codec.compress(t, asbytes=True) for t in texts]
+            return [pa.array(packed, pa.binary()), pa.array([len(t or b"") for t in texts], pa.int64())]
+
+        return work
+
+    # Texts travel compressed, and once.
+    named = aside(docs).withColumn("_row", row_name("given_text", "given_doc_id"))
+    rest = [c for c in named.columns if c != "given_text"]
+    packed = annotate(named, squeeze, [T.StructField("_packed", T.BinaryType()), T.StructField("_size", T.LongType())], ["given_text"], rest)
+    joined = packed.join(cut, F.col("_row") == F.col("node"), "left")
 
     def start():
-        def work(given: pa.Array, kept: pa.Array) -> list[pa.Array]:
-            texts = [a if b is None else b.decode("utf-8", "ignore") for a, b in zip(given.to_pylist(), kept.to_pylist())]
-            gone = [b is not None and not t.strip() for t, b in zip(texts, kept.to_pylist())]
-            return [pa.array(texts, pa.string()), pa.array(gone, pa.bool_()), pa.array([b is not None for b in kept.to_pylist()])]
+        codec = pa.Codec("zstd")
+
+        def work(packed: pa.Array, size: pa.Array, runs: pa.Array) -> list[pa.Array]:
+            texts, runs = [], runs.to_pylist()
+            for z, n, r in zip(packed.to_pylist(), size.to_pylist(), runs):
+                text = z if z is None else codec.decompress(z, n, asbytes=True) if n else b""
+                texts.append(text if text is None or r is None else without(text, r))
+            texts = [t if t is None else t.decode("utf-8", "ignore") for t in texts]
+            gone = [r is not None and not t.strip() for t, r in zip(texts, runs)]
+            return [pa.array(texts, pa.string()), pa.array(gone, pa.bool_()), pa.array([r is not None for r in runs], pa.bool_())]
 
         return work
 
     fields = [T.StructField("_left", T.StringType()), T.StructField("_empty", T.BooleanType()), T.StructField("_cut", T.BooleanType())]
-    kept = [c for c in joined.columns if c.startswith("given_") and c != "given_text"]
-    done = annotate(joined, start, fields, ["given_text", "kept"], kept).where(~F.col("_empty"))
+    kept = [c for c in rest if c != "_row"]
+    done = annotate(joined, start, fields, ["_packed", "_size", "runs"], kept).where(~F.col("_empty"))
     new = {"text": F.col("_left")}
     if "n_chars" in docs.columns:
         kind = docs.schema["n_chars"].dataType

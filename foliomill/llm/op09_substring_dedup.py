@@ -21,7 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliomill.llm.common import durable, grouped, mixed, pieces, quoted, table, utf8
@@ -440,9 +440,9 @@ def trimmed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for node, packed_text, size, spans in zip(*(batch.column(i).to_pylist() for i in range(4))):
             text = pa.Codec("zstd").decompress(packed_text, size, asbytes=True)
             runs = merged(spans)
-            ends = [0, *runs[:, 1].tolist()]
-            kept = b"".join(text[a:b] for a, b in zip(ends, [*runs[:, 0].tolist(), len(text)]))
-            out.append((node, int((runs[:, 1] - runs[:, 0]).sum()), runs.astype("<u4").tobytes(), hashlib.sha256(kept).hexdigest(), kept))
+            cells = runs.astype("<u4").tobytes()
+            kept = without(text, cells)
+            out.append((node, int((runs[:, 1] - runs[:, 0]).sum()), cells, hashlib.sha256(kept).hexdigest(), kept))
         kinds = [pa.int64(), pa.int64(), pa.binary(), pa.string(), pa.binary()]
         columns = zip(*out) if out else [[]] * 5
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["node", "n_removed", "runs", "kept_sha256", "kept"])
@@ -458,16 +458,23 @@ def squeezed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def repeats(docs: DataFrame, text: str = "text", id_column: str = "doc_id", with_kept: bool = True) -> DataFrame:
-    """Per row of ``docs``: the id, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``, ``runs`` (removed bytes as
-    little-endian 32-bit pairs of begin and end) and, if asked for, ``kept``: the remaining bytes, null if they are all.
+def joined_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        runs = [merged(spans).astype("<u4").tobytes() for spans in batch.column(1).to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(runs, pa.binary())], names=["node", "runs"])
 
-    A byte goes if a string of 50 bytes over it also starts in a document of smaller id.  Null counts as empty.  A row
-    without id is left whole and costs no other row anything; rows of equal id cost one another nothing.
-    """
+
+def row_name(text: str, id_column: str) -> Column:
+    """A hash that tells rows of different id or text apart."""
     body = F.coalesce(quoted(text).cast("string"), F.lit(""))
-    base = docs.select(quoted(id_column).cast("bigint").alias("id"), body.alias("text"))
-    base = base.withColumn("key", F.sha2(F.col("text").cast("binary"), 256)).withColumn("node", F.xxhash64("id", "key"))
+    return F.xxhash64(quoted(id_column).cast("bigint"), F.unhex(F.sha2(body.cast("binary"), 256)))
+
+
+def searched(docs: DataFrame, text: str, id_column: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The rows without texts, the texts (compressed) of those that share a minimizer, and the spans that these lose."""
+    body = F.coalesce(quoted(text).cast("string"), F.lit(""))
+    base = docs.select(quoted(id_column).cast("bigint").alias("id"), body.alias("text"), row_name(text, id_column).alias("node"))
+    base = base.withColumn("key", F.unhex(F.sha2(F.col("text").cast("binary"), 256)))
     light = durable(base.select("id", "key", "node", F.octet_length("text").cast("bigint").alias("n_bytes")))
     total = light.agg(F.sum("n_bytes")).first()[0] or 0
     firsts = durable(light.where("id is not null").groupBy("key").agg(F.min("id").alias("first")))
@@ -484,29 +491,62 @@ def repeats(docs: DataFrame, text: str = "text", id_column: str = "doc_id", with
     shared = shared.join(lone, "node", "left_semi")
     small = eligible.select("node", "id", "text").mapInArrow(squeezed, "node bigint, id bigint, packed binary, size bigint")
     # Rows that repeat an id and text are one; the join has them in one place already.
-    chosen = durable(small.join(durable(shared), "node").dropDuplicates(["node"]))
+    chosen = durable(small.join(shared, "node").dropDuplicates(["node"]))
     stretch = chosen.agg(F.sum("size")).first()[0] or 0
     parts = 1 + stretch // DEAL_BYTES
     deal = chosen.mapInArrow(dealt(parts), "part int, settled boolean, nodes binary, docs binary, who binary, start binary, many binary, low binary, bytes binary")
     lost = grouped(deal, ["part"], compared, "node bigint, span bigint").groupBy("node").agg(F.collect_list("span").alias("spans"))
+    return light, chosen, lost
+
+
+def whole_rows() -> tuple[Column, Column]:
+    """Whether a row is a copy of an earlier one, which goes as a whole; and its one run."""
+    digits = F.lpad(F.hex("n_bytes"), 8, "0")
+    run = F.unhex(F.concat(F.lit("00000000"), *(F.substring(digits, i, 2) for i in (7, 5, 3, 1))))
+    return (F.col("id") > F.col("first")) & (F.col("n_bytes") >= LENGTH), run
+
+
+def repeats(docs: DataFrame, text: str = "text", id_column: str = "doc_id", with_kept: bool = True) -> DataFrame:
+    """Per row of ``docs``: the id, ``n_bytes``, ``n_removed``, ``n_spans``, ``kept_sha256``, ``runs`` (removed bytes as
+    little-endian 32-bit pairs of begin and end) and, if asked for, ``kept``: the remaining bytes, null if they are all.
+
+    A byte goes if a string of 50 bytes over it also starts in a document of smaller id.  Null counts as empty.  A row
+    without id is left whole and costs no other row anything; rows of equal id cost one another nothing.
+    """
+    light, chosen, lost = searched(docs, text, id_column)
     lost = chosen.select("node", "packed", "size").join(durable(lost), "node")
     lost = lost.mapInArrow(trimmed, "node bigint, n_removed bigint, runs binary, kept_sha256 string, kept binary")
     if not with_kept:
         lost = lost.drop("kept")
-    whole = (F.col("id") > F.col("first")) & (F.col("n_bytes") >= LENGTH)
-    digits = F.lpad(F.hex("n_bytes"), 8, "0")
-    all_of_it = F.unhex(F.concat(F.lit("00000000"), *(F.substring(digits, i, 2) for i in (7, 5, 3, 1))))
+    whole, all_of_it = whole_rows()
     out = light.join(durable(lost), "node", "left").select(
         F.col("id").alias(id_column),
         "n_bytes",
         F.when(whole, F.col("n_bytes")).otherwise(F.coalesce("n_removed", F.lit(0))).alias("n_removed"),
         F.when(whole, 1).otherwise(F.coalesce(F.octet_length("runs") / 8, F.lit(0))).cast("bigint").alias("n_spans"),
-        F.when(whole, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("kept_sha256", "key")).alias("kept_sha256"),
+        F.when(whole, F.sha2(F.lit("").cast("binary"), 256)).otherwise(F.coalesce("kept_sha256", F.lower(F.hex("key")))).alias("kept_sha256"),
         F.when(whole, all_of_it).otherwise(F.coalesce("runs", F.lit(b""))).alias("runs"),
         *([F.when(whole, F.lit(b"")).otherwise(F.col("kept")).alias("kept")] if with_kept else []),
     )
     return out
 
 
+def removed_runs(docs: DataFrame, text: str = "text", id_column: str = "doc_id") -> DataFrame:
+    """``node`` (the ``row_name`` of rows) and ``runs`` as ``repeats`` has them, once each and only where bytes go.
+
+    For those who hold the texts themselves: none is moved again.
+    """
+    light, _, lost = searched(docs, text, id_column)
+    whole, all_of_it = whole_rows()
+    copies = light.where(whole).select("node", all_of_it.alias("runs")).distinct()
+    return lost.mapInArrow(joined_runs, "node bigint, runs binary").union(copies)
+
+
+def without(text: bytes, runs: bytes) -> bytes:
+    """What is left of ``text`` without ``runs``."""
+    pairs = np.frombuffer(runs, "<u4").reshape(-1, 2)
+    return b"".join(text[a:b] for a, b in zip([0, *pairs[:, 1].tolist()], [*pairs[:, 0].tolist(), len(text)]))
+
+
 def op9_substring_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return repeats(table(spark, folder, "documents"), with_kept=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")

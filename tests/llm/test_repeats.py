@@ -3,7 +3,7 @@ import random
 
 import numpy as np
 
-from foliomill.llm.op09_substring_dedup import LENGTH, RunLengthIndex, op9_substring_dedup, repeats, stretches
+from foliomill.llm.op09_substring_dedup import LENGTH, RunLengthIndex, op9_substring_dedup, removed_runs, repeats, row_name, stretches, without
 
 SMALL = "/root/testdata/sf0.01"
 
@@ -82,6 +82,11 @@ def test_cases(docs_of):
         assert hashlib.sha256(r.kept).hexdigest() == r.kept_sha256
         pairs = np.frombuffer(r.runs, "<u4").reshape(-1, 2)
         assert int((pairs[:, 1] - pairs[:, 0]).sum()) == r.n_removed and len(pairs) == r.n_spans
+    given = docs_of([(*r, 1) for r in rows], ", n_bytes int").repartition(4)
+    named = given.withColumn("node", row_name("text", "doc_id")).join(removed_runs(given), "node", "left").collect()
+    left = [(r.doc_id, (r.text or "").encode() if r.runs is None else without((r.text or "").encode(), r.runs)) for r in named]
+    assert sorted(left, key=repr) == sorted([(w[0], w[5]) for w in want], key=repr)
+    assert removed_runs(docs_of([])).count() == 0
     assert repeats(docs_of([])).count() == 0
     assert plain(repeats(docs_of([(1, "b" * 70)]))) == [w[:5] for w in brute([(1, "b" * 70)])]
 
