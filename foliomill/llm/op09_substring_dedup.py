@@ -31,7 +31,7 @@ LENGTH, GRAM = 50, 16
 # Bytes of text behind one part of the minimizers; parts are as many as the input asks for.
 PART_BYTES = 32 << 20
 # Bytes of candidate texts behind one part of the stretches, and of stretches that are indexed at once.
-DEAL_BYTES, INDEX_BYTES = 12 << 20, 2 << 20
+DEAL_BYTES, INDEX_BYTES = 8 << 20, 1 << 20
 # Bytes of texts whose strings are looked at together.
 BLOCK_BYTES = 1 << 20
 HERE = np.uint32(2**32 - 1)
@@ -243,7 +243,9 @@ def dealt(parts: int):
 def ranked(key: np.ndarray, bits: np.uint64) -> tuple[np.ndarray, np.ndarray]:
     """The order of ``key``, and where in it a new value begins; ``bits`` hold any place in it."""
     if int(key.max(initial=0)).bit_length() + int(bits) <= 64:
-        both = np.sort((key << bits) | np.arange(len(key), dtype=np.uint64))
+        both = key << bits
+        both |= np.arange(len(key), dtype=np.uint64)
+        both.sort()
         order, key = (both & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64), both >> bits
     else:
         order = np.argsort(key)
@@ -293,6 +295,7 @@ class RunLengthIndex:
             key <<= np.uint64(width)
             key[: n - i] |= np.where(left[: n - i] >= i, code[i:], np.uint64(0))
         order, new = ranked(key, bits)
+        del key, code
         slots = np.arange(n)
         number = np.empty(n, np.int64)
         while True:
