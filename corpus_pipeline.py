@@ -12,12 +12,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliomill.llm.common import annotate, durable, quoted, shared_folder, table
+from foliomill.llm.common import annotate, durable, quoted, shared_folder, small, table, utf8
 from foliomill.llm.op01_language_id import UNKNOWN, identify, learn
-from foliomill.llm.op02_minhash_dedup import near_duplicates
+from foliomill.llm.op02_minhash_dedup import near_duplicates, word_keys
 from foliomill.llm.op03_decontamination import find_items
 from foliomill.llm.op09_substring_dedup import removed_runs, row_name, without
 from foliomill.llm.op10_packing import pack
+from foliomill.llm.words import split_words
 
 
 def aside(docs: DataFrame) -> DataFrame:
@@ -42,9 +43,28 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def minhash_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, that of the smallest id; rows that repeat it stay once."""
-    gone = durable(near_duplicates(docs).where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct())
-    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    """One document of each group of near duplicates, that of the smallest id; rows that repeat it stay once.
+
+    Rows of one id that differ in their words are documents of their own; a null id or a text without words repeats nothing.
+    """
+    found = durable(near_duplicates(docs).select(F.col("doc_id").alias("_id"), "kept"))
+    gone = durable(found.where(~F.col("kept")).select("_id").distinct())
+    left = docs.join(gone, docs["doc_id"] == gone["_id"], "left_anti")
+    again = found.where(F.col("kept") & F.col("_id").isNotNull()).groupBy("_id").agg(F.count("*").alias("_rows"))
+    again = small(durable(again.where(F.col("_rows") > 1).select("_id")))
+
+    def start():
+        return lambda text: [word_keys(split_words(*utf8(text)))]
+
+    # Only rows of ids that come again are moved, one per task and word sequence; texts that differ by more than their words
+    # are told apart by their order.
+    once = left.join(again, left["doc_id"] == again["_id"], "left_anti")
+    repeated = aside(left.join(again, left["doc_id"] == again["_id"], "left_semi"))
+    repeated = annotate(repeated, start, [T.StructField("_key", T.BinaryType())], ["given_text"])
+    wordless = back(repeated.where(F.col("_key").isNull()), docs)
+    given = F.struct(*(quoted(f"given_{c}") for c in docs.columns))
+    firsts = repeated.where(F.col("_key").isNotNull()).groupBy("given_doc_id", "_key").agg(F.min_by(given, "given_text").alias("_row"))
+    return once.union(wordless).union(back(firsts.select("_row.*"), docs))
 
 
 def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

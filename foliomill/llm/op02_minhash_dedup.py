@@ -87,6 +87,19 @@ def signatures(cells: np.ndarray, doc: np.ndarray, docs: int, size: int) -> np.n
     return best.reshape(docs, size)
 
 
+def word_keys(words: Words) -> pa.Array:
+    """128 bits of each text's word sequence, null without words."""
+    keys = []
+    for seed in (1, 2):
+        place = np.arange(len(words.hash)) - np.repeat(words.first[:-1], np.diff(words.first))
+        values = mixed(words.hash + mixed(place.astype(np.uint64) * np.uint64(2) + np.uint64(seed)))
+        # A list here would make floats of all, and the key depend on the texts before.
+        total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(values, dtype=np.uint64)])
+        keys.append(mixed(total[words.first[1:]] - total[words.first[:-1]] + np.diff(words.first).astype(np.uint64)))
+    key, some = np.stack(keys, axis=1).astype("<u8"), np.diff(words.first) > 0
+    return pa.array([k.tobytes() if s else None for k, s in zip(key, some)], pa.binary())
+
+
 def sketch(docs: DataFrame, text: str, id_column: str) -> DataFrame:
     """``id``, ``key`` (128 bits of the word sequence) and ``bands``; both are null without words."""
 
@@ -94,23 +107,15 @@ def sketch(docs: DataFrame, text: str, id_column: str) -> DataFrame:
         for batch in pieces(batches, 2 << 20):
             words = split_words(*utf8(batch.column(1)))
             rows = batch.num_rows
-            some = np.diff(words.first) > 0
             cells, doc = elements(words)
             darts = signatures(cells, doc, rows, BANDS * ROWS).reshape(rows, BANDS, ROWS)
             bands = np.repeat(np.arange(1, BANDS + 1, dtype=np.uint64)[None], rows, 0)
             for i in range(ROWS):
                 bands = mixed(bands + darts[:, :, i])
-            keys = []
-            for seed in (1, 2):
-                place = np.arange(len(words.hash)) - np.repeat(words.first[:-1], np.diff(words.first))
-                values = mixed(words.hash + mixed(place.astype(np.uint64) * np.uint64(2) + np.uint64(seed)))
-                total = np.concatenate([[0], np.cumsum(values, dtype=np.uint64)]).astype(np.uint64)
-                keys.append(mixed(total[words.first[1:]] - total[words.first[:-1]] + np.diff(words.first).astype(np.uint64)))
-            key = np.stack(keys, axis=1).astype("<u8")
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column(0),
-                    pa.array([k.tobytes() if s else None for k, s in zip(key, some)], pa.binary()),
+                    word_keys(words),
                     pa.ListArray.from_arrays(
                         pa.array(np.arange(rows + 1) * BANDS, pa.int32()), pa.array(bands.reshape(-1).view(np.int64))
                     ),

@@ -5,7 +5,7 @@ import numpy as np
 import pyarrow as pa
 
 from foliomill.llm.common import utf8
-from foliomill.llm.op02_minhash_dedup import elements, near_duplicates, op2_minhash_dedup, signatures
+from foliomill.llm.op02_minhash_dedup import elements, near_duplicates, op2_minhash_dedup, signatures, word_keys
 from foliomill.llm.words import split_words
 from test_decontamination import words_of
 
@@ -83,3 +83,9 @@ def test_cases(docs_of):
 def test_query(spark):
     rows = [tuple(r) for r in spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text").collect()]
     assert {r.doc_id: tuple(r)[1:] for r in op2_minhash_dedup(spark, SMALL).collect()} == brute(rows)
+
+
+def test_equal_words_have_one_key_wherever_they_stand():
+    rows = ["fgaa ccbb gbad", "x y z", "Fgaa, ccbb gbad\n", "", None]
+    keys = word_keys(split_words(*utf8(pa.array(rows)))).to_pylist()
+    assert keys[0] == keys[2] != keys[1] and keys[3] is keys[4] is None

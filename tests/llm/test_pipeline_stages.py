@@ -38,3 +38,16 @@ def test_stages_keep_columns_and_bear_odd_rows(spark):
         ids = {r.doc_id for r in frame.collect()}
         assert ids == ({*range(12), None} if frame.count() else set())
         corpus_pipeline.packing(spark, frame, SMALL).count()
+
+
+def test_repeated_rows_stay_once(spark):
+    rng = random.Random(2)
+    text = lambda n: " ".join("".join(rng.choice("abcdefg") for _ in range(4)) for _ in range(n))
+    a, b, c = text(40), text(40), text(40)
+    rows = [(1, a, "x")] * 5 + [(2, b, "x"), (2, c, "x"), (2, f"{b}\n", "x"), (3, a, "x"), (3, a, "x"), (None, a, "x"), (None, a, "x")]
+    rows += [(4, "", "x"), (4, "", "x"), (5, None, "x"), (5, None, "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _row string").repartition(4)
+    got = corpus_pipeline.minhash_dedup(spark, docs, SMALL)
+    assert got.columns == docs.columns
+    want = [(1, a, "x"), (2, b, "x"), (2, c, "x"), (None, a, "x"), (None, a, "x"), (4, "", "x"), (4, "", "x"), (5, None, "x"), (5, None, "x")]
+    assert sorted(map(repr, map(tuple, got.collect()))) == sorted(map(repr, want))
