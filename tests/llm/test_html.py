@@ -44,3 +44,20 @@ def test_query_against_the_article_element(spark):
         plain = "\n".join(b for b in blocks if b)
         assert "".join(r.text.split()) == "".join(plain.split()) and r.n_chars == len(r.text) and r.url == pages[r.page_id].url
         assert r.text.count("\n") == plain.count("\n")
+
+
+def test_wrappers_and_an_open_head_cost_no_article(spark):
+    words = ["page with-sidebar", "has-sidebar", "overflow-hidden", "comments-open", "no-ads", "hidden-xs", "sidebar", "comments"]
+    pages = [f"<body><div class='{w}'><article><p>story</p></article></div><div>x</div></body>" for w in words]
+    pages += [f"<body><div class='{w}'><p>story</p></div></body>" for w in words]
+    pages += ["<head><title>T</title><meta charset=utf-8><body><article><p>story</p></article>", "<head><title>T</title><p>story</p>", "<head>story"]
+    pages += ["<form><div><article><p>story</p></article></div></form>", "<form><p>story</p></form>"]
+    assert text_of("<div class='is-hidden'>x</div><div class='site-footer'>y</div><div class='cookie-notice'>z</div>") == ""
+    no = ["<nav><article>x</article></nav>", "<div hidden><article>x</article></div>", "<footer>x</footer>", "<head><title>T</title></head>"]
+    no += ["<div class='comments'><article class='comment'>x</article></div><main><p>y</p></main>"]
+    rows = [(i, f"http://h{i}.example/", p) for i, p in enumerate([*pages, *no])]
+    got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(len(pages))] == ["story"] * len(pages)
+    assert [got[i] for i in range(len(pages), len(rows))] == ["", "", "", "", "y"]
+    related = "<div><p>the whole story</p></div><div class='related-posts'><article>teaser</article></div><div class='cookie-notice'>c</div>"
+    assert main_text(spark.createDataFrame([(1, "", related)], "page_id long, url string, html string")).first().text == "the whole story"
