@@ -61,3 +61,17 @@ def test_wrappers_and_an_open_head_cost_no_article(spark):
     assert [got[i] for i in range(len(pages), len(rows))] == ["", "", "", "", "y"]
     related = "<div><p>the whole story</p></div><div class='related-posts'><article>teaser</article></div><div class='cookie-notice'>c</div>"
     assert main_text(spark.createDataFrame([(1, "", related)], "page_id long, url string, html string")).first().text == "the whole story"
+
+
+def test_copies_on_a_host_have_one_vote(spark):
+    page = "<html><body><div><span>Our site</span><p>Welcome to us</p></div><div>{}</div><div><p>Write to us</p></div></body></html>"
+    same = "".join(f"<p>copied {i}</p>" for i in range(5))
+    pages = [page.format(same)] * 12 + [page.format(f"<p>story {i}</p>") for i in range(6)] + [page.format("<p>twice</p>")] * 2
+    rows = [(i, f"http://h.example/{i}", p) for i, p in enumerate(pages)]
+    rows += rows[:3] * 2 + rows[13:14] * 3
+    # Copies whose heads differ have one content all the same.
+    rows = [(i, u, p.replace("<body>", f"<head><title>{u}</title></head><body>")) for i, u, p in rows]
+    docs = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(5)
+    got = [(r.page_id, r.text) for r in main_text(docs).collect()]
+    want = ["\n".join(f"copied {i}" for i in range(5))] * 12 + [f"story {i}" for i in range(6)] + ["twice"] * 2
+    assert sorted(got) == sorted((i, want[i]) for i, _, _ in rows)
