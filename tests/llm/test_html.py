@@ -75,3 +75,14 @@ def test_copies_on_a_host_have_one_vote(spark):
     got = [(r.page_id, r.text) for r in main_text(docs).collect()]
     want = ["\n".join(f"copied {i}" for i in range(5))] * 12 + [f"story {i}" for i in range(6)] + ["twice"] * 2
     assert sorted(got) == sorted((i, want[i]) for i, _, _ in rows)
+
+
+def test_boilerplate_inside_articles(spark):
+    page = "<html><body><nav>menu</nav><article><p>Posted by the desk</p>{}<div>Read our offers</div></article></body></html>"
+    rows = [(i, f"http://h.example/{i}", page.format(f"<h1>title {i}</h1><p>the long story of number {i} is told in this place</p>")) for i in range(9)]
+    # Near copies of one article are no template.
+    near = "".join(f"<p>paragraph {i} of what very many pages of the host have in common</p>" for i in range(5))
+    rows += [(i, f"http://near.example/{i}", f"<html><body><article>{near}<p>and {i}</p></article></body></html>") for i in range(20, 28)]
+    got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == f"title {i}\nthe long story of number {i} is told in this place" for i in range(9))
+    assert all(got[i].count("paragraph") == 5 and got[i].endswith(f"and {i}") for i in range(20, 28))
