@@ -7,7 +7,7 @@ import pyarrow as pa
 from foliomill.llm.common import utf8
 from foliomill.llm.op02_minhash_dedup import elements, near_duplicates, op2_minhash_dedup, signatures, word_keys
 from foliomill.llm.words import split_words
-from test_decontamination import words_of
+from .test_decontamination import words_of
 
 SMALL = "/root/testdata/sf0.01"
 

@@ -1,10 +1,10 @@
 import random
 
 import corpus_pipeline
-from test_decontamination import brute as benchmark_hits
-from test_minhash import brute as classes
-from test_repeats import brute as removed
-from test_tokens import check_packed
+from .test_decontamination import brute as benchmark_hits
+from .test_minhash import brute as classes
+from .test_repeats import brute as removed
+from .test_tokens import check_packed
 
 SMALL = "/root/testdata/sf0.001"
 
