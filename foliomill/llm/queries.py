@@ -11,6 +11,8 @@ from foliomill.llm.op06_context_tree import op6_context_tree
 from foliomill.llm.op07_embedding_dedup import op7_embedding_dedup
 from foliomill.llm.op08_html_text import op8_html_text
 from foliomill.llm.op09_substring_dedup import op9_substring_dedup
+from foliomill.llm import op11_conversation_repair as conversations
+from foliomill.llm import op12_collocations as collocations
 from foliomill.llm.op10_packing import op10_packing
 
 QUERIES = {
@@ -26,9 +28,11 @@ QUERIES = {
         op8_html_text,
         op9_substring_dedup,
         op10_packing,
+        conversations.op11_conversation_repair,
+        collocations.op12_collocations,
     )
 }
-# What SQL can say of op4: digests, sizes and which of equal payloads is stored.
+# Of op4 SQL says digests, sizes and which of equal payloads is stored.
 TWINS: dict[str, str] = {
     "op4_warc": """
         WITH p AS (SELECT page_id, encode(coalesce(html, '')) AS payload FROM pages),
@@ -37,5 +41,7 @@ TWINS: dict[str, str] = {
         SELECT page_id, CAST(n AS BIGINT) AS payload_bytes, h AS payload_digest,
             CASE WHEN first < page_id THEN 'revisit' ELSE 'response' END AS record_type,
             CASE WHEN first < page_id THEN first END AS refers_to
-        FROM f"""
+        FROM f""",
+    "op11_conversation_repair": conversations.twin(),
+    "op12_collocations": collocations.TWIN,
 }
