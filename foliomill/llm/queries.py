@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from foliomill.llm import op11_conversation_repair as conversations
+from foliomill.llm import op12_collocations as collocations
 from foliomill.llm.op01_language_id import op1_language_id
 from foliomill.llm.op02_minhash_dedup import op2_minhash_dedup
 from foliomill.llm.op03_decontamination import op3_decontamination
@@ -11,9 +13,8 @@ from foliomill.llm.op06_context_tree import op6_context_tree
 from foliomill.llm.op07_embedding_dedup import op7_embedding_dedup
 from foliomill.llm.op08_html_text import op8_html_text
 from foliomill.llm.op09_substring_dedup import op9_substring_dedup
-from foliomill.llm import op11_conversation_repair as conversations
-from foliomill.llm import op12_collocations as collocations
 from foliomill.llm.op10_packing import op10_packing
+from foliomill.llm.op13_records import op13_records
 
 QUERIES = {
     f.__name__: f
@@ -30,6 +31,7 @@ QUERIES = {
         op10_packing,
         conversations.op11_conversation_repair,
         collocations.op12_collocations,
+        op13_records,
     )
 }
 # Of op4 SQL says digests, sizes and which of equal payloads is stored.
