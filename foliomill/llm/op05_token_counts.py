@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliomill.llm.common import annotate, table, texts_of
-from foliomill.llm.tokens import CHUNK, OVERLAP, Encoder
+from foliomill.llm.tokens import CHUNK, OVERLAP, encoder_of
 
 LIMIT = 512
 
@@ -33,7 +33,7 @@ def count_tokens(
     pattern = public_tokenizers.PATTERN
 
     def start():
-        encoder = Encoder(json_path, ranks_path, pattern, chunk, overlap)
+        encoder = encoder_of(json_path, ranks_path, pattern, chunk, overlap)
 
         def work(texts: pa.Array) -> list[pa.Array]:
             counts = [len(ids) // 4 for ids in encoder.encode(texts_of(texts))]

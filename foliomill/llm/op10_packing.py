@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
 from foliomill.llm.common import pieces, quoted, table, texts_of
-from foliomill.llm.tokens import Encoder
+from foliomill.llm.tokens import encoder_of
 
 WINDOW, END_ID, FLUSH = 1024, 0, 20_000
 
@@ -134,7 +134,7 @@ def pack(
     schema = T.StructType([T.StructField(id_column, docs.schema[id_column].dataType), *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, packer = Encoder(json_path, ranks_path, pattern), Packer(window)
+        encoder, packer = encoder_of(json_path, ranks_path, pattern), Packer(window)
         # A task that is run again packs the same rows under the same numbers.
         sequence = TaskContext.get().partitionId() << 33
         ids_of_rows: list = []

@@ -2,8 +2,8 @@
 
 A text is cut at every space that a non-space follows.  The vocabulary's pattern starts a new piece at such a
 space whatever stands before it, and no piece reaches across it, so the ids of the parts in a row are the ids of
-the text.  Parts repeat a lot and are remembered.  Parts of plain Latin characters are encoded from the
-vocabulary's ranks; any others by the ``tokenizers`` library itself, which also knows the special strings.
+the text.  Stretches of plain Latin characters are encoded from the vocabulary's ranks; parts with any others by the
+``tokenizers`` library itself, which also knows the special strings.
 
 Long texts are encoded in overlapping chunks: neighbours are joined at a cut that both have, other than at their
 ends; where an overlap holds none, it is widened.
@@ -14,14 +14,25 @@ from __future__ import annotations
 import base64
 import os
 import re
+from functools import cache
 
 import numpy as np
 
 CHUNK, OVERLAP = 1 << 16, 1 << 10
-REMEMBERED = 400_000
 
-_cuts = re.compile(r" (?=\S)")
-_plain = re.compile(r"[\t\n\r -~¡-ɏ]*").fullmatch
+_cuts = re.compile(r" (?=\S)").split
+# Signs outside these, or a special string, make a part one for the library.
+PLAIN = "\t\n\r -~\u00a1-\u024f"
+
+
+def as_bytes(ids: list[int]) -> bytes:
+    return np.array(ids, "<u4").tobytes()
+
+
+@cache
+def encoder_of(json_path: str, ranks_path: str, pattern: str, chunk: int = CHUNK, overlap: int = OVERLAP) -> Encoder:
+    """One encoder per worker process, which the next task finds built."""
+    return Encoder(json_path, ranks_path, pattern, chunk, overlap)
 
 
 class Encoder:
@@ -31,71 +42,62 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(json_path)
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        special = [re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()]
+        self.odd = re.compile("|".join([f"[^{PLAIN}]", *special])).search
         with open(ranks_path, "rb") as lines:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, lines)}
         self.ranks = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.chunk, self.overlap = chunk, overlap
-        self.known: dict[str, bytes] = {}
-
-    def _part(self, part: str) -> bytes:
-        if _plain(part) and not any(s in part for s in self.special):
-            ids = self.ranks.encode_ordinary(part)
-        else:
-            ids = self.library.encode(part, add_special_tokens=False).ids
-        return np.array(ids, "<u4").tobytes()
-
-    def _parts(self, parts: list[str]) -> list[bytes]:
-        got = list(map(self.known.get, parts))
-        if None in got:
-            if len(self.known) > REMEMBERED:
-                self.known.clear()
-                got = [None] * len(parts)
-            for i, (part, ids) in enumerate(zip(parts, got)):
-                if ids is None:
-                    if part not in self.known:
-                        made = self._part(part)
-                        if len(part) > 64:  # not likely to come again
-                            got[i] = made
-                            continue
-                        self.known[part] = made
-                    got[i] = self.known[part]
-        return got
-
-    def _split(self, text: str) -> list[str]:
-        first, *rest = _cuts.split(text)
-        return [first, *(" " + x for x in rest)]
+
+    def _stretch(self, text: str) -> bytes:
+        """Ids of a text, or of what lies between two cuts."""
+        if not self.odd(text):
+            return as_bytes(self.ranks.encode_ordinary(text))
+        out, plain = [], []
+
+        def done() -> None:
+            if plain:
+                out.append(as_bytes(self.ranks.encode_ordinary("".join(plain))))
+                plain.clear()
+
+        first, *rest = _cuts(text)
+        for part in [first, *(" " + x for x in rest)]:
+            if self.odd(part):
+                done()
+                out.append(as_bytes(self.library.encode(part, add_special_tokens=False).ids))
+            else:
+                plain.append(part)
+        done()
+        return b"".join(out)
+
+    def _starts(self, text: str) -> np.ndarray:
+        """Where each part of a text begins, at its space."""
+        first, *rest = _cuts(text)
+        return np.cumsum([0, len(first), *(len(x) + 1 for x in rest)])[:-1]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """For each text its ids as little-endian 32-bit integers."""
-        out: list[bytes] = []
-        for text in texts:
-            out.append(b"".join(self._parts(self._split(text))) if len(text) <= self.chunk else b"".join(self._long(text)))
-        return out
+        return [self._stretch(t) if len(t) <= self.chunk else b"".join(self._long(t)) for t in texts]
 
     def _long(self, text: str):
         """Ids of a long text, chunk by chunk."""
         at = 0  # where the present chunk begins: the text's start, or a cut that two chunks shared
         while at < len(text):
-            if len(text) - at <= self.chunk + self.overlap:
-                yield from self._parts(self._split(text[at:]))
-                return
             overlap = self.overlap
             while True:
                 end = min(at + self.chunk + overlap, len(text))
-                begin = max(end - 2 * overlap, at + 1)  # the next chunk's start
-                left = self._split(text[at:end])
-                starts = np.cumsum([0, *map(len, left)])[:-1] + at
                 if end == len(text):
-                    yield from self._parts(left)
+                    yield self._stretch(text[at:])
                     return
-                right = begin + np.cumsum([0, *map(len, self._split(text[begin:end]))])[:-1]
+                begin = max(end - 2 * overlap, at + 1)  # the next chunk's start
+                left = self._starts(text[at:end]) + at
+                right = self._starts(text[begin:end]) + begin
                 # The first part of the right chunk and the last of the left one may be torn; a cut before the last
                 # part of both is the same in the whole text.
-                shared = np.intersect1d(starts[1:-1], right[1:-1])
+                shared = np.intersect1d(left[1:-1], right[1:-1])
                 if len(shared):
                     break
                 overlap *= 2
             cut = int(shared[-1])
-            yield from self._parts(left[: int(np.searchsorted(starts, cut))])
+            yield self._stretch(text[at:cut])
             at = cut
