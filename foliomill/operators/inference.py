@@ -21,12 +21,18 @@ FINAL_ERROR = "authentication|api_key"
 # "text" and optionally "input_tokens" and "output_tokens".
 ModelFn = Callable[[str, str], Any]
 KEY = ["paper_id", "chunk_no", "prompt_hash"]
+GENERATION = "generation"
 
 
 class ContentError(Exception):
     """Raised by a model function when the call went through but the answer is unusable."""
 
 
+def key_of(df: DataFrame) -> list[str]:
+    """What names an answer: the prompt of a paper's chunk and, where the table has one, the paper's generation."""
+    return [*KEY, GENERATION] if GENERATION in df.columns else KEY
+
+
 def build_prompt(chunks: DataFrame, template: str | None = None, chunk: str = "chunk") -> DataFrame:
     """Adds ``prompt`` (the template with the chunk put in literally) and ``prompt_hash``."""
     template = load_prompts()[1] if template is None else template
@@ -87,6 +93,7 @@ def infer(
     each time it is evaluated: write it once, then work from the written table.
     """
     system = load_prompts()[0] if system is None else system
+    key = key_of(prompts)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -98,11 +105,11 @@ def infer(
                 rows[tokens] = rows[tokens].astype("Int64")
             for words in ("response", "error", "error_class"):
                 rows[words] = rows[words].astype(object).where(rows[words].notna(), None)
-            yield pd.concat([batch[KEY].reset_index(drop=True), rows], axis=1)
+            yield pd.concat([batch[key].reset_index(drop=True), rows], axis=1)
 
     types = dict(prompts.dtypes)
-    keys = ", ".join(f"{name} {types[name]}" for name in KEY)
-    spread = prompts.select(*KEY, "prompt").repartition(max_in_flight, "paper_id", "chunk_no")
+    keys = ", ".join(f"{name} {types[name]}" for name in key)
+    spread = prompts.select(*key, "prompt").repartition(max_in_flight, "paper_id", "chunk_no")
     called = spread.mapInPandas(run, f"{keys}, {RAW_RESPONSE_COLUMNS}")
     return called.withColumn("called_at", F.current_timestamp())
 
@@ -110,14 +117,16 @@ def infer(
 def pending(prompts: DataFrame, raw: DataFrame) -> DataFrame:
     """Prompts without a settled answer: never called, or only with errors worth a retry."""
     settled = raw.where(F.col("error").isNull() | (F.col("error_class") != "retryable"))
-    return prompts.join(settled.select(*KEY).distinct(), KEY, "left_anti")
+    key = key_of(prompts)
+    return prompts.join(settled.select(*key).distinct(), key, "left_anti")
 
 
 def latest_responses(raw: DataFrame) -> DataFrame:
     """One row per prompt from the append-only answers: a success before an error, then the newest."""
-    rest = [c for c in raw.columns if c not in KEY]
+    key = key_of(raw)
+    rest = [c for c in raw.columns if c not in key]
     order = F.struct(F.col("error").isNull(), F.col("called_at"), F.coalesce("response", F.lit("")))
-    return raw.groupBy(*KEY).agg(F.max_by(F.struct(*rest), order).alias("_best")).select(*KEY, "_best.*")
+    return raw.groupBy(*key).agg(F.max_by(F.struct(*rest), order).alias("_best")).select(*key, "_best.*")
 
 
 def incomplete_papers(prompts: DataFrame, raw: DataFrame) -> DataFrame:

@@ -3,16 +3,15 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from urllib.parse import quote
 
 import pyarrow as pa
-from pyarrow.fs import FileSystem, LocalFileSystem
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from foliomill import config
 from foliomill.functions import text as tx
 from foliomill.functions.plan import pinned
+from foliomill.sources.opener import Opener, open_file
 
 NATIVE, OCR, HYBRID = "native", "ocr", "hybrid"
 PAGE_SEPARATOR = "\n\n"
@@ -27,15 +26,6 @@ FILE_ROWS = (
 PageReader = Callable[[bytes], Iterator[dict]]
 
 
-def read_bytes(path: str) -> bytes:
-    """Content of a file on any filesystem Arrow knows."""
-    scheme, colon, rest = path.partition(":")
-    uri = f"{scheme}://{quote('/' + rest.lstrip('/'))}" if colon and scheme == "file" else quote(path, safe=":/")
-    filesystem, inner = (FileSystem.from_uri(uri)) if colon else (LocalFileSystem(), path)
-    with filesystem.open_input_stream(inner) as stream:
-        return stream.read()
-
-
 def _page(page: dict, threshold: int) -> dict:
     native, ocr = page.get("native_text") or "", page.get("ocr_text")
     if callable(ocr):
@@ -43,7 +33,9 @@ def _page(page: dict, threshold: int) -> dict:
     return {"page_number": page["page_number"], "native_text": native, "ocr_text": ocr}
 
 
-def read_pages(files: DataFrame, page_reader: PageReader, threshold: int = config.OCR_MIN_CHARS) -> DataFrame:
+def read_pages(
+    files: DataFrame, page_reader: PageReader, threshold: int = config.OCR_MIN_CHARS, opener: Opener = open_file
+) -> DataFrame:
     """Runs the reader on each file (``paper_id, path``); a bad file gives a row with its error.
 
     Each task opens its own files, so their bytes are neither shuffled nor kept.
@@ -52,7 +44,9 @@ def read_pages(files: DataFrame, page_reader: PageReader, threshold: int = confi
     def read(paper_id: str, path: str) -> dict:
         row: dict = {"paper_id": paper_id, "meta": None, "pages": [], "error": None}
         try:
-            for page in page_reader(read_bytes(path)):
+            with opener(path) as stream:
+                content = stream.read()
+            for page in page_reader(content):
                 row["meta"] = row["meta"] or page.get("meta")
                 row["pages"].append(_page(page, threshold))
         except Exception as failure:  # noqa: BLE001 - any failure of a file is that file's outcome

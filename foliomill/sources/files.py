@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import hashlib
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliomill.functions.plan import pinned
+from foliomill.sources.opener import Opener, open_file
 
 PDF_GLOB = "*.[pP][dD][fF]"
-# The binary reader holds a file in one cell, whose size Spark limits.
-MAX_CELL_BYTES = 2_147_000_000
+# Bytes of a file that are in memory at a time while it is hashed.
+HASH_BLOCK = 4 << 20
 
 BINARY_FILE = T.StructType(
     [
@@ -23,7 +28,10 @@ BINARY_FILE = T.StructType(
 
 
 def scan_files(spark: SparkSession, folder: str, glob: str | None = PDF_GLOB) -> DataFrame:
-    """All files below ``folder`` that match ``glob`` (every PDF, whatever the case of its extension)."""
+    """All files below ``folder`` that match ``glob`` (every PDF, whatever the case of its extension).
+
+    Spark lists no files of zero bytes.  Contents are read only if the column is used.
+    """
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if glob:
         reader = reader.option("pathGlobFilter", glob)
@@ -56,19 +64,31 @@ def fingerprint(files: DataFrame, content: str = "content") -> DataFrame:
     )
 
 
-def with_fingerprint(files: DataFrame, max_bytes: int = MAX_CELL_BYTES) -> DataFrame:
-    """Fingerprints of all files; one too large to read becomes an error row instead of failing the job."""
-    readable = files.where(F.col("length") <= max_bytes)
-    oversize = files.select("path", "length").where(F.col("length") > max_bytes)
-    failed = oversize.select(
-        "path",
-        F.lit(None).cast("string").alias("file_hash"),
-        F.col("length").alias("file_size"),
-        F.concat(file_name(F.col("path")), F.lit(": file of "), F.col("length"), F.lit(" bytes is too large")).alias(
-            "error"
-        ),
-    )
-    return fingerprint(readable).unionByName(failed)
+def with_fingerprint(files: DataFrame, opener: Opener = open_file, block: int = HASH_BLOCK) -> DataFrame:
+    """Fingerprints of listed files (``path, length``) of any size: ``path, file_hash, file_size, error``.
+
+    Each task opens its own files and hashes them block by block, once; their contents are never a cell of a row.  A file
+    that cannot be opened or read to its end becomes a row with an error and no hash.
+    """
+
+    def hashed(path: str) -> tuple[str | None, str | None]:
+        digest = hashlib.sha256()
+        try:
+            with opener(path) as stream:
+                while data := stream.read(block):
+                    digest.update(data)
+        except Exception as failure:  # noqa: BLE001 - any failure of a file is that file's outcome
+            return None, f"{path.rsplit('/', 1)[-1]}: {failure}"
+        return digest.hexdigest(), None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [hashed(path) for path in batch.column("path").to_pylist()]
+            hashes, errors = ([row[i] for row in found] for i in range(2))
+            columns = [batch.column("path"), pa.array(hashes, pa.string()), batch.column("length"), pa.array(errors, pa.string())]
+            yield pa.RecordBatch.from_arrays(columns, names=["path", "file_hash", "file_size", "error"])
+
+    return files.select("path", "length").mapInArrow(run, "path string, file_hash string, file_size bigint, error string")
 
 
 def file_name(path):
