@@ -9,12 +9,12 @@ A record frames one serialized sequence, as in the usual record files of trainin
     1 byte    a line end
 
 Numbers are little-endian; a checksum is the CRC-32 of zlib, rotated by 15 bits, plus a constant (the mask).  The data
-is one byte that tells whether there is an id, 8 bytes of it, and the token ids of 4 bytes each.  The line end is what
-Spark's own text sink puts behind a row, so the files are written and committed by Spark wherever it can write; a row of
-that sink is a block of whole records.
+is one byte whose lowest bit tells whether there is an id, 8 bytes of it, and the token ids; these have 4 bytes each if
+the second bit is set, else 2, which do where none is above 65535.  The line end is what Spark's own text sink puts behind
+a row, so the files are written and committed by Spark wherever it can write; a row of that sink is a block of whole records.
 
-The index has a row per record: file, offset, size, id, number of token ids, and how many stand before it.  With it a
-reader takes records in any order: it opens a file once and cuts out the records asked for.
+The index has a row per record: file, offset, size, id, number of token ids, how many stand before it, and their CRC-32 as
+32-bit integers.  With it a reader takes records in any order: it opens a file once and cuts out the records asked for.
 """
 
 from __future__ import annotations
@@ -54,6 +54,13 @@ def masked(data: bytes) -> int:
     return (((crc >> ROTATED) | (crc << (32 - ROTATED))) + ADDED) & 0xFFFFFFFF
 
 
+def serialized(id_: int | None, ids: bytes) -> bytes:
+    """The data of a record, from an id and 32-bit token ids."""
+    values = np.frombuffer(ids, "<u4")
+    wide = bool(len(values)) and int(values.max()) >= 1 << 16
+    return struct.pack(DATA, (id_ is not None) | wide << 1, id_ or 0) + (ids if wide else values.astype("<u2").tobytes())
+
+
 def frame(data: bytes) -> bytes:
     """A record but for its line end."""
     length = struct.pack("<Q", len(data))
@@ -119,7 +126,7 @@ def write_records(
 
         for batch in pieces(batches, 4 << 20):
             for id_, ids in zip(batch.column(0).to_pylist(), encoder.encode(texts_of(batch.column(1)))):
-                held.append(frame(struct.pack(DATA, id_ is not None, id_ or 0) + ids + end))
+                held.append(frame(serialized(id_, ids + end)))
                 size += len(held[-1])
                 if size >= block_bytes:
                     yield block()
@@ -149,8 +156,11 @@ def made(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def fields_of(file: str, offset: int, data: memoryview) -> tuple:
-    there, id_ = struct.unpack_from(DATA, data)
-    return file, offset, size_of(data), id_ if there else None, bytes(data[DATA_SIZE :])
+    flags, id_ = struct.unpack_from(DATA, data)
+    ids = bytes(data[DATA_SIZE:])
+    if not flags & 2:
+        ids = np.frombuffer(ids, "<u2").astype("<u4").tobytes()
+    return file, offset, size_of(data), id_ if flags & 1 else None, ids
 
 
 def read_records(spark: SparkSession, path: str) -> DataFrame:
@@ -176,11 +186,12 @@ def read_records(spark: SparkSession, path: str) -> DataFrame:
 
 
 def write_index(spark: SparkSession, path: str, index_path: str) -> DataFrame:
-    """The index of the record files in ``path``: ``file``, ``offset``, ``size``, ``id``, ``n_tokens``, ``start``.
+    """The index of the record files in ``path``: ``file``, ``offset``, ``size``, ``id``, ``n_tokens``, ``ids_crc32``, ``start``.
 
-    ``start`` counts the token ids of all records before, in the order of writing.
+    Made from the files as they are read back.  ``start`` counts the token ids of all records before, in the order of writing.
     """
-    records = read_records(spark, path).select("file", "offset", "size", "id", (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"))
+    n = (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens")
+    records = read_records(spark, path).select("file", "offset", "size", "id", n, F.crc32("ids").alias("ids_crc32"))
     # The number of the task and that of its file tell the order of writing.
     for column, pattern in (("part", r"part-(\d+)-[^/]*$"), ("piece", r"-c(\d+)[^/]*$")):
         records = records.withColumn(column, F.regexp_extract("file", pattern, 1).cast("int"))
@@ -193,7 +204,7 @@ def write_index(spark: SparkSession, path: str, index_path: str) -> DataFrame:
     bases = small(files.select("file", before.alias("base")))
     inside = F.sum("n_tokens").over(W.partitionBy("file").orderBy("offset")) - F.col("n_tokens")
     placed = records.withColumn("inside", inside).join(bases, "file")
-    placed.select("file", "offset", "size", "id", "n_tokens", (F.col("base") + F.col("inside")).alias("start")).write.parquet(f"{index_path}/records")
+    placed.select("file", "offset", "size", "id", "n_tokens", "ids_crc32", (F.col("base") + F.col("inside")).alias("start")).write.parquet(f"{index_path}/records")
     return spark.read.parquet(f"{index_path}/records")
 
 
@@ -231,6 +242,4 @@ def op13_records(spark: SparkSession, folder: str) -> DataFrame:
     path = shared_folder(spark, "records")
     write_records(table(spark, folder, "documents"), path)
     index = write_index(spark, path, f"{path}-index")
-    records = read_records(spark, path).select("file", "offset", "id", F.crc32("ids").alias("ids_crc32"))
-    joined = index.select("file", "offset", "start", "n_tokens").join(records, ["file", "offset"])
-    return joined.select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")
+    return index.select(F.col("id").alias("doc_id"), "start", "n_tokens", "ids_crc32")

@@ -8,7 +8,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from foliomill.llm.op13_records import END_ID, frame, op13_records, read_chosen, read_records, read_shuffled, write_index, write_records
+from foliomill.llm.op13_records import END_ID, fields_of, frame, op13_records, read_chosen, read_records, read_shuffled, serialized, write_index, write_records
 
 SMALL = "/root/testdata/sf0.001"
 LIBRARY = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
@@ -36,8 +36,9 @@ def parsed(data):
             c = zlib.crc32(part)
             assert crc == ((c >> 15 | c << 17 & 0xFFFFFFFF) + 0xA282EAD8) % 2**32
         assert data[at + 16 + n : at + 17 + n] == b"\n"
-        there, id_ = struct.unpack_from("<Bq", body)
-        out.append((at, n + 17, id_ if there else None, body[9:]))
+        flags, id_ = struct.unpack_from("<Bq", body)
+        ids = np.frombuffer(body[9:], "<u4" if flags & 2 else "<u2").astype("<u4").tobytes()
+        out.append((at, n + 17, id_ if flags & 1 else None, ids))
         at += n + 17
     return out
 
@@ -75,7 +76,7 @@ def test_reading_back(spark, written):
     at = 0
     for r in listed:
         size, id_, ids = records[Path(r.file).name, r.offset]
-        assert (r.size, r.id, r.n_tokens, r.start) == (size, id_, len(ids) // 4, at)
+        assert (r.size, r.id, r.n_tokens, r.ids_crc32, r.start) == (size, id_, len(ids) // 4, zlib.crc32(ids), at)
         at += r.n_tokens
     assert [r.id for r in listed] == [i for i, _ in sorted(rows, key=order)]
 
@@ -95,7 +96,7 @@ def test_reading_by_the_index(spark, written):
 
 @pytest.mark.parametrize("harm", [lambda d: d[:-1], lambda d: d[: len(d) // 2], lambda d: d[:40] + bytes([d[40] ^ 1]) + d[41:], lambda d: b"\x01" + d[1:]])
 def test_harmed_files_are_refused(spark, tmp_path, harm):
-    good = frame(b"\x01" + bytes(60)) + b"\n"
+    good = frame(serialized(5, bytes(60))) + b"\n"
     (tmp_path / "part-00000-x-c000.txt").write_bytes(good * 3)
     assert read_records(spark, str(tmp_path)).count() == 3
     (tmp_path / "part-00000-x-c000.txt").write_bytes(harm(good * 3))
@@ -103,6 +104,13 @@ def test_harmed_files_are_refused(spark, tmp_path, harm):
         read_records(spark, str(tmp_path)).count()
 
 
+@pytest.mark.parametrize("values", [[], [0, 65535], [65536, 1], [2**32 - 1]])
+def test_ids_of_any_width(values):
+    ids = np.array(values, "<u4").tobytes()
+    for id_ in (None, 0, -(2**63)):
+        assert fields_of("f", 3, memoryview(serialized(id_, ids)))[3:] == (id_, ids)
+
+
 def test_empty_table(spark, tmp_path):
     write_records(spark.createDataFrame([], "doc_id long, text string"), str(tmp_path / "files"))
     assert read_records(spark, str(tmp_path / "files")).count() == 0
