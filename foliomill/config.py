@@ -54,8 +54,6 @@ MAX_PAGE_SIZE = 200
 MODEL_TRIES = 3
 MODEL_WAIT_FACTOR, MODEL_WAIT_MIN, MODEL_WAIT_MAX = 2, 4, 60
 
-# A nested list is emitted in parts of this many positions, so no list grows without bound.
-PART_SIZE = 10_000
 # Pages joined into one text block before blocks are joined into a document.
 BLOCK_PAGES = 1_000
 # More pivot columns than this are refused; the long form has no limit.

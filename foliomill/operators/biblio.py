@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from foliomill.functions import text as tx
-from foliomill.operators.joins import spread_join
 
 FILLED_AFTER_PARSE = ["title", "doi", "abstract", "publication_year"]
 SET_AFTER_PARSE = ["page_count", "raw_text", "parse_method"]
@@ -158,5 +157,5 @@ def author_links(papers: DataFrame, authors: str = "authors") -> DataFrame:
 
 def replace_links(links: DataFrame, new: DataFrame) -> DataFrame:
     """Links of the papers that occur in ``new`` are replaced; others stay."""
-    kept = spread_join(links, new.select("paper_id").distinct(), "paper_id", "left_anti")
+    kept = links.join(new.select("paper_id"), "paper_id", "left_anti").select(*links.columns)
     return kept.unionByName(new.select(*links.columns))

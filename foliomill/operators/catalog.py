@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from foliomill import config
 from foliomill.functions.text import missing
-from foliomill.operators.joins import HOT_ROWS, spread_join, with_part
+from foliomill.operators.ranks import Ranked, write_ranked
 
 LISTED = [
     "paper_id",
@@ -74,6 +74,19 @@ def page_of_papers(
     return found.orderBy(*sort_order(sort_by, direction)).offset(skip).limit(limit)
 
 
+def store_listing(
+    papers: DataFrame, path: str, status: str | None = None, search: str | None = None, sort_by: str = "created_at", direction: str = "desc"
+) -> Ranked:
+    """A listing stored in its order, for pages far down: ``page(skip, limit)`` opens the ranges it lies in and no others."""
+    columns = [c for c in LISTED if c in papers.columns]
+    return write_ranked(filter_papers(papers, status, search).select(*columns), sort_order(sort_by, direction), path)
+
+
+def store_jobs(jobs: DataFrame, path: str, tie: str = "job_id") -> Ranked:
+    """The jobs stored newest first, likewise."""
+    return write_ranked(jobs, [F.col("created_at").desc_nulls_first(), F.col(tie).asc()], path)
+
+
 def with_relations(
     page: DataFrame,
     journals: DataFrame,
@@ -102,7 +115,6 @@ def with_relations(
     joined = page.join(journal_names, "journal_id", "left").join(names, "paper_id", "left").join(flags, "paper_id", "left")
     return joined.withColumns(
         {
-            "part_no": F.coalesce("part_no", F.lit(0).cast("bigint")),
             "author_names": F.coalesce("author_names", F.array().cast("array<string>")),
             "has_extraction": F.coalesce("has_extraction", F.lit(False)),
             "needs_review": F.coalesce("needs_review", F.lit(False)),
@@ -129,20 +141,16 @@ def list_papers(
     return with_relations(page, journals, links, authors, records, sort_by, direction), total
 
 
-def author_lists(links: DataFrame, authors: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """``paper_id, part_no, authors``: per paper its authors by position.
-
-    An ordinary paper is one row, part 0; the links of a paper with ``hot_rows`` or more are given in parts.
-    """
-    named = links.select("paper_id", "author_id", "position").join(authors.select("author_id", "full_name"), "author_id")
-    people = F.array_sort(F.collect_list(F.struct("position", F.col("full_name").alias("name"))))
-    return with_part(named, "paper_id", hot_rows).groupBy("paper_id", "part_no").agg(people.alias("authors"))
+def author_rows(links: DataFrame, authors: DataFrame) -> DataFrame:
+    """``paper_id, position, author_id, author_name``: a row per author of a paper, however many it has."""
+    names = authors.select("author_id", F.col("full_name").alias("author_name"))
+    return links.select("paper_id", "author_id", "position").join(names, "author_id").select("paper_id", "position", "author_id", "author_name")
 
 
-def author_names(links: DataFrame, authors: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """``paper_id, part_no, author_names``, see ``author_lists``."""
-    listed = author_lists(links, authors, hot_rows)
-    return listed.select("paper_id", "part_no", F.col("authors.name").alias("author_names"))
+def author_names(links: DataFrame, authors: DataFrame) -> DataFrame:
+    """``paper_id, author_names``: one list per paper, by position.  For the papers of a page; all papers are ``author_rows``."""
+    people = F.array_sort(F.collect_list(F.struct("position", "author_name")))
+    return author_rows(links, authors).groupBy("paper_id").agg(F.transform(people, lambda p: p["author_name"]).alias("author_names"))
 
 
 def extraction_flags(records: DataFrame) -> DataFrame:
@@ -152,28 +160,28 @@ def extraction_flags(records: DataFrame) -> DataFrame:
     )
 
 
-def paper_detail(
-    papers: DataFrame, journals: DataFrame, links: DataFrame, authors: DataFrame, ids: list | None = None
-) -> DataFrame:
-    """Everything about the given papers (or all), with authors and positions and what output is available."""
-    chosen = papers.drop("raw_text")
-    if ids is not None:
-        chosen, links = chosen.where(F.col("paper_id").isin(ids)), links.where(F.col("paper_id").isin(ids))
-    people = author_lists(links, authors)
+def paper_detail(papers: DataFrame, journals: DataFrame, links: DataFrame, authors: DataFrame) -> DataFrame:
+    """Everything about papers, a row per author (one with nulls for a paper without): the paper's columns, its ``journal``,
+    what output is available, ``position``, ``author_id`` and ``author_name``."""
     journal = journals.select("journal_id", F.struct("journal_id", "name").alias("journal"))
-    people_type = people.schema["authors"].dataType
-    return (
-        chosen.join(journal, "journal_id", "left")
-        .join(people, "paper_id", "left")
-        .withColumns(
-            {
-                "part_no": F.coalesce("part_no", F.lit(0).cast("bigint")),
-                "authors": F.coalesce("authors", F.array().cast(people_type)),
-                "summary_available": ~missing(F.col("summary_path")),
-                "extraction_available": ~missing(F.col("extraction_json_path")),
-            }
-        )
-    )
+    available = {
+        "summary_available": ~missing(F.col("summary_path")),
+        "extraction_available": ~missing(F.col("extraction_json_path")),
+    }
+    heads = papers.drop("raw_text").join(journal, "journal_id", "left").withColumns(available)
+    return heads.join(author_rows(links, authors), "paper_id", "left")
+
+
+def paper_page(papers: DataFrame, journals: DataFrame, links: DataFrame, authors: DataFrame, ids: list) -> DataFrame:
+    """The same for a page of ids, one row per paper, with its whole list ``authors``."""
+    if len(ids) > config.MAX_PAGE_SIZE:
+        raise ValueError(f"a page has at most {config.MAX_PAGE_SIZE} papers")
+    mine = paper_detail(papers.where(F.col("paper_id").isin(ids)), journals, links.where(F.col("paper_id").isin(ids)), authors)
+    person = F.struct("position", F.col("author_name").alias("name"), "author_id")
+    heads = [c for c in mine.columns if c not in ("paper_id", "position", "author_id", "author_name")]
+    people = F.array_sort(F.collect_list(F.when(F.col("author_id").isNotNull(), person)))
+    firsts = [F.first(c).alias(c) for c in heads]
+    return mine.groupBy("paper_id").agg(*firsts, people.alias("authors"))
 
 
 def evidence_for(evidence: DataFrame, records: DataFrame | None = None, field: str | None = None) -> DataFrame:
@@ -184,7 +192,7 @@ def evidence_for(evidence: DataFrame, records: DataFrame | None = None, field: s
     if field:
         evidence = evidence.where(F.contains(F.lower("field_name"), F.lower(F.lit(field))))
     if records is not None:
-        evidence = spread_join(evidence, records.select("record_id"), "record_id", "left_semi")
+        evidence = evidence.join(records.select("record_id"), "record_id", "left_semi")
     return evidence
 
 
@@ -215,10 +223,19 @@ def recent(papers: DataFrame, n: int = 8) -> DataFrame:
     return papers.orderBy(F.col("created_at").desc_nulls_first(), F.col("paper_id").asc()).limit(n)
 
 
-def sort_rows(rows: DataFrame, column: str, descending: bool = False) -> DataFrame:
-    """A listing in the order of any of its columns, nulls last, ties by id."""
+def row_order(column: str, descending: bool = False) -> list[Column]:
+    """The order of a listing by any of its columns: nulls last, ties by id."""
     key = F.col(column).desc_nulls_last() if descending else F.col(column).asc_nulls_last()
-    return rows.orderBy(key, F.col("paper_id").asc())
+    return [key, F.col("paper_id").asc()]
+
+
+def sort_rows(rows: DataFrame, column: str, descending: bool = False) -> DataFrame:
+    return rows.orderBy(*row_order(column, descending))
+
+
+def placed_rows(rows: DataFrame, column: str, path: str, descending: bool = False) -> DataFrame:
+    """All rows with their ``place`` in that order, from 1; ``path`` keeps the order."""
+    return write_ranked(rows, row_order(column, descending), path).rows()
 
 
 def extracted_only(papers: DataFrame) -> DataFrame:

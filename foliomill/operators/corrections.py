@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 
 from foliomill import config
 from foliomill.functions.text import missing
-from foliomill.operators.joins import spread_join
 
 PAPER_FIELDS = ["title", "doi", "abstract", "publication_year", "keywords", "volume", "issue", "pages"]
 RECORD_FIELDS = [
@@ -93,8 +92,7 @@ def apply_failures(papers: DataFrame, errors: DataFrame) -> DataFrame:
 
 def delete_papers(tables: dict[str, DataFrame], ids: DataFrame, key: str = "paper_id") -> dict[str, DataFrame]:
     """Every table without the rows of the given papers; the tables carry ``key``."""
-    gone = ids.select(key).distinct()
-    return {name: spread_join(rows, gone, key, "left_anti") for name, rows in tables.items()}
+    return {name: rows.join(ids.select(key), key, "left_anti") for name, rows in tables.items()}
 
 
 def select_for_reprocess(papers: DataFrame, stage: str, ids: DataFrame | None = None) -> DataFrame:

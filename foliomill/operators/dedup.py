@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from foliomill.operators.joins import spread_join
+from foliomill.session import durable
 
 
 def path_order(path: Column) -> Column:
@@ -27,14 +27,15 @@ def dedup_batch(files: DataFrame, key: str = "file_hash", path: str = "path", or
     """One file per hash: the first in scan order, with all its columns.  Files without a hash all stay."""
     order = path_order(F.col(path)) if order is None else order
     rest = [c for c in files.columns if c != key]
-    hashed = files.where(F.col(key).isNotNull())
-    chosen = hashed.groupBy(key).agg(F.min_by(F.struct(*rest), order).alias("_first"))
-    return chosen.select(key, "_first.*").select(*files.columns).union(files.where(F.col(key).isNull()))
+    # A file without a hash is a group of its own.
+    alone = F.when(F.col(key).isNull(), F.col(path)).alias("_alone")
+    chosen = files.groupBy(key, alone).agg(F.min_by(F.struct(*rest), order).alias("_first"))
+    return chosen.select(key, "_first.*").select(*files.columns)
 
 
 def drop_known(files: DataFrame, registry: DataFrame, key: str = "file_hash") -> DataFrame:
     """Files whose hash is not registered."""
-    return spread_join(files, registry.select(key).distinct(), key, "left_anti")
+    return files.join(registry.select(key), key, "left_anti")
 
 
 def duplicates_of(files: DataFrame, registry: DataFrame, key: str = "file_hash") -> DataFrame:
@@ -42,7 +43,8 @@ def duplicates_of(files: DataFrame, registry: DataFrame, key: str = "file_hash")
     known = registry.groupBy(key).agg(
         F.min_by(F.struct(F.col("paper_id").alias("existing_id"), "status"), "paper_id").alias("_paper")
     )
-    return spread_join(files, known, key).select(*files.columns, "_paper.*")
+    # Written first, so that both sides come to the join as they are and adaptive execution can split a hot hash.
+    return files.join(durable(known), key).select(*files.columns, "_paper.*")
 
 
 def scan_outcomes(files: DataFrame, registry: DataFrame, key: str = "file_hash", order: Column | None = None) -> DataFrame:

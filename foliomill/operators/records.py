@@ -5,9 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from foliomill import config
 from foliomill.functions.text import double_text
-from foliomill.operators.joins import spread_join
 from foliomill.schemas import CONDITION, MATERIAL, METHOD, RESULT, Field
 
 EVIDENCE_FIELDS = ["source_text", "page_numbers", "section", "confidence", "is_inferred", "inference_reasoning"]
@@ -91,27 +89,64 @@ def evidence(materials: DataFrame, conditions: DataFrame, results: DataFrame) ->
     Each input holds ``record_id, paper_id, ordinal``, its item columns and a struct ``evidence``.
     """
 
-    def rows(items: DataFrame, kind: str, field_name: Column, value: Column) -> DataFrame:
+    def rows(items: DataFrame, kind: str) -> DataFrame:
+        name, value, _ = EVIDENCE_OF[kind]
         return items.where(F.col("evidence").isNotNull()).select(
             "record_id",
             "paper_id",
             F.lit(kind).alias("kind"),
             "ordinal",
-            field_name.alias("field_name"),
-            value.alias("field_value"),
-            *[F.col(f"evidence.{name}").alias(name) for name in EVIDENCE_FIELDS],
+            name(F.col).alias("field_name"),
+            value(F.col).alias("field_value"),
+            *_evidence_fields(kind, F.col("evidence")),
         )
 
-    named = F.concat(F.lit("material."), F.coalesce(F.nullif(F.col("name"), F.lit("")), F.lit("unknown")))
-    value = value_or_null(F.col("value_numeric"), F.col("value_text"))
-    parts = [
-        rows(materials, "material", named, F.col("composition")),
-        rows(conditions, "process_condition", F.concat(F.lit("process_condition."), "parameter_name"), value),
-        rows(results, "result", F.concat(F.lit("result."), "property_name"), value),
-    ]
+    return rows(materials, "material").unionByName(rows(conditions, "process_condition")).unionByName(rows(results, "result"))
+
+
+def record_evidence(records: DataFrame) -> DataFrame:
+    """The evidence rows of records with their nested ``record``: one pass over them, whatever the kinds of items."""
+
+    def of_kind(kind: str) -> Column:
+        name, value, field = EVIDENCE_OF[kind]
+        items = F.coalesce(F.col(f"record.{field}"), F.array())
+
+        def row(item: Column, at: Column) -> Column:
+            return F.struct(
+                F.lit(kind).alias("kind"),
+                at.alias("ordinal"),
+                name(item.getField).alias("field_name"),
+                value(item.getField).alias("field_value"),
+                item["evidence"].isNotNull().alias("_given"),
+                *_evidence_fields(kind, item["evidence"]),
+            )
+
+        return F.filter(F.transform(items, row), lambda x: x["_given"])
+
+    found = F.concat(*[of_kind(kind) for kind in EVIDENCE_OF])
+    return records.select("record_id", "paper_id", F.inline(found)).drop("_given")
+
+
+def _evidence_fields(kind: str, evidence: Column) -> list[Column]:
     # Only material evidence keeps its reasoning; the others are stored without.
-    parts[1:] = [p.withColumn("inference_reasoning", F.lit(None).cast("string")) for p in parts[1:]]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    gone = () if kind == "material" else ("inference_reasoning",)
+    return [F.lit(None).cast("string").alias(f) if f in gone else evidence[f].alias(f) for f in EVIDENCE_FIELDS]
+
+
+def _value(field) -> Column:
+    return value_or_null(field("value_numeric"), field("value_text"))
+
+
+# Per kind of item: the evidence's field name, its value, and the record's list.
+EVIDENCE_OF = {
+    "material": (
+        lambda f: F.concat(F.lit("material."), F.coalesce(F.nullif(f("name"), F.lit("")), F.lit("unknown"))),
+        lambda f: f("composition"),
+        "materials",
+    ),
+    "process_condition": (lambda f: F.concat(F.lit("process_condition."), f("parameter_name")), _value, "process_conditions"),
+    "result": (lambda f: F.concat(F.lit("result."), f("property_name")), _value, "result_properties"),
+}
 
 
 def extraction_report(records: DataFrame) -> DataFrame:
@@ -125,39 +160,31 @@ def extraction_report(records: DataFrame) -> DataFrame:
     )
 
 
-def nest(
-    children: dict[str, DataFrame],
-    keys: list[str],
-    order: str = "ordinal",
-    part_size: int = config.PART_SIZE,
-    part: str | None = None,
-) -> DataFrame:
-    """Child tables folded into one list each: a row per key and ``part_no``, in one shuffle.
+def record_detail(records: DataFrame, children: dict[str, DataFrame], key: str = "record_id", order: str = "ordinal") -> DataFrame:
+    """Canonical records with all their child rows, in long form: the record's columns, ``kind``, ``ordinal`` and ``item``.
 
-    Part 0 holds positions below ``part_size``, part 1 the next, and so on, so that no list grows
-    without bound; an ordinary record is a single part.  Where positions are not plain numbers,
-    ``part`` names a column that holds the part.
+    ``item`` is the child row as JSON, whole; ``kind`` names its table.  A record without children has one row whose kind is
+    null.  The shape is the same however many children a record has.
     """
-    part_no = F.floor(F.col(order) / part_size).cast("bigint") if part is None else F.col(part)
+    head = canonical(records)
     tagged = []
-    for name, rows in children.items():
-        fields = [c for c in rows.columns if c not in (*keys, order, part)]
-        item = F.struct(F.col(order), *fields)
-        tagged.append(rows.select(*keys, part_no.alias("part_no"), item.alias(name)))
+    for kind, rows in children.items():
+        fields = [c for c in rows.columns if c not in (key, "paper_id", order)]
+        item = F.to_json(F.struct(*fields), {"ignoreNullFields": "false"})
+        tagged.append(rows.select(key, F.lit(kind).alias("kind"), order, item.alias("item")))
     together = tagged[0]
     for rows in tagged[1:]:
-        together = together.unionByName(rows, allowMissingColumns=True)
-    return together.groupBy(*keys, "part_no").agg(
-        *[F.array_sort(F.collect_list(name)).alias(name) for name in children]
-    )
-
-
-def record_detail(records: DataFrame, children: dict[str, DataFrame], **parts) -> DataFrame:
-    """Canonical records with their child lists (see ``nest`` for the parts of very long lists)."""
-    head = canonical(records)
-    ids = head.select("record_id")
-    mine = {name: spread_join(rows, ids, "record_id", "left_semi") for name, rows in children.items()}
-    nested = nest(mine, ["record_id"], **parts)
-    joined = head.join(nested, "record_id", "left")
-    lists = {name: F.coalesce(F.col(name), F.array().cast(nested.schema[name].dataType)) for name in children}
-    return joined.withColumns({"part_no": F.coalesce("part_no", F.lit(0).cast("bigint")), **lists})
+        together = together.unionByName(rows)
+    return head.join(together, key, "left")
+
+
+def record_lists(records: DataFrame, children: dict[str, DataFrame], ids: list, key: str = "record_id", order: str = "ordinal") -> DataFrame:
+    """The canonical records among the given ones (a page of ids), each with one whole list per child table."""
+    head = canonical(records).where(F.col(key).isin(ids))
+    for kind, rows in children.items():
+        mine = rows.where(F.col(key).isin(ids))
+        fields = [c for c in rows.columns if c not in (key, "paper_id", order)]
+        listed = mine.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, *fields))).alias(kind))
+        none = F.array().cast(listed.schema[kind].dataType)
+        head = head.join(listed, key, "left").withColumn(kind, F.coalesce(kind, none))
+    return head

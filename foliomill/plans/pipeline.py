@@ -161,8 +161,7 @@ def write_children(lake: Lake, built: DataFrame, run: str) -> None:
     }
     for name, rows in children.items():
         lake.append(name, rows.drop("evidence"), run)
-    found = rec.evidence(children["materials"], children["conditions"], children["results"])
-    lake.append("evidence", found, run)
+    lake.append("evidence", rec.record_evidence(built), run)
 
 
 def current_papers(lake: Lake) -> DataFrame:

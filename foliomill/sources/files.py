@@ -38,21 +38,22 @@ def scan_files(spark: SparkSession, folder: str, glob: str | None = PDF_GLOB) ->
     return reader.load(folder)
 
 
-def folder_inventory(files: DataFrame) -> DataFrame:
-    """One row: number of files and PDFs, bytes, and whether the folder looks like an empty stand-in.
+def folder_inventory(files: DataFrame, *by: str) -> DataFrame:
+    """One row (or one per value of ``by``): number of files and PDFs, bytes, and whether the folder looks like an empty
+    stand-in.
 
     Reads names and sizes only; file contents are not touched.
     """
     is_pdf = F.lower("path").endswith(".pdf")
     is_marker = F.element_at(F.split("path", "/"), -1) == ".gitkeep"
-    counts = files.select("path", "length").agg(
+    counts = files.select(*by, "path", "length").groupBy(*by).agg(
         F.count(F.lit(1)).alias("n_files"),
         F.count_if(is_pdf).alias("n_pdfs"),
         F.coalesce(F.sum("length"), F.lit(0)).cast("bigint").alias("total_bytes"),
         F.count_if(~is_marker).alias("n_real"),
     )
     return counts.select(
-        "n_files", "n_pdfs", "total_bytes", ((F.col("n_pdfs") == 0) & (F.col("n_real") == 0)).alias("is_empty_fallback")
+        *by, "n_files", "n_pdfs", "total_bytes", ((F.col("n_pdfs") == 0) & (F.col("n_real") == 0)).alias("is_empty_fallback")
     )
 
 

@@ -1,11 +1,12 @@
 """Ingestion, biblio, versions, corrections, catalogue, features, sinks."""
 
 import json
+import re
 
 import pytest
 from pyspark.sql import functions as F
 
-from foliomill.operators import biblio, catalog, corrections, dedup, features, inference, joins, records
+from foliomill.operators import biblio, catalog, corrections, dedup, features, inference, ranks, records
 from foliomill.sources import files as fs
 from foliomill.sources import sinks
 from foliomill.sources.registry import paper_id, register_papers
@@ -32,8 +33,6 @@ def test_scan_and_inventory(spark, folder, tmp_path):
     names = {r.path.rsplit("/", 1)[1]: r for r in found.collect()}
     assert set(names) == {"one.pdf", "two.PDF", "z.Pdf"} and names["one.pdf"].file_hash == names["two.PDF"].file_hash
     assert names["one.pdf"].file_hash == "2d711642b726b04401627ca9fbac32f5c8530fb1903cc4db02258717921a4881"
-    big = fs.with_fingerprint(fs.scan_files(spark, folder), max_bytes=1).where("error IS NOT NULL").collect()
-    assert [b.error for b in big] == ["z.Pdf: file of 2 bytes is too large"]
     inventory = fs.folder_inventory(fs.scan_files(spark, folder, glob=None))
     assert tuple(inventory.first())[:2] == (4, 3) and not inventory.first().is_empty_fallback
     assert "content" not in plan(inventory)
@@ -73,32 +72,50 @@ def test_scan_outcomes_with_one_hot_hash(spark):
         assert step.index("partial_min_by") > step.index("Exchange")
 
 
-@pytest.mark.parametrize("how", ["inner", "left", "left_semi", "left_anti"])
-def test_hot_keys_are_spread(spark, how):
-    """Half of the rows share one key that the right side knows; a null key never matches."""
-    left = spark.range(20000).selectExpr("id", "CASE WHEN id % 2 = 0 THEN 'hot' WHEN id % 97 = 0 THEN NULL ELSE concat('h', id) END AS k")
-    right = spark.range(1000).selectExpr("IF(id = 0, 'hot', concat('h', id)) AS k", "id AS n").groupBy("k").agg(F.max("n").alias("n"))
-    spread = joins.spread_join(left, right, "k", how, hot_rows=5000, salts=8)
-    usual = left.join(right, "k", how)
-    assert spread.columns == usual.columns and rows(spread, *usual.columns) == rows(usual, *usual.columns)
-
-
-def test_hot_rows_reach_all_salts(spark):
-    left = spark.range(20000).selectExpr("id", "IF(id % 3 = 0, -1, id) AS k")
-    assert rows(joins.hot_keys(left, "k", 1000), "k") == [(-1,)]
-    salted = left.where("k = -1").groupBy(F.pmod(joins._row_hash(left), F.lit(8))).count()
-    sizes = [r["count"] for r in salted.collect()]
-    assert len(sizes) == 8 and max(sizes) < 1.2 * min(sizes)
-
-
-def test_author_lists_of_a_huge_paper_come_in_parts(spark):
+def test_joins_with_a_hot_key(spark):
+    """A third of all rows share one hash that is known; null hashes are never known, and stay."""
+    files = spark.range(9000).selectExpr("concat('f', id) AS path", "CASE WHEN id % 3 = 0 THEN 'hot' WHEN id % 97 = 0 THEN NULL ELSE concat('h', id) END AS file_hash")
+    registry = spark.range(1000).selectExpr("IF(id = 0, 'hot', concat('h', id)) AS file_hash", "id AS paper_id", "'parsed' AS status")
+    known = {r.file_hash: r.paper_id for r in registry.collect()}
+    listed = [(r.path, r.file_hash) for r in files.collect()]
+    assert rows(dedup.drop_known(files, registry), "path") == sorted((p,) for p, h in listed if h not in known)
+    found = dedup.duplicates_of(files, registry.union(registry))
+    assert rows(found, "path", "existing_id") == sorted((p, known[h]) for p, h in listed if h in known)
+    kept = corrections.delete_papers({"files": files.withColumnRenamed("file_hash", "paper_id")}, files.where("file_hash = 'hot'").select(F.col("file_hash").alias("paper_id")))
+    assert kept["files"].count() == sum(h != "hot" for _, h in listed)
+
+
+def test_a_hot_key_is_split_by_adaptive_execution(spark):
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "10k",
+                "spark.sql.adaptive.advisoryPartitionSizeInBytes": "10k", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        files = spark.range(60000).repartition(8).selectExpr("concat('f', id) AS path", "IF(id % 3 < 2, 'hot', concat('h', id)) AS file_hash")
+        registry = spark.range(1000).selectExpr("IF(id = 0, 'hot', concat('h', id)) AS file_hash", "id AS paper_id", "'parsed' AS status")
+        for found, n in ((dedup.duplicates_of(files, registry), 40000), (dedup.drop_known(files, registry), 20000)):
+            assert found.count() in range(n - 1000, n + 1001)
+            found.collect()
+            assert "skew=true" in found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+
+
+def test_authors_of_a_huge_paper_have_one_shape(spark):
     links = spark.range(3000).selectExpr("IF(id < 1000, 0, id) AS paper_id", "id AS author_id", "CAST(IF(id < 1000, id, 0) AS INT) AS position")
-    authors = spark.range(3000).selectExpr("id AS author_id", "concat('A', id) AS full_name")
-    lists = catalog.author_lists(links, authors, hot_rows=500).collect()
-    hot = [r for r in lists if r.paper_id == 0]
-    assert len(hot) == 20 and len(lists) == 2020 and max(len(r.authors) for r in hot) < 100
-    assert sorted(a.position for r in hot for a in r.authors) == list(range(1000))
-    assert all(r.authors == sorted(r.authors) for r in hot)
+    authors = spark.range(3000).selectExpr("id AS author_id", "concat('a', id) AS full_name")
+    got = catalog.author_rows(links, authors)
+    assert got.count() == 3000 and rows(got.where("paper_id = 0"), "position", "author_name") == sorted(((i, f"a{i}") for i in range(1000)), key=repr)
+    papers = spark.range(2).selectExpr("id AS paper_id", "'j' AS journal_id", "'' AS summary_path", "'p' AS extraction_json_path", "'t' AS raw_text")
+    journals = spark.createDataFrame([("j", "J")], "journal_id string, name string")
+    page = catalog.paper_page(papers, journals, links, authors, [0, 1])
+    assert {r.paper_id: (len(r.authors), r.journal.name, r.summary_available, r.extraction_available) for r in page.collect()} == {0: (1000, "J", False, True), 1: (0, "J", False, True)}
+    assert [p.name for p in page.where("paper_id = 0").first().authors] == [f"a{i}" for i in range(1000)]
+    assert catalog.paper_detail(papers, journals, links, authors).count() == 1001
+    with pytest.raises(ValueError):
+        catalog.paper_page(papers, journals, links, authors, list(range(201)))
 
 
 def test_biblio_updates(spark):
@@ -146,13 +163,35 @@ def test_canonical_with_one_hot_paper(spark):
     assert {r.paper_id: (r.created_at, r.record_id) for r in chosen.collect()} == best
 
 
-def test_nest_splits_long_lists(spark):
+def test_record_detail_has_all_lists_in_one_shape(spark):
     head = spark.createDataFrame([("r1", "p1", 1), ("r0", "p1", 0), ("r2", "p2", 1)], "record_id string, paper_id string, created_at int")
     items = spark.range(25).selectExpr("'r1' AS record_id", "CAST(id AS INT) AS ordinal", "concat('n', id) AS name")
-    other = spark.createDataFrame([("r1", 0, "m"), ("r0", 0, "old")], "record_id string, ordinal int, technique string")
-    found = records.record_detail(head, {"items": items, "methods": other}, part_size=10).orderBy("record_id", "part_no").collect()
-    assert [(r.record_id, r.part_no, len(r["items"]), len(r.methods)) for r in found] == [("r1", 0, 10, 1), ("r1", 1, 10, 0), ("r1", 2, 5, 0), ("r2", 0, 0, 0)]
-    assert [i.name for r in found for i in r["items"]] == [f"n{i}" for i in range(25)]
+    other = spark.createDataFrame([("r1", 0, None), ("r0", 0, "old")], "record_id string, ordinal int, technique string")
+    found = records.record_detail(head, {"items": items, "methods": other})
+    got = rows(found, "record_id", "kind", "ordinal", "item")
+    assert sorted(got, key=repr) == sorted(
+        [("r1", "items", i, f'{{"name":"n{i}"}}') for i in range(25)] + [("r1", "methods", 0, '{"technique":null}'), ("r2", None, None, None)], key=repr
+    )
+    lists = {r.record_id: r for r in records.record_lists(head, {"items": items, "methods": other}, ["r1", "r2", "r0"]).collect()}
+    assert set(lists) == {"r1", "r2"} and [i.name for i in lists["r1"]["items"]] == [f"n{i}" for i in range(25)]
+    assert len(lists["r1"].methods) == 1 and lists["r2"]["items"] == [] and lists["r2"].methods == []
+
+
+def test_ranked_rows(spark, tmp_path):
+    data = [(i, None if i % 50 == 0 else i * 7919 % 1000, f"t{i}") for i in range(5000)]
+    df = spark.createDataFrame(data, "paper_id int, size int, title string").repartition(7)
+    order = [F.col("size").desc_nulls_last(), F.col("paper_id").asc()]
+    want = sorted(data, key=lambda r: (r[1] is None, -(r[1] or 0), r[0]))
+    stored = ranks.write_ranked(df, order, str(tmp_path / "ranked"), ranges=16)
+    assert stored.total() == 5000 and stored.fences().count() > 8
+    assert [r.paper_id for r in stored.rows().orderBy("place").collect()] == [r[0] for r in want]
+    assert sorted(r.place for r in stored.rows().collect()) == list(range(1, 5001))
+    for skip, limit in ((0, 10), (3333, 50), (4990, 50), (5000, 5), (9999, 5)):
+        page = stored.page(skip, limit).collect()
+        assert [(r.paper_id, r.place) for r in page] == [(r[0], skip + n + 1) for n, r in enumerate(want[skip : skip + limit])]
+    read = stored.page(3333, 50)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^]]*range_no", read)
+    assert ranks.write_ranked(df.limit(0), order, str(tmp_path / "none")).page(0, 5).count() == 0
 
 
 def test_patches_failures_deletion(spark):

@@ -193,8 +193,7 @@ def result_rows(t):
 
 
 def evidence_table(t):
-    r = durable(single_records(t))
-    return records.evidence(records.explode_materials(r), records.explode_conditions(r), records.explode_results(r))
+    return records.record_evidence(single_records(t))
 
 
 EVIDENCE_SQL = """(SELECT record_id, 'material' AS kind, 'material.' || json_extract_string(good, '$.materials[0].name') AS field_name,
@@ -212,11 +211,60 @@ def evidence_rows(t):
     return evidence_table(t).select(*EVIDENCE_COLUMNS)
 
 
-@query("evidence_search", f"SELECT * FROM {EVIDENCE_SQL} WHERE contains(lower(field_name), lower('BRAND#1'))", ("settled",))
+# Of ten answers that make one paper's records the newest is canonical.
+NEWEST = "(SELECT paper_id, max(record_id) AS record_id FROM settled WHERE outcome <> 'rejected' GROUP BY paper_id)"
+
+
+def version_heads(t):
+    heads = single_records(t).select("record_id", F.expr("CAST(floor(record_id / 10) AS BIGINT)").alias("paper_id"))
+    return heads.withColumn("created_at", F.lit(0))
+
+
+@query(
+    "evidence_search",
+    f"SELECT * FROM {EVIDENCE_SQL} WHERE contains(lower(field_name), lower('BRAND#1')) AND record_id IN (SELECT record_id FROM {NEWEST})",
+    ("settled",),
+)
 def evidence_search(t):
     from foliomill.operators.catalog import evidence_for
 
-    return evidence_for(evidence_table(t), field="BRAND#1").select(*EVIDENCE_COLUMNS)
+    return evidence_for(evidence_table(t), records.canonical(version_heads(t)), "BRAND#1").select(*EVIDENCE_COLUMNS)
+
+
+ITEM_SQL = {
+    "materials": ("name", "composition"),
+    "process_conditions": ("parameter_name", "variable_role"),
+    "measurement_methods": ("technique_name", "category"),
+    "result_properties": ("property_name", "unit"),
+}
+DETAIL_SQL = " UNION ALL ".join(
+    f"SELECT record_id, '{kind}' AS kind, ordinal, {a} AS name, {b} AS shown FROM (" + _child_sql(kind, {a: "VARCHAR", b: "VARCHAR"}) + ")"
+    for kind, (a, b) in ITEM_SQL.items()
+)
+
+
+@query(
+    "record_detail",
+    f"""SELECT n.record_id, n.paper_id, kind, ordinal, name, shown FROM {NEWEST} n LEFT JOIN ({DETAIL_SQL}
+UNION ALL SELECT record_id, 'evidence', 0, field_name, field_value FROM {EVIDENCE_SQL}) USING (record_id)""",
+    ("settled",),
+)
+def record_detail(t):
+    r = durable(single_records(t))
+    children = {
+        "materials": records.explode_materials(r),
+        "process_conditions": records.explode_conditions(r),
+        "measurement_methods": records.explode_methods(r),
+        "result_properties": records.explode_results(r),
+        "evidence": records.record_evidence(r),
+    }
+    detail = records.record_detail(version_heads(t), children)
+    text = lambda *paths: F.coalesce(*(F.get_json_object("item", f"$.{p}") for p in paths))
+    names, shown = [a for a, _ in ITEM_SQL.values()], {k: b for k, (_, b) in ITEM_SQL.items()}
+    value = F.when(F.col("kind") == "evidence", text("field_value"))
+    for kind, field in shown.items():
+        value = value.when(F.col("kind") == kind, text(field))
+    return detail.select("record_id", "paper_id", "kind", "ordinal", text(*names, "field_name").alias("name"), value.alias("shown"))
 
 
 @query(

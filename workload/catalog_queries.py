@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from foliomill.functions import display
 from foliomill.operators import catalog
 from foliomill.operators.biblio import journal_id
+from foliomill.session import shared_folder
 from workload.base import query
 
 LISTED = "paper_id, original_filename, title, doi, publication_year, status, file_size_bytes, created_at, updated_at"
@@ -110,10 +111,12 @@ def list_papers_relations(t):
     return page.select("paper_id", "title", "journal_name", names, "has_extraction", "needs_review")
 
 
-@query("author_names", f"SELECT paper_id, author_names FROM {PAPER_AUTHORS}")
+@query(
+    "author_names",
+    "SELECT l_orderkey AS paper_id, l_linenumber AS position, l_suppkey AS author_id, s_name AS author_name FROM lineitem JOIN supplier ON s_suppkey = l_suppkey",
+)
 def author_names(t):
-    names = catalog.author_names(t.links, t.authors)
-    return names.select("paper_id", F.array_join("author_names", "|").alias("author_names"))
+    return catalog.author_rows(t.links, t.authors)
 
 
 @query("extraction_flags", f"SELECT * FROM {FLAGS}", ("event_records",))
@@ -123,8 +126,8 @@ def extraction_flags(t):
 
 @query(
     "paper_detail",
-    f"""SELECT paper_id, title, journal_name, coalesce(author_names, '') AS authors, status = 'extracted' AS summary_available, status = 'extracted' AS extraction_available
-FROM papers LEFT JOIN {PAPER_AUTHORS} USING (paper_id)""",
+    """SELECT paper_id, title, journal_name, l_linenumber AS position, s_name AS author_name, status = 'extracted' AS summary_available, status = 'extracted' AS extraction_available
+FROM papers LEFT JOIN (SELECT * FROM lineitem JOIN supplier ON s_suppkey = l_suppkey) ON l_orderkey = paper_id""",
     ("papers",),
 )
 def paper_detail(t):
@@ -137,7 +140,8 @@ def paper_detail(t):
         "paper_id",
         "title",
         F.col("journal.name").alias("journal_name"),
-        F.array_join(F.col("authors.name"), "|").alias("authors"),
+        "position",
+        "author_name",
         "summary_available",
         "extraction_available",
     )
@@ -168,15 +172,35 @@ def status_counts(t):
 
 @query(
     "sort_rows",
-    """SELECT paper_id, file_size_bytes, CAST(row_number() OVER (ORDER BY file_size_bytes DESC, paper_id) AS BIGINT) AS place FROM
- (SELECT * FROM papers ORDER BY created_at DESC, paper_id LIMIT 200) ORDER BY place""",
+    "SELECT paper_id, file_size_bytes, row_number() OVER (ORDER BY file_size_bytes DESC NULLS LAST, paper_id) AS place FROM papers",
     ("papers",),
 )
 def sort_rows(t):
-    page = catalog.page_of_papers(t.papers, limit=200).select("paper_id", "file_size_bytes")
-    ordered = catalog.sort_rows(page, "file_size_bytes", descending=True).coalesce(1)
-    # One page is at most 200 rows, so its places can be counted in one task.
-    return ordered.withColumn("place", F.monotonically_increasing_id() + 1)
+    rows = t.papers.select("paper_id", "file_size_bytes")
+    return catalog.placed_rows(rows, "file_size_bytes", shared_folder(t.spark, "sorted"), descending=True)
+
+
+@query(
+    "list_papers_deep",
+    f"""SELECT {LISTED}, place FROM (SELECT *, row_number() OVER (ORDER BY title DESC NULLS FIRST, paper_id) AS place FROM papers)
+WHERE place BETWEEN (SELECT count(*) * 3 // 4 + 1 FROM papers) AND (SELECT count(*) * 3 // 4 + 200 FROM papers)""",
+    ("papers",),
+)
+def list_papers_deep(t):
+    """The page at three quarters of the listing."""
+    listing = catalog.store_listing(t.papers, shared_folder(t.spark, "listing"), sort_by="title")
+    return listing.page(listing.total() * 3 // 4, 200)
+
+
+@query(
+    "job_list_deep",
+    """SELECT job_id, paper_id, created_at, status, place FROM (SELECT *, row_number() OVER (ORDER BY created_at DESC NULLS FIRST, job_id) AS place FROM job_events)
+WHERE place BETWEEN (SELECT count(*) // 2 + 1 FROM job_events) AND (SELECT count(*) // 2 + 100 FROM job_events)""",
+    ("job_events",),
+)
+def job_list_deep(t):
+    jobs = catalog.store_jobs(t.job_events, shared_folder(t.spark, "jobs"))
+    return jobs.page(jobs.total() // 2, 100)
 
 
 @query("in_progress", "SELECT paper_id, status FROM papers WHERE status IN ('parsing', 'extracting')", ("papers",))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import faulthandler
 import math
 import sys
+import tempfile
 import time
 from pathlib import Path
 
@@ -71,7 +72,14 @@ def main() -> int:
     # Stop with a traceback rather than run on: no query may take minutes at these scales.
     faulthandler.dump_traceback_later(1200, exit=True)
     spark = build_session(
-        "compare", "local[8]", **{"spark.ui.enabled": "false", "spark.sql.shuffle.partitions": "8", "spark.driver.memory": "8g"}
+        "compare",
+        "local[8]",
+        **{
+            "spark.ui.enabled": "false",
+            "spark.sql.shuffle.partitions": "8",
+            "spark.driver.memory": "8g",
+            "spark.checkpoint.dir": tempfile.mkdtemp(prefix="compare-"),
+        },
     )
     spark.sparkContext.setLogLevel("ERROR")
     con, bad = connection(folder), 0

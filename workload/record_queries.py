@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from foliomill.functions import text as tx
 from foliomill.operators import biblio, corrections, records
-from foliomill.operators.joins import with_part
 from workload.base import query
 
 
@@ -117,11 +116,15 @@ def journals_dim(t):
 @query(
     "authors_dim",
     """SELECT sha256('author~' || n) AS author_id, n AS full_name, CASE WHEN len(w) > 1 THEN array_to_string(w[1:len(w) - 1], ' ') END AS first_name, w[len(w)] AS last_name
-FROM (SELECT DISTINCT p_name AS n, string_split(p_name, ' ') AS w FROM part)""",
+FROM (SELECT DISTINCT p_name AS n, string_split(p_name, ' ') AS w FROM part WHERE p_name NOT IN (SELECT p_name FROM part WHERE p_size > 25))
+UNION ALL SELECT DISTINCT 'known ' || p_name, p_name, 'as', 'stored' FROM part WHERE p_size > 25""",
 )
 def authors_dim(t):
-    none = t.spark.createDataFrame([], "author_id string, full_name string, first_name string, last_name string")
-    return biblio.upsert_authors(none, t.part.select(F.col("p_name").alias("full_name")))
+    """Names of the larger parts are known under ids of their own; the others are new."""
+    name = F.col("p_name")
+    stored = t.part.where("p_size > 25").select(name.alias("full_name")).distinct()
+    known = stored.select(F.concat(F.lit("known "), "full_name").alias("author_id"), "full_name", F.lit("as").alias("first_name"), F.lit("stored").alias("last_name"))
+    return biblio.upsert_authors(known, t.part.select(name.alias("full_name")))
 
 
 WORDS = "string_split(p_name, ' ')"
@@ -172,42 +175,20 @@ def canonical_events(t):
     return records.canonical(t.event_records).select("record_id", "paper_id", "status", "summary_text")
 
 
-@query(
-    "record_detail",
-    """SELECT c.record_id, c.paper_id, c.status, CAST(0 AS BIGINT) AS part_no, coalesce(n.conditions, '') AS conditions, coalesce(n.results, '') AS results
-FROM canon c LEFT JOIN (SELECT record_id, string_agg(parameter_name, '|' ORDER BY ordinal) AS conditions, string_agg(property_name, '|' ORDER BY ordinal) AS results FROM
-  (SELECT * FROM conditions JOIN (SELECT ordinal, record_id, property_name FROM results) USING (record_id, ordinal)) GROUP BY record_id) n USING (record_id)""",
-    ("canon", "conditions", "results"),
-)
-def record_detail(t):
-    head = t.versions.select("record_id", "paper_id", "created_at", "status")
-    children = {
-        "conditions": with_part(t.conditions.select("record_id", "ordinal", "parameter_name"), "record_id"),
-        "results": with_part(t.results.select("record_id", "ordinal", "property_name"), "record_id"),
-    }
-    detail = records.record_detail(head, children, part="part_no")
-    return detail.select(
-        "record_id",
-        "paper_id",
-        "status",
-        "part_no",
-        F.array_join(F.col("conditions.parameter_name"), "|").alias("conditions"),
-        F.array_join(F.col("results.property_name"), "|").alias("results"),
-    )
-
-
 @query(
     "delete_cascade",
-    """SELECT 'papers' AS table_name, count(*) AS n, CAST(sum(paper_id) AS BIGINT) AS ids FROM papers WHERE paper_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)
-UNION ALL SELECT 'records', count(*), CAST(sum(paper_id) AS BIGINT) FROM event_records WHERE paper_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)
-UNION ALL SELECT 'links', count(*), CAST(sum(l_orderkey) AS BIGINT) FROM lineitem WHERE l_orderkey NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)""",
+    """SELECT 'papers' AS table_name, paper_id, NULL::BIGINT AS row_id, title AS shown FROM papers WHERE paper_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)
+UNION ALL SELECT 'records', paper_id, record_id, status FROM event_records WHERE paper_id NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)
+UNION ALL SELECT 'links', l_orderkey, l_suppkey, l_linenumber::VARCHAR FROM lineitem WHERE l_orderkey NOT IN (SELECT doc_id FROM labels WHERE toxic = 1)""",
     ("papers", "event_records"),
 )
 def delete_cascade(t):
     gone = t.labels.where(F.col("toxic") == 1).select(F.col("doc_id").alias("paper_id"))
     kept = corrections.delete_papers({"papers": t.papers, "records": t.event_records, "links": t.links}, gone)
+    none = F.lit(None).cast("bigint")
+    shown = {"papers": (none, "title"), "records": (F.col("record_id"), "status"), "links": (F.col("author_id"), "position")}
     parts = [
-        rows.agg(F.count(F.lit(1)).alias("n"), F.sum("paper_id").alias("ids")).select(F.lit(name).alias("table_name"), "n", "ids")
+        rows.select(F.lit(name).alias("table_name"), "paper_id", shown[name][0].alias("row_id"), F.col(shown[name][1]).cast("string").alias("shown"))
         for name, rows in kept.items()
     ]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])

@@ -21,9 +21,16 @@ def quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-@query("folder_inventory")
+@query(
+    "folder_inventory",
+    """SELECT source, count(*) AS n_files, count(*) FILTER (doc_id % 3 = 0) AS n_pdfs, coalesce(sum(strlen(text)), 0)::BIGINT AS total_bytes,
+ count(*) FILTER (doc_id % 3 = 0 OR doc_id % 4 <> 1) = 0 AS is_empty_fallback FROM documents GROUP BY source""",
+)
 def folder_inventory(t):
-    return fs.folder_inventory(fs.scan_files(t.spark, t.folder, glob=None))
+    """Documents as files in a folder per source: PDFs, texts and place-holders."""
+    name = F.when(F.col("doc_id") % 3 == 0, F.concat(F.col("doc_id"), F.lit(".Pdf"))).when(F.col("doc_id") % 4 == 1, F.lit(".gitkeep")).otherwise(F.lit("notes.txt"))
+    listed = t.documents.select("source", F.concat_ws("/", F.col("source"), F.col("doc_id"), name).alias("path"), F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("length"))
+    return fs.folder_inventory(listed, "source")
 
 
 @query(
@@ -109,44 +116,57 @@ def choose_page_text(t):
 
 @query(
     "assemble_document",
-    """SELECT paper_id, CAST(page_number // 1000 AS BIGINT) AS block_no, string_agg(text, chr(10) || chr(10) ORDER BY page_number, text) AS text,
- count(*) AS page_count, CASE WHEN count(DISTINCT method) > 1 THEN 'hybrid' ELSE max(method) END AS parse_method
-FROM turns GROUP BY ALL""",
+    """SELECT paper_id, string_agg(text, chr(10) || chr(10) ORDER BY page_number, text) AS text, count(*) AS page_count,
+ CASE WHEN count(DISTINCT method) > 1 THEN 'hybrid' ELSE max(method) END AS parse_method FROM turns GROUP BY paper_id""",
     ("turns",),
 )
 def assemble_document(t):
-    blocks = parsing.assemble_blocks(t.turns)
-    return blocks.select("paper_id", "block_no", "text", "page_count", "parse_method")
+    return parsing.assemble_document(t.turns).select("paper_id", "text", "page_count", "parse_method")
 
 
 @query(
-    "parse_stats",
+    "page_stats",
     """SELECT paper_id, 'parsed' AS status, sum(n)::BIGINT AS page_count, CASE WHEN min(low) <> max(high) THEN 'hybrid' ELSE max(high) END AS parse_method,
  CAST(sum(chars) + 2 * (sum(n) - 1) AS BIGINT) AS text_length FROM
  (SELECT paper_id, count(*) AS n, min(method) AS low, max(method) AS high, sum(length(text)) AS chars FROM turns GROUP BY ALL) GROUP BY paper_id""",
     ("turns",),
 )
-def parse_stats(t):
+def page_stats(t):
     return parsing.page_stats(t.turns)
 
 
+@query(
+    "parse_stats",
+    rf"""SELECT paper_id, CASE WHEN regexp_matches(text, '[^{WS}]') THEN 'parsed' ELSE 'failed' END AS status, page_count, parse_method,
+ length(text)::BIGINT AS text_length FROM (SELECT paper_id, string_agg(CASE WHEN paper_id % 7 = 3 THEN ' ' ELSE text END, chr(10) || chr(10)) AS text,
+  count(*) AS page_count, CASE WHEN count(DISTINCT method) > 1 THEN 'hybrid' ELSE max(method) END AS parse_method FROM turns GROUP BY paper_id)""",
+    ("turns",),
+)
+def parse_stats(t):
+    blanked = F.when(F.col("paper_id") % 7 == 3, F.lit(" ")).otherwise(F.col("text"))
+    return parsing.parse_stats(parsing.parse_outcome(parsing.assemble_document(t.turns.withColumn("text", blanked))))
+
+
 @query(
     "parse_outcome",
-    rf"""SELECT doc_id AS paper_id, CASE WHEN regexp_matches(text, '[^{WS}]') THEN 'parsed' ELSE 'failed' END AS status,
- CASE WHEN NOT regexp_matches(text, '[^{WS}]') THEN 'PDF parsing yielded empty text' END AS parse_error FROM documents""",
+    rf"""SELECT paper_id, CASE WHEN parse_error IS NULL THEN 'parsed' ELSE 'failed' END AS status, parse_error FROM (SELECT paper_id,
+ coalesce(error, CASE WHEN NOT regexp_matches(text, '[^{WS}]') THEN 'PDF parsing yielded empty text' END) AS parse_error FROM readings)""",
+    ("readings",),
 )
 def parse_outcome(t):
-    docs = t.documents.select(F.col("doc_id").alias("paper_id"), "text")
-    return parsing.parse_outcome(docs).select("paper_id", "status", "parse_error")
+    return parsing.parse_outcome(t.readings).select("paper_id", "status", "parse_error")
 
 
 @query(
     "require_text",
-    rf"SELECT doc_id, length(text)::INTEGER AS chars FROM documents WHERE regexp_matches(text, '[^{WS}]')",
+    rf"""SELECT paper_id, length(text)::INTEGER AS chars,
+ CASE WHEN NOT regexp_matches(text, '[^{WS}]') THEN 'PDF parsing yielded empty text' END AS parse_error FROM readings""",
+    ("readings",),
 )
 def require_text(t):
-    kept, _ = parsing.require_text(t.documents)
-    return kept.select("doc_id", F.length("text").alias("chars"))
+    kept, blank = parsing.require_text(t.readings.select("paper_id", "text"))
+    both = kept.withColumn("parse_error", F.lit(None).cast("string")).unionByName(blank)
+    return both.select("paper_id", F.length("text").alias("chars"), "parse_error")
 
 
 @query(
@@ -289,18 +309,33 @@ def pending_prompts(t):
     return inference.pending(answers.select(*inference.KEY).distinct(), answers).select("paper_id", "prompt_hash")
 
 
+OFFERED = """(SELECT * REPLACE (CASE paper_id % 4 WHEN 1 THEN publication_year - 200 WHEN 2 THEN publication_year + 60 ELSE publication_year END AS publication_year,
+ CASE paper_id % 3 WHEN 1 THEN replace(original_filename, '.pdf', '.PDF') WHEN 2 THEN original_filename || '.txt' ELSE original_filename END AS original_filename,
+ CASE WHEN paper_id % 5 = 4 THEN file_size_bytes + 104857600 ELSE file_size_bytes END AS file_size_bytes) FROM papers)"""
+
+
 @query(
     "file_quality",
     rf"""SELECT paper_id, regexp_matches(coalesce(doi, ''), '^10\.[0-9]{{4,9}}/[-._;()/:A-Z0-9a-z]+$') AS doi_ok,
  coalesce(nullif(trim(regexp_replace(original_filename, '[^\pL\pN_\-. ]', '', 'g')), ''), 'unnamed') AS safe_name,
  CASE WHEN publication_year BETWEEN 1900 AND 2030 THEN publication_year END AS checked_year,
  coalesce(publication_year BETWEEN 1900 AND 2100, true) AS biblio_year_ok,
- (lower(original_filename) LIKE '%.pdf' AND file_size_bytes <= 104857600) AS upload_ok FROM papers""",
+ (lower(original_filename) LIKE '%.pdf' AND file_size_bytes <= 104857600) AS upload_ok FROM {OFFERED}""",
     ("papers",),
 )
 def file_quality(t):
-    year = F.col("publication_year")
-    return t.papers.select(
+    id_, year, name, size = (F.col(c) for c in ("paper_id", "publication_year", "original_filename", "file_size_bytes"))
+    # Uploads as they come: years out of range, other extensions, files above the limit.
+    offered = t.papers.withColumns(
+        {
+            "publication_year": F.when(id_ % 4 == 1, year - 200).when(id_ % 4 == 2, year + 60).otherwise(year),
+            "original_filename": F.when(id_ % 3 == 1, F.replace(name, F.lit(".pdf"), F.lit(".PDF")))
+            .when(id_ % 3 == 2, F.concat(name, F.lit(".txt")))
+            .otherwise(name),
+            "file_size_bytes": F.when(id_ % 5 == 4, size + 104857600).otherwise(size),
+        }
+    )
+    return offered.select(
         "paper_id",
         rules.valid_doi(F.col("doi")).alias("doi_ok"),
         rules.safe_filename(F.col("original_filename")).alias("safe_name"),
@@ -312,15 +347,17 @@ def file_quality(t):
 
 @query(
     "item_rules",
-    """SELECT record_id, l_linenumber, l_partkey, l_suppkey, l_shipdate, (confidence IS NULL OR confidence BETWEEN 0 AND 1) AS confidence_ok,
- variable_role IN ('input', 'output', 'contextual') AS role_ok, trim(coalesce(value_text, '')) <> '' AS text_given FROM conditions""",
+    """SELECT record_id, l_linenumber, l_partkey, l_suppkey, l_shipdate, (confidence IS NULL OR confidence * 1.5 BETWEEN 0 AND 1) AS confidence_ok,
+ coalesce(CASE WHEN unit = 'nm' THEN 'banana' WHEN unit = 'Pa' AND value_text IS NOT NULL THEN NULL ELSE variable_role END IN ('input', 'output', 'contextual'), false) AS role_ok, trim(coalesce(value_text, '')) <> '' AS text_given FROM conditions""",
     ("conditions",),
 )
 def item_rules(t):
+    gone = (F.col("unit") == "Pa") & F.col("value_text").isNotNull()
+    role = F.when(F.col("unit") == "nm", F.lit("banana")).when(~gone, F.col("variable_role"))
     return t.conditions.select(
         "record_id",
         "ordinal.*",
-        rules.valid_confidence(F.col("confidence")).alias("confidence_ok"),
-        rules.valid_role(F.col("variable_role")).alias("role_ok"),
+        rules.valid_confidence(F.col("confidence") * 1.5).alias("confidence_ok"),
+        rules.valid_role(role).alias("role_ok"),
         rules.valid_summary(F.col("value_text")).alias("text_given"),
     )

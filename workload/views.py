@@ -99,32 +99,50 @@ SELECT paper_id, concat(coalesce(title, 'short'), chr(10), 'DOI: ', coalesce(doi
 
 
 def turns(t) -> DataFrame:
-    """Conversation turns as pages; what users wrote counts as native text."""
+    """Conversation turns as pages; what users wrote counts as native text, and all of every third conversation."""
+    native = (F.col("conv_id") % 3 == 0) | ((F.col("conv_id") % 3 == 1) & (F.col("role") == "user"))
     return t.conversations.select(
         F.col("conv_id").alias("paper_id"),
         F.col("turn").alias("page_number"),
         "text",
-        F.when(F.col("role") == "user", F.lit("native")).otherwise(F.lit("ocr")).alias("method"),
+        F.when(native, F.lit("native")).otherwise(F.lit("ocr")).alias("method"),
     )
 
 
 SQL["turns"] = """
-SELECT conv_id AS paper_id, turn AS page_number, text, CASE WHEN role = 'user' THEN 'native' ELSE 'ocr' END AS method
+SELECT conv_id AS paper_id, turn AS page_number, text,
+ CASE WHEN conv_id % 3 = 0 OR (conv_id % 3 = 1 AND role = 'user') THEN 'native' ELSE 'ocr' END AS method
 FROM conversations"""
 
 
+def readings(t) -> DataFrame:
+    """Documents as a reader left them: some blank, some with an error, some with both."""
+    return t.documents.select(
+        F.col("doc_id").alias("paper_id"),
+        F.when(F.col("doc_id") % 7 == 3, F.lit(" \n\t")).otherwise(F.col("text")).alias("text"),
+        F.when(F.col("doc_id") % 11 == 5, F.concat(F.lit("Parse error: page "), F.col("doc_id"))).alias("error"),
+    )
+
+
+SQL["readings"] = """
+SELECT doc_id AS paper_id, CASE WHEN doc_id % 7 = 3 THEN ' ' || chr(10) || chr(9) ELSE text END AS text,
+ CASE WHEN doc_id % 11 = 5 THEN 'Parse error: page ' || doc_id END AS error FROM documents"""
+
+
 def web_pages(t) -> DataFrame:
-    """Web pages with two candidate texts: the page title and all text between the tags."""
+    """Web pages with two candidate texts: the page's title, the page itself, or nothing, beside all text between the tags
+    or nothing."""
+    kind, title = F.col("page_id") % 5, F.regexp_extract("html", r"<title>([^<]*)</title>", 1)
     return t.pages.select(
         F.col("page_id").alias("paper_id"),
-        F.regexp_extract("html", r"<title>([^<]*)</title>", 1).alias("native_text"),
-        F.regexp_replace("html", r"<[^>]*>", " ").alias("ocr_text"),
+        F.when(kind == 1, F.col("html")).when(kind == 2, F.lit("")).otherwise(title).alias("native_text"),
+        F.when(kind != 3, F.regexp_replace("html", r"<[^>]*>", " ")).otherwise(F.lit("")).alias("ocr_text"),
     )
 
 
 SQL["web_pages"] = r"""
-SELECT page_id AS paper_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS native_text,
- regexp_replace(html, '<[^>]*>', ' ', 'g') AS ocr_text FROM pages"""
+SELECT page_id AS paper_id, CASE page_id % 5 WHEN 1 THEN html WHEN 2 THEN '' ELSE regexp_extract(html, '<title>([^<]*)</title>', 1) END AS native_text,
+ CASE page_id % 5 WHEN 3 THEN '' ELSE regexp_replace(html, '<[^>]*>', ' ', 'g') END AS ocr_text FROM pages"""
 
 
 def responses(t) -> DataFrame:
@@ -300,9 +318,7 @@ for _name, _exprs in (("conditions", CONDITION_EXPR), ("results", RESULT_EXPR)):
 
 def of_versions(children: DataFrame, versions: DataFrame) -> DataFrame:
     """Children of the given record versions, with the version's paper as their paper."""
-    from foliomill.operators.joins import spread_join
-
-    return spread_join(children.drop("paper_id"), versions.select("record_id", "paper_id"), "record_id")
+    return children.drop("paper_id").join(versions.select("record_id", "paper_id"), "record_id")
 
 
 def version_conditions(t) -> DataFrame:
