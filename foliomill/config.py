@@ -56,5 +56,5 @@ MODEL_WAIT_FACTOR, MODEL_WAIT_MIN, MODEL_WAIT_MAX = 2, 4, 60
 
 # Pages joined into one text block before blocks are joined into a document.
 BLOCK_PAGES = 1_000
-# More pivot columns than this are refused; the long form has no limit.
+# So many variables get columns of their own where none are named; the others are kept in a map.
 MAX_PIVOT_NAMES = 5_000

@@ -1,22 +1,26 @@
 """From child rows to variables: long form, wide form, maps, matrices, coverage, nested export.
 
 The long form has one row per (paper, variable) after the last value has won.  It has no limit on
-the number of variables; the wide forms are projections of it.
+the number of variables; the wide forms are projections of it, and the sparse matrix holds all of it.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from foliomill import config
 from foliomill.functions.text import value_text
+from foliomill.operators.ranks import write_ranked
 
 INPUT_PREFIX, OUTPUT_PREFIX = "input_", "output_"
 CELL = ["value", "unit", "confidence", "needs_review"]
+# Rows of a block of the sparse matrix.
+BLOCK_ROWS = 1 << 16
 # Suffixes of the columns beside each variable.
 INPUT_EXTRAS = ["unit", "confidence"]
 OUTPUT_EXTRAS = ["unit", "needs_review", "confidence"]
+# Columns of the first material.
 PRIMARY_MATERIAL = {
     "material_name": "name",
     "material_composition": "composition",
@@ -80,11 +84,44 @@ def last_values(long: DataFrame, fields: list[str], order: str | Column = "ordin
 
 
 def variable_names(long: DataFrame, most: int = config.MAX_PIVOT_NAMES) -> list[str]:
-    """Sorted distinct names; refuses more than ``most``, for which the long form is the answer."""
-    names = [row.name for row in long.select("name").distinct().limit(most + 1).collect()]
-    if len(names) > most:
-        raise ValueError(f"more than {most} variables: name the ones to pivot, or use the long form")
-    return sorted(names)
+    """Sorted distinct names; of more than ``most`` those that most papers have.
+
+    The rest is never lost: a pivot without explicit names keeps it in a map.
+    """
+    counted = long.groupBy("name").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "name").limit(most)
+    return sorted(row.name for row in counted.collect())
+
+
+def column_names(names: list[str], extras: list[str], taken: list[str] | tuple = ("paper_id",)) -> dict[tuple[str, str], str]:
+    """A column for each variable (field "value") and each of its ``extras``, all different in any case.
+
+    A variable's column is its name and an extra's is ``<name>_<extra>``.  Where that is taken already, as by a name that
+    differs in case only or by a variable that is called like another's unit, a number is put behind it.  Variables choose
+    before extras, in sorted order, so the same names always get the same columns.
+    """
+    used = {t.lower() for t in taken}
+    columns: dict[tuple[str, str], str] = {}
+
+    def choose(name: str, field: str, wished: str) -> None:
+        column, n = wished, 1
+        while column.lower() in used:
+            n += 1
+            column = f"{wished}__{n}"
+        used.add(column.lower())
+        columns[name, field] = column
+
+    for name in sorted(set(names)):
+        choose(name, "value", name)
+    for name in sorted(set(names)):
+        for extra in extras:
+            choose(name, extra, f"{name}_{extra}")
+    return columns
+
+
+def column_dictionary(spark: SparkSession, columns: dict[tuple[str, str], str]) -> DataFrame:
+    """``column, name, field``: what each column of a pivot holds."""
+    rows = [(column, name, field) for (name, field), column in columns.items()]
+    return spark.createDataFrame(rows, "column string, name string, field string")
 
 
 def cells(long: DataFrame, order: str | Column = "ordinal", fields: list[str] | None = None) -> DataFrame:
@@ -96,25 +133,36 @@ def cells(long: DataFrame, order: str | Column = "ordinal", fields: list[str] |
     )
 
 
-def _spread(names: list[str], extras: list[str]) -> list[Column]:
-    columns = []
-    for name in names:
-        cell = F.col("cells")[name]
-        columns.append(cell["value"].alias(name))
-        columns += [cell[extra].alias(f"{name}_{extra}") for extra in extras]
-    return columns
+def _spread(names: list[str], extras: list[str], taken: list[str] | tuple = ("paper_id",)) -> list[Column]:
+    chosen = column_names(names, extras, taken)
+    fields = [(name, field) for name in names for field in ("value", *extras)]
+    return [F.col("cells")[name][field].alias(chosen[name, field]) for name, field in fields]
 
 
-def pivot_inputs(long: DataFrame, names: list[str] | None = None, order: str | Column = "ordinal") -> DataFrame:
-    """One row per paper; per input its value, unit and confidence."""
-    names = variable_names(long) if names is None else names
-    return cells(long, order).select("paper_id", *_spread(names, INPUT_EXTRAS))
+def _others(names: list[str]) -> Column:
+    """The variables that have no column, as a map."""
+    named = F.array(*[F.lit(n) for n in names]).cast("array<string>")
+    return F.map_filter("cells", lambda name, _: ~F.array_contains(named, name)).alias("other_variables")
 
 
-def pivot_outputs(long: DataFrame, names: list[str] | None = None, order: str | Column = "ordinal") -> DataFrame:
-    """One row per paper; per output its value, unit, review flag and confidence."""
+def _pivot(long: DataFrame, names: list[str] | None, order: str | Column, extras: list[str], rest: bool | None) -> DataFrame:
+    rest = names is None if rest is None else rest
     names = variable_names(long) if names is None else names
-    return cells(long, order).select("paper_id", *_spread(names, OUTPUT_EXTRAS))
+    columns = _spread(names, extras, ("paper_id", *(["other_variables"] if rest else [])))
+    return cells(long, order).select("paper_id", *columns, *([_others(names)] if rest else []))
+
+
+def pivot_inputs(long: DataFrame, names: list[str] | None = None, order: str | Column = "ordinal", rest: bool | None = None) -> DataFrame:
+    """One row per paper; per input its value, unit and confidence (see ``column_names``).
+
+    ``rest`` adds the map ``other_variables`` with all that have no column; without explicit names it is always there.
+    """
+    return _pivot(long, names, order, INPUT_EXTRAS, rest)
+
+
+def pivot_outputs(long: DataFrame, names: list[str] | None = None, order: str | Column = "ordinal", rest: bool | None = None) -> DataFrame:
+    """One row per paper; per output its value, unit, review flag and confidence; ``rest`` as in ``pivot_inputs``."""
+    return _pivot(long, names, order, OUTPUT_EXTRAS, rest)
 
 
 def primary_material(materials: DataFrame, order: str | Column = "ordinal") -> DataFrame:
@@ -133,14 +181,16 @@ def export_wide(
     materials: DataFrame,
     input_names: list[str] | None = None,
     output_names: list[str] | None = None,
-    rest: bool = False,
+    rest: bool | None = None,
     order: str | Column = "ordinal",
 ) -> DataFrame:
     """One row per paper that has a canonical record: base columns, inputs, outputs, primary material.
 
     ``inputs`` and ``outputs`` are long forms of the canonical records.  With explicit names no pass over
-    the data is needed to find them; ``rest`` then adds a map with the variables that were not named.
+    the data is needed to find them.  ``rest`` adds a map with the variables that have no column; where names are not
+    given, it is always there.
     """
+    rest = input_names is None or output_names is None if rest is None else rest
     input_names = variable_names(inputs) if input_names is None else input_names
     output_names = variable_names(outputs) if output_names is None else output_names
     named_journals = journals.select("journal_id", F.col("name").alias("journal"))
@@ -149,15 +199,18 @@ def export_wide(
     base = base.join(statuses, "paper_id").join(named_journals, "journal_id", "left")
     gathered = cells(inputs.unionByName(outputs), order)
     joined = base.join(gathered, "paper_id", "left").join(primary_material(materials, order), "paper_id", "left")
-    columns = [*_spread(input_names, INPUT_EXTRAS), *_spread(output_names, OUTPUT_EXTRAS)]
+    # Names of inputs and outputs differ by their prefix, so their columns cannot meet.
+    fixed = ["paper_id", "title", "doi", "year", "journal", "extraction_status"]
+    taken = [*fixed, *PRIMARY_MATERIAL, "other_variables"]
+    columns = [*_spread(input_names, INPUT_EXTRAS, taken), *_spread(output_names, OUTPUT_EXTRAS, taken)]
     if rest:
-        named = F.array(*[F.lit(n) for n in [*input_names, *output_names]]).cast("array<string>")
-        columns.append(F.map_filter("cells", lambda name, _: ~F.array_contains(named, name)).alias("other_variables"))
-    return joined.select("paper_id", "title", "doi", "year", "journal", "extraction_status", *columns, *PRIMARY_MATERIAL)
+        columns.append(_others([*input_names, *output_names]))
+    return joined.select(*fixed, *columns, *PRIMARY_MATERIAL)
 
 
 # --- X and y ---------------------------------------------------------------------------------
 
+# What is kept of an input and of an output.
 X_FIELDS = ["value", "unit", "confidence"]
 Y_FIELDS = ["value", "value_min", "value_max", "unit", "conditions", "confidence"]
 
@@ -195,13 +248,31 @@ def feature_matrix(papers: DataFrame, long: DataFrame, names: list[str] | None =
     ``long`` is ``x_long`` or ``y_long``.  Papers without any variable keep their row.
     """
     names = variable_names(long) if names is None else names
+    chosen = column_names(names, [])
     values = variable_map(long.select("paper_id", "name", "value"), "cells")
     ids = papers.select("paper_id").distinct()
     return ids.join(values, "paper_id", "left").select(
-        "paper_id", *[F.col("cells")[name]["value"].alias(name) for name in names]
+        "paper_id", *[F.col("cells")[name]["value"].alias(chosen[name, "value"]) for name in names]
     )
 
 
+def sparse_matrix(papers: DataFrame, long: DataFrame, path: str, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The matrix of any number of variables as its cells: ``block, row, column, value``; with the papers of the rows
+    (``paper_id, row``) and the names of the columns (``name, column``), both numbered from 0 in sorted order.
+
+    ``long`` is ``x_long`` or ``y_long``.  Cells that were not observed are left out; papers and names keep their numbers.  A
+    block is ``block_rows`` rows, small enough to be one array.  The numberings are stored below ``path``.
+    """
+    def numbered(ids: DataFrame, key: str, number: str) -> DataFrame:
+        stored = write_ranked(ids.select(key).distinct(), [F.col(key).asc()], f"{path}/{number}s")
+        return stored.rows().select(key, (F.col("place") - 1).alias(number))
+
+    rows, columns = numbered(papers, "paper_id", "row"), numbered(long, "name", "column")
+    cells_ = long.where(F.col("value").isNotNull()).select("paper_id", "name", "value").join(rows, "paper_id").join(columns, "name")
+    block = F.floor(F.col("row") / block_rows).cast("bigint").alias("block")
+    return cells_.select(block, "row", "column", "value"), rows, columns
+
+
 def coverage(long: DataFrame, papers: DataFrame) -> DataFrame:
     """Per variable: papers that observed it, their share in percent, and the range.
 

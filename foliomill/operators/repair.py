@@ -25,6 +25,9 @@ TRUE_WORDS = "'true', 't', 'yes', 'y', 'on', '1'"
 FALSE_WORDS = "'false', 'f', 'no', 'n', 'off', '0'"
 MAX_INT = 2**31
 
+# The parser's setting for objects that repeat a key.
+LAST_KEY_WINS = "spark.sql.variant.allowDuplicateKeys"
+
 # How a response ended up.
 VALID, RECOVERED, MINIMAL, REJECTED = "valid", "recovered", "minimal", "rejected"
 
@@ -38,8 +41,10 @@ def strip_fences(raw: Column) -> Column:
 def decode_responses(df: DataFrame, raw: str = "raw") -> DataFrame:
     """Adds ``decoded`` (variant, null on failure) and ``reject_reason`` (null on success).
 
-    The text is parsed whole; if that fails, the span from the first to the last brace is tried.
+    The text is parsed whole; if that fails, the span from the first to the last brace is tried.  Of a key that an object
+    repeats the last value counts, for which the session's parser is set.
     """
+    df.sparkSession.conf.set(LAST_KEY_WINS, "true")
     text = F.col("_text")
     span = F.regexp_extract(text, BRACE_SPAN, 0)
     df = pinned(df, _text=strip_fences(F.coalesce(F.col(raw), F.lit(""))))

@@ -17,6 +17,8 @@ SETTINGS = {
     "spark.sql.execution.topKSortFallbackThreshold": "100000",
     # A response row carries a whole text chunk; keep Arrow batches small.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "256",
+    # Of a key that an answer repeats the last value counts.
+    "spark.sql.variant.allowDuplicateKeys": "true",
     # Model calls are side effects: never run a second copy of a slow task.
     "spark.speculation": "false",
 }

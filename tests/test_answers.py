@@ -224,3 +224,9 @@ def test_reports(built):
     document = json.loads(reports.extraction_json(named, at).where("paper_id = 'p1'").first().json)
     assert document["paper_id"] == "p1" and document["paper_metadata"]["original_filename"] == "file.pdf"
     assert document["extraction"]["result_properties"][0]["value_min"] is None
+
+
+def test_the_last_of_a_repeated_key_counts(spark):
+    raws = ['{"summary": "first", "summary": "last"}', 'said: {"summary": "x", "materials": [{"name": "a", "name": "b"}], "materials": [{"name": "c", "name": "d"}]}']
+    got = repair.repair_responses(spark.createDataFrame([(i, r) for i, r in enumerate(raws)], "n int, raw string"), "raw").orderBy("n").collect()
+    assert [(r.outcome, r.record.summary, [m.name for m in r.record.materials]) for r in got] == [("valid", "last", []), ("valid", "x", ["d"])]

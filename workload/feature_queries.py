@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foliomill.operators import features, records
+from foliomill.session import shared_folder
 from workload.base import query
 
 INPUTS = ["input_annealing_temperature", "input_film_thickness", "input_pressure"]
@@ -60,7 +61,7 @@ def pivot_inputs(t):
 
 @query("pivot_outputs", pivot_sql("outputs", "results", OUTPUTS, features.OUTPUT_EXTRAS), ("results",))
 def pivot_outputs(t):
-    return features.pivot_outputs(features.long_outputs(t.results))
+    return features.pivot_outputs(features.long_outputs(t.results), rest=False)
 
 
 @query(
@@ -178,22 +179,28 @@ def matrix_sql(kind: str, source: str, papers: str, names: list[str]) -> str:
     return f"SELECT p.paper_id, {columns} FROM {papers} p LEFT JOIN {last_sql(kind, source)} v USING (paper_id) GROUP BY p.paper_id"
 
 
-# The engines treat column names alike in any case, so the two spellings of one variable are told apart by an alias.
-RENAMED = {"annealing temperature": "annealing temperature (lower)"}
-
-
+# Of names that differ in case the second gets a numbered column.
 @query(
     "feature_matrix_x",
-    matrix_sql("x", "version_conditions", "customers", X_NAMES).replace(
-        'AS "annealing temperature"', 'AS "annealing temperature (lower)"'
-    ),
+    matrix_sql("x", "version_conditions", "customers", X_NAMES).replace('AS "annealing temperature"', 'AS "annealing temperature__2"'),
     ("customers", "version_conditions"),
 )
 def feature_matrix_x(t):
-    long = features.x_long(t.version_conditions)
-    return features.feature_matrix(t.customers, long, X_NAMES).toDF(
-        "paper_id", *[RENAMED.get(n, n) for n in X_NAMES]
-    )
+    return features.feature_matrix(t.customers, features.x_long(t.version_conditions), X_NAMES)
+
+
+@query(
+    "sparse_matrix_x",
+    f"""SELECT r.paper_id, c.name, block, "row", "column", value FROM (SELECT paper_id, row_number() OVER (ORDER BY paper_id) - 1 AS "row" FROM customers) r
+ JOIN (SELECT paper_id, name, value FROM {last_sql('x', 'version_conditions')}) v USING (paper_id)
+ JOIN (SELECT name, row_number() OVER (ORDER BY name) - 1 AS "column" FROM (SELECT DISTINCT name FROM {last_sql('x', 'version_conditions')})) c USING (name),
+ LATERAL (SELECT "row" // 100 AS block) WHERE value IS NOT NULL""",
+    ("customers", "version_conditions"),
+)
+def sparse_matrix_x(t):
+    """The cells with what their numbers stand for."""
+    cells, rows, columns = features.sparse_matrix(t.customers, features.x_long(t.version_conditions), shared_folder(t.spark, "matrix"), 100)
+    return cells.join(rows, "row").join(columns, "column").select("paper_id", "name", "block", "row", "column", "value")
 
 
 @query("feature_matrix_y", matrix_sql("y", "version_results", "customers", Y_NAMES), ("customers", "version_results"))
