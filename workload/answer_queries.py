@@ -335,12 +335,36 @@ def summary_markdown(t):
     return reports.summary_markdown(named, stamp())
 
 
-@query("extraction_json")
+@query(
+    "extraction_json",
+    """SELECT record_id::VARCHAR AS paper_id, '2024-05-01T10:00:00.000000Z' AS generated_at, '1.0.0' AS schema_version, 'file ' || record_id AS original_filename,
+ sha256(record_id::VARCHAR) AS file_hash, summary, CASE WHEN good IS NULL THEN 0 ELSE json_array_length(good, '$.materials') END::INTEGER AS n_materials,
+ json_extract_string(good, '$.materials[0].evidence.source_text') AS source_text, CAST(json_extract(good, '$.process_conditions[0].value_numeric') AS DOUBLE) AS size,
+ array_to_string(reviews, '|') AS reviews, array_to_string(warnings, '|') AS warnings, good IS NOT NULL AS names_null_fields FROM settled WHERE outcome <> 'rejected'""",
+    ("settled",),
+)
 def extraction_json(t):
+    """The machine-readable files, parsed again."""
     named = single_records(t).select(
         "paper_id",
         "record",
         F.concat(F.lit("file "), F.col("paper_id").cast("string")).alias("original_filename"),
         F.sha2(F.col("paper_id").cast("string"), 256).alias("file_hash"),
     )
-    return reports.extraction_json(named, stamp())
+    written = reports.extraction_json(named, F.lit("2024-05-01 10:00:00").cast("timestamp")).select("json")
+    at = lambda path: F.get_json_object("json", f"$.{path}")
+    texts = lambda path: F.array_join(F.from_json(at(path), "array<string>"), "|")
+    return written.select(
+        at("paper_id").alias("paper_id"),
+        at("generated_at").alias("generated_at"),
+        at("schema_version").alias("schema_version"),
+        at("paper_metadata.original_filename").alias("original_filename"),
+        at("paper_metadata.file_hash").alias("file_hash"),
+        at("extraction.summary").alias("summary"),
+        F.json_array_length(at("extraction.materials")).alias("n_materials"),
+        at("extraction.materials[0].evidence.source_text").alias("source_text"),
+        at("extraction.process_conditions[0].value_numeric").cast("double").alias("size"),
+        texts("extraction.fields_needing_review").alias("reviews"),
+        texts("extraction.extraction_warnings").alias("warnings"),
+        F.contains("json", F.lit('"stoichiometry":null')).alias("names_null_fields"),
+    )

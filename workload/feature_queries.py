@@ -6,7 +6,8 @@ from pyspark.sql import functions as F
 
 from foliomill.operators import features, records
 from foliomill.session import shared_folder
-from workload.base import query
+from foliomill.sources import sinks
+from workload.base import TWINS, query
 
 INPUTS = ["input_annealing_temperature", "input_film_thickness", "input_pressure"]
 OUTPUTS = ["output_bandgap", "output_coercivity", "output_tmr_ratio"]
@@ -102,6 +103,14 @@ def export_wide(t):
     )
 
 
+@query("export_csv", TWINS["export_wide"])
+def export_csv(t):
+    """The wide table written as CSV and read back."""
+    wide, path = export_wide(t), shared_folder(t.spark, "csv")
+    sinks.write_csv(wide, path)
+    return t.spark.read.schema(wide.schema).option("header", True).option("escape", '"').csv(path)
+
+
 def last_sql(kind: str, source: str) -> str:
     """Last value per paper and raw name, inputs or outputs only."""
     name, role, fields = (
@@ -158,6 +167,10 @@ def export_nested(t):
         of_versions(t.results, canon),
         raw=True,
     )
+    return shown_export(nested)
+
+
+def shown_export(nested):
     e = F.col("extraction")
     return nested.withColumns({"X": e["bo_ready"]["X"], "y": e["bo_ready"]["y"]}).select(
         "paper_id",
@@ -174,6 +187,32 @@ def export_nested(t):
     )
 
 
+def json_export(t):
+    """Papers and header of the nested export, written as JSON lines and read back."""
+    from workload.views import of_versions
+
+    canon = records.canonical(t.versions)
+    children = (of_versions(rows, canon) for rows in (t.conditions, t.results))
+    nested = features.export_nested(t.customers, t.segments, canon, *children, raw=True)
+    path = shared_folder(t.spark, "json")
+    sinks.write_export_json(nested, features.export_header(t.customers, canon), path, F.lit("2024-05-01 10:00:00").cast("timestamp"))
+    return t.spark.read.schema(nested.schema).json(f"{path}/papers"), t.spark.read.json(f"{path}/header")
+
+
+@query("export_json_papers", TWINS["export_nested"])
+def export_json_papers(t):
+    return shown_export(json_export(t)[0])
+
+
+@query(
+    "export_json_header",
+    "SELECT '2024-05-01T10:00:00.000000Z' AS exported_at, '1.0.0' AS schema_version, count(*) AS total_papers, (SELECT count(*) FROM canon) AS with_record FROM customers",
+    ("customers", "canon"),
+)
+def export_json_header(t):
+    return json_export(t)[1].select("exported_at", "schema_version", "total_papers", "with_record")
+
+
 def matrix_sql(kind: str, source: str, papers: str, names: list[str]) -> str:
     columns = ", ".join(f"max(value) FILTER (name = '{name}') AS \"{name}\"" for name in names)
     return f"SELECT p.paper_id, {columns} FROM {papers} p LEFT JOIN {last_sql(kind, source)} v USING (paper_id) GROUP BY p.paper_id"
