@@ -13,8 +13,12 @@ def components(edges: DataFrame) -> DataFrame:
 
     In each round every node hooks onto its smallest neighbour, pointers are doubled until all show to a root, and
     the edges between different roots are the next round's graph.  A round at least halves the number of roots that
-    still have edges.  The tables joined are written before, so that a node with very many edges can be split.
+    still have edges.  The tables joined are written before, so that a node with very many edges can be split; without a
+    folder for them the plan would grow with each round, so one must be set.
     """
+    spark = edges.sparkSession
+    if not spark.conf.get("spark.checkpoint.dir", None) and not spark.sparkContext.getCheckpointDir():
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     pairs = edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
     left = durable(pairs.distinct())
     labels = None

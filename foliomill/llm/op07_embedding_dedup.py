@@ -1,9 +1,13 @@
 """Near-duplicate embeddings by an exact metric range join.
 
 On unit vectors a cosine of c is a distance of sqrt(2 - 2c), the range.  Every vector belongs to the cell of its nearest
-pivot, and by the triangle inequality a vector can have partners in another cell only if that pivot is at most two
-ranges farther away than its own; it visits those cells.  Each cell then finds the partners of its own vectors
-without any other.  Large cells are cut into blocks that meet pairwise.
+pivot.  What lies in another pivot's cell lies beyond the plane halfway between the two pivots, so a vector can have
+partners there only if that plane is within its range, and (by the triangle inequality) only if that pivot is at most two
+ranges farther away than its own; it visits those cells.  Each cell then finds the partners of its own vectors without any
+other.  Large cells are cut into blocks that meet pairwise.
+
+In a block a few coordinates of a fixed turn of the space are compared first: their distance is never above the whole one,
+so only pairs within the range by them are compared in full.
 """
 
 from __future__ import annotations
@@ -26,6 +30,10 @@ SAMPLE, MOST_PIVOTS = 2000, 1024
 BLOCK = 2048
 # A row moved costs about as much as this many comparisons.
 ROW_COST = 400
+# Coordinates that are compared first, and vectors of a block that are compared at a time.
+COORDINATES, STRIP = 8, 256
+# Outweighs rounding in distances.
+SLACK = 1e-6
 
 
 def cleaned(vectors: DataFrame, vector: str, id_column: str, label: str) -> DataFrame:
@@ -61,10 +69,38 @@ def matrix(units: pa.ChunkedArray | pa.Array) -> np.ndarray:
 
 def visited(points: np.ndarray, pivots: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray]:
     """Each point's own cell, and which cells it has to be seen in."""
-    distance = np.sqrt(np.maximum(2 - 2 * points @ pivots.T, 0))
+    near = points @ pivots.T
+    distance = np.sqrt(np.maximum(2 - 2 * near, 0))
     own = distance.argmin(axis=1)
-    # The slack outweighs rounding in the distances.
-    return own, distance <= distance[np.arange(len(own)), own][:, None] + 2 * radius + 1e-6
+    row = np.arange(len(own))
+    apart = np.sqrt(np.maximum(2 - 2 * pivots @ pivots.T, 0))
+    # How far the plane between the own pivot and another lies, times the pivots' distance.
+    beyond = near[row, own][:, None] - near <= (radius + SLACK) * apart[own] + SLACK
+    return own, beyond & (distance <= distance[row, own][:, None] + 2 * radius + SLACK)
+
+
+def turned(points: np.ndarray, coordinates: int = COORDINATES) -> np.ndarray:
+    """The first coordinates of the points in a fixed turn of their space."""
+    size = points.shape[1]
+    axes, _ = np.linalg.qr(np.random.default_rng(size).normal(size=(size, min(coordinates, size))))
+    return points @ axes
+
+
+def close_pairs(points: np.ndarray, first: np.ndarray, cosine: float, strip: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Which of the points ``strip`` and ``others`` have at least that cosine, as pairs of places in these, and how many
+    pairs were compared in full.  ``first`` are the points' first coordinates."""
+    x, y = first[strip], first[others]
+    # |x - y|^2 <= 2 - 2 cosine, solved for the product.
+    near = x @ y.T
+    near -= (y * y).sum(axis=1) / 2
+    i, j = np.nonzero(near >= ((x * x).sum(axis=1) / 2 - (1 - cosine) - SLACK)[:, None])
+    found_i, found_j = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for at in range(0, len(i), 1 << 16):
+        a, b = i[at : at + (1 << 16)], j[at : at + (1 << 16)]
+        close = np.einsum("ij,ij->i", points[strip[a]], points[others[b]]) >= cosine
+        found_i.append(a[close])
+        found_j.append(b[close])
+    return np.concatenate(found_i), np.concatenate(found_j), len(i)
 
 
 def choose_pivots(sample: np.ndarray, rows: int, labels: int, radius: float) -> np.ndarray:
@@ -86,13 +122,15 @@ def links_within(cosine: float):
         owner = group.column("owner").to_numpy(zero_copy_only=False)
         node, copies = group.column("node").to_numpy(), group.column("copies").to_numpy()
         points = matrix(group.column("unit"))
+        first = turned(points)
         own, others = np.flatnonzero(owner), np.flatnonzero(~owner)
         links, a, b = np.zeros(len(own), np.int64), [], []
-        for begin in range(0, len(own), 256):
-            strip = own[begin : begin + 256]
-            close = (points[strip] @ points[others].T >= cosine) & (node[strip][:, None] != node[others][None, :])
-            links[begin : begin + len(strip)] = close @ copies[others]
-            x, y = np.nonzero(close)
+        for begin in range(0, len(own), STRIP):
+            strip = own[begin : begin + STRIP]
+            x, y, _ = close_pairs(points, first, cosine, strip, others)
+            different = node[strip[x]] != node[others[y]]
+            x, y = x[different], y[different]
+            np.add.at(links, begin + x, copies[others[y]])
             a.append(strip[x])
             b.append(others[y])
         ids, number = np.unique(node, return_inverse=True)

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 
 from foliomill.llm.graph import components
-from foliomill.llm.op07_embedding_dedup import choose_pivots, op7_embedding_dedup, range_join, visited
+from foliomill.llm.op07_embedding_dedup import choose_pivots, close_pairs, op7_embedding_dedup, range_join, turned, visited
 
 SMALL = "/root/testdata/sf0.01"
 
@@ -59,6 +59,25 @@ def test_cells_hold_all_partners():
     assert seen[b, own[a]].all()
 
 
+def test_planes_leave_fewer_cells_than_distances():
+    rng = np.random.default_rng(2)
+    points = rng.normal(size=(2000, 64))
+    points /= np.linalg.norm(points, axis=1)[:, None]
+    _, seen = visited(points, points[:64], 0.2)
+    assert seen.mean() < 0.6
+
+
+def test_few_pairs_are_compared_in_full():
+    rng = np.random.default_rng(4)
+    points = rng.normal(size=(1500, 64))
+    points[1000:] = points[:500] + rng.normal(scale=rng.choice([0.01, 0.1, 0.2, 0.3], size=(500, 1)), size=(500, 64))
+    points /= np.linalg.norm(points, axis=1)[:, None]
+    i, j, compared = close_pairs(points, turned(points), 0.98, np.arange(700), np.arange(1500))
+    want = set(zip(*(x.tolist() for x in np.nonzero(points[:700] @ points.T >= 0.98))))
+    assert set(zip(i.tolist(), j.tolist())) == want and len(want) > 800
+    assert compared < 0.05 * 700 * 1500
+
+
 @pytest.mark.parametrize("edges", [[], [(1, 1)], [(i, i + 1) for i in range(300)], [(0, i) for i in range(1, 200)], [(9, 4), (4, 9), (7, 3), (3, 1), (8, 7)]])
 def test_components(spark, edges):
     got = {r.node: r.component for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
