@@ -14,6 +14,7 @@ import html
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,18 +39,25 @@ BLOCKS = set(
 IN_HEAD = set("base basefont bgsound link meta head".split())
 BOILERPLATE = set("head nav aside footer form button dialog menu label select fieldset".split())
 ENDS_PARAGRAPH = BLOCKS - {"html", "head", "body"}
-# Words in class, id and role that name boilerplate.
-NAMES = re.compile(
-    r"(?:^|[\s_-])(?:nav|navbar|navigation|menu|breadcrumbs?|sidebar|side|aside|widget|footer|foot|masthead|topbar|toolbar|banner|ads?|advert\w*|advertisement|"
-    r"sponsor\w*|promo\w*|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|login|search|share|sharing|social|related|"
-    r"recommend\w*|comments?|respond|replies|reply|discussion|disqus|pagination|pager|tags|legal|copyright|disclaimer|complementary|contentinfo|hidden)(?:$|[\s_-])",
-    re.I,
+# Words of class, id and role that name boilerplate, and words that say no more beside them.  A name counts
+# if all its parts are such words and one is of the first kind: "cookie-notice" does, "social-science" doesn't.
+NAMES = set(
+    "nav navbar navigation menu breadcrumb breadcrumbs sidebar side aside widget widgets footer foot masthead topbar toolbar banner ad ads advert adverts "
+    "advertisement advertisements advertising sponsor sponsored sponsors promo promos promotion promotions cookie cookies consent gdpr notice alert popup modal "
+    "overlay newsletter subscribe subscription signup login search share sharing social related recommend recommended recommendations comment comments respond "
+    "replies reply discussion disqus pagination pager tags legal copyright disclaimer complementary contentinfo hidden".split()
 )
-# Parts of a name that tell how something else is laid out (with-sidebar, no-ads, overflow-hidden); of a name of
-# several parts these words name the thing only if they stand alone.
-STATES = set("with has have had no non not without hide show open opened closed enabled disabled active inactive overflow xs sm md lg xl mobile desktop print".split())
-HEADERS = re.compile(r"(?:^|[\s_-])(?:header|head|site-?title|logo|branding)(?:$|[\s_-])", re.I)
-MAIN = re.compile(r"(?:^|[\s_-])(?:article|main|story|post|entry|content)(?:$|[\s_-])", re.I)
+BESIDE = set(
+    "area bar block body box button buttons col column container content footer form global group header holder icons id inner is item items js left links list "
+    "main media outer page panel post posts primary region right row secondary section site slot text thread top bottom unit wrap wrapper".split()
+)
+HEADERS = {"header", "head", "sitetitle", "logo", "branding"}
+# Whole names of the part that holds an article.
+MAIN = set(
+    "article articlebody article-body article-content main main-content maincontent story story-body post post-body post-content entry entry-content content "
+    "page-content".split()
+)
+_parts = re.compile(r"[a-z]+|[A-Z]+(?![a-z])|[A-Z][a-z]*|[^\W\d_]+").findall
 
 _token = re.compile(
     r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(?P<raw>" + RAW + r")\b(?P<rawend>[^>]*)>.*?(?:</(?P=raw)\s*>|\Z)|"
@@ -60,38 +68,56 @@ _attribute = re.compile(r"\b(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?
 
 
 class Frame:
-    """A tag on the way to a text.  ``hard``: boilerplate by its tag or hidden, which nothing overrules, as against a wrapper's
-    name or a form; ``saved``: in an article or main part that only such wrappers make boilerplate."""
+    """A tag on the way to a text.  ``path`` is a hash of the tags around it.  ``hard``: boilerplate by its tag or hidden, which
+    nothing overrules, as against a wrapper's name or a form; ``main``: in an article or main element; ``named``: in a part
+    that is called like one; ``saved``: in an article or main part that only such wrappers make boilerplate."""
+
+    __slots__ = ("boilerplate", "hard", "main", "name", "named", "path", "saved")
 
-    __slots__ = ("boilerplate", "hard", "main", "name", "path", "saved")
+    def __init__(self, name: str, path: str, boilerplate: bool, main: bool, hard: bool = False, saved: bool = False, named: bool = False):
+        self.name, self.path, self.boilerplate, self.main, self.hard, self.saved, self.named = name, path, boilerplate, main, hard, saved, named
 
-    def __init__(self, name: str, path: str, boilerplate: bool, main: bool, hard: bool = False, saved: bool = False):
-        self.name, self.path, self.boilerplate, self.main, self.hard, self.saved = name, path, boilerplate, main, hard, saved
+
+@lru_cache(1 << 14)
+def told_by(name: str) -> tuple[bool, bool]:
+    """Whether one name of a class, id or role tells boilerplate, and whether a site's header."""
+    parts = [p.lower() for p in _parts(name)]
+    alone = all(p in NAMES or p in BESIDE for p in parts)
+    header = parts == ["site", "title"] or not HEADERS.isdisjoint(parts) and all(p in HEADERS or p in BESIDE for p in parts)
+    return alone and any(p in NAMES for p in parts), header
 
 
 def frame(name: str, attributes: str, outer: Frame) -> Frame:
-    named, hidden, told = "", False, ""
+    names, hidden = [], False
     if attributes:
         for key, *value in _attribute.findall(attributes):
             key, value = key.lower(), "".join(value)
             if key in ("class", "id", "role"):
-                named += f" {value}"
-                told += "".join(f" {x}" for x in value.split() if STATES.isdisjoint(x.lower().replace("_", "-").split("-")))
+                names += value.split()
             hidden |= key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and "display:none" in value.replace(" ", "").lower()
-    main = name in ("article", "main") or bool(named) and name in BLOCKS and bool(MAIN.search(named))
+    told = [told_by(n) for n in names]
+    # A page's own name (of its body) tells nothing of its parts.
+    whole = name in ("html", "body")
+    main = name in ("article", "main")
+    called = not whole and not main and name in BLOCKS and any(n.lower().replace("_", "-") in MAIN for n in names)
     # A header of the article, or its section, is not the site's.
-    head = name == "header" or bool(told) and bool(HEADERS.search(told))
-    spared = name in ("html", "body", "main") or name == "article" and not re.search("comment", named, re.I)
-    bad = not spared and (name in BOILERPLATE or hidden or head and not outer.main or bool(told) and bool(NAMES.search(told)))
+    head = name == "header" or any(h for _, h in told)
+    spared = whole or name == "main" or name == "article" and not any("comment" in n.lower() for n in names)
+    bad = not spared and not called and (name in BOILERPLATE or hidden or head and not (outer.main or outer.named) or any(b for b, _ in told))
+    bad |= hidden and not whole
     hard = outer.hard or hidden or bad and name in BOILERPLATE - {"form", "fieldset"}
-    saved = not hard and (outer.saved and not bad or spared and name in ("article", "main"))
-    return Frame(name, f"{outer.path}/{name}{named}", outer.boilerplate or bad, outer.main or main and not bad, hard, saved)
+    saved = not hard and (outer.saved and not bad or spared and main)
+    path = hashlib.blake2b(f"{outer.path}/{name} {' '.join(names)}".encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
+    return Frame(name, path, outer.boilerplate or bad, outer.main or main and not bad, hard, saved, outer.named or called and not bad)
 
 
 def parsed(page: str) -> tuple[list[tuple[Frame, str]], list[str]]:
     """Text blocks with their frames, in page order, and the paths of all tags."""
     root = Frame("", "", False, False)
     stack, blocks, paths, parts, owner = [root], [], [], [], root
+    # How often a name is open, and where in the stack the open blocks are: a page of very many open tags costs no
+    # search for what isn't there.
+    opened, block_at = Counter(), []
 
     def flush() -> None:
         nonlocal owner
@@ -103,9 +129,8 @@ def parsed(page: str) -> tuple[list[tuple[Frame, str]], list[str]]:
 
     def leave_head() -> None:
         # The end of the head may be left out.
-        place = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].name == "head"), 0)
-        if place:
-            close(place)
+        if opened["head"]:
+            close(next(i for i in reversed(block_at) if stack[i].name == "head"))
 
     def add(text: str) -> None:
         nonlocal owner
@@ -117,10 +142,27 @@ def parsed(page: str) -> tuple[list[tuple[Frame, str]], list[str]]:
             owner = stack[-1]
         parts.append(text)
 
+    def drop(at: int) -> None:
+        for f in stack[at:]:
+            opened[f.name] -= 1
+        del stack[at:]
+        while block_at and block_at[-1] >= at:
+            block_at.pop()
+
     def close(at: int) -> None:
-        if any(f.name in BLOCKS for f in stack[at:]):
+        if block_at and block_at[-1] >= at:
             flush()
-        del stack[at:]
+        drop(at)
+
+    def innermost(name: str) -> int:
+        """Where ``name`` was opened last; of something inline only behind the last block, as a stray end of it doesn't end
+        blocks around it.  0: nowhere."""
+        if not opened[name]:
+            return 0
+        if name in BLOCKS:
+            return next((i for i in reversed(block_at) if stack[i].name == name), 0)
+        last = block_at[-1] if block_at else 0
+        return next((i for i in range(len(stack) - 1, last, -1) if stack[i].name == name), 0)
 
     at = 0
     for found in _token.finditer(page):
@@ -135,9 +177,7 @@ def parsed(page: str) -> tuple[list[tuple[Frame, str]], list[str]]:
                     flush()
             continue
         if found["close"]:
-            place = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].name == name), 0)
-            # A stray end of something inline doesn't end blocks around it.
-            if place and (name in BLOCKS or not any(f.name in BLOCKS for f in stack[place + 1 :])):
+            if place := innermost(name):
                 close(place)
             elif name == "p" or name in BLOCKS:
                 flush()
@@ -155,15 +195,19 @@ def parsed(page: str) -> tuple[list[tuple[Frame, str]], list[str]]:
             if name in ENDS_PARAGRAPH:
                 ends = (*ends, "p")
             stop = {*barrier.get(name, ()), "div", "article", "section", "main", "aside", "nav", "footer", "header", "table", "form", "body"} - {*ends}
-            for i in range(len(stack) - 1, 0, -1):
-                if stack[i].name in stop:
-                    break
-                if stack[i].name in ends:
-                    del stack[i:]
-                    break
+            if any(opened[e] for e in ends):
+                for i in reversed(block_at):
+                    if stack[i].name in stop:
+                        break
+                    if stack[i].name in ends:
+                        drop(i)
+                        break
         new = frame(name, found["attributes"] or "", stack[-1])
         paths.append(new.path)
         if name not in VOID and not (found["attributes"] or "").endswith("/"):
+            if name in BLOCKS:
+                block_at.append(len(stack))
+            opened[name] += 1
             stack.append(new)
         elif name == "hr":
             flush()
@@ -176,16 +220,21 @@ def parsed(page: str) -> tuple[list[tuple[Frame, str]], list[str]]:
 def parts_of(blocks: list[tuple[Frame, str]]) -> tuple[list[tuple[Frame, str]], bool]:
     """The blocks that a page's text is chosen from, and whether an article or main part frames them.
 
-    Boilerplate is left out.  A wrapper's name doesn't hold against an article or main part in it that is longer than all
-    that stands outside boilerplate, nor where nothing does.
+    Boilerplate is left out.  An article or main element frames a page's text.  A part that is only called like one does if
+    it holds most of what stands outside boilerplate.  A wrapper's name doesn't hold against an article or main part in it
+    that is longer than all that stands outside boilerplate, nor where nothing does.
     """
-    framed = [(f, t) for f, t in blocks if f.main and not f.boilerplate]
+    outside = [(f, t) for f, t in blocks if not f.boilerplate]
+    framed = [(f, t) for f, t in outside if f.main]
     if framed:
         return framed, True
-    outside = [(f, t) for f, t in blocks if not f.boilerplate]
+    length = lambda chosen: sum(len(t) for _, t in chosen)
     saved = [(f, t) for f, t in blocks if f.saved]
-    if sum(len(t) for _, t in saved) > sum(len(t) for _, t in outside):
+    if length(saved) > length(outside):
         return saved, True
+    named = [(f, t) for f, t in outside if f.named]
+    if 2 * length(named) > length(outside):
+        return named, True
     return outside or [(f, t) for f, t in blocks if not f.hard], False
 
 
@@ -261,8 +310,9 @@ def main_text(pages: DataFrame, payload: str = "html", url: str = "url", keep: l
     """``pages`` with ``text`` (blocks joined by line ends, empty if there is none) and ``n_chars`` (code points).
 
     The text is what stands outside boilerplate and the host's template, in the article or main part where a page has one.
-    An article keeps what the template has of it if that is more than half of its characters.  Null pages are empty; pages without a url have an empty host.  Rows
-    that repeat are rows of their own.
+    An article keeps what the template has of it if that is more than half of its characters.  Null pages are empty; pages
+    without a url have an empty host.  Rows that repeat are rows of their own.  A page's memory grows with its length, whatever
+    the depth of its tags.
     """
     host = F.coalesce(F.lower(F.regexp_extract(quoted(url), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)", 1)), F.lit(""))
     rows = pages.select(host.alias("host"), quoted(payload).alias("html"), F.xxhash64(quoted(url), quoted(payload)).alias("number"))

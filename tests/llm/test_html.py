@@ -1,7 +1,10 @@
 import html
 import re
+import tracemalloc
 
-from foliomill.llm.op08_html_text import main_text, op8_html_text, parsed
+import pytest
+
+from foliomill.llm.op08_html_text import main_text, op8_html_text, parsed, parts_of
 
 SMALL = "/root/testdata/sf0.01"
 
@@ -86,3 +89,39 @@ def test_boilerplate_inside_articles(spark):
     got = {r.page_id: r.text for r in main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
     assert all(got[i] == f"title {i}\nthe long story of number {i} is told in this place" for i in range(9))
     assert all(got[i].count("paragraph") == 5 and got[i].endswith(f"and {i}") for i in range(20, 28))
+
+
+def chosen(page):
+    return "\n".join(t for _, t in parts_of(parsed(page)[0])[0])
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        ("<h1 class='entry-title'>T</h1><div><p>The whole long article is here</p></div>", "T\nThe whole long article is here"),
+        ("<ul class='post-list'><li>one</li></ul><div><p>The whole long article is here</p></div>", "one\nThe whole long article is here"),
+        ("<body class='single-post'><header>Site name</header><article><p>story</p></article></body>", "story"),
+        ("<body><article><p>story</p></article><div class='post-meta'>meta</div></body>", "story"),
+        ("<article><p>a</p><div class='social-science'>b</div><div class='search-results-analysis'>c</div></article>", "a\nb\nc"),
+        ("<article><p>a</p><div class='notice-board'>b</div><section id='comments-on-law'>c</section></article>", "a\nb\nc"),
+        ("<article><p>a</p><div class='social-share'>b</div><section id='comments'>c</section><p class='adUnit'>d</p></article>", "a"),
+        ("<div class='site-header'>S</div><div id='content'><h1>T</h1><p>long story of the day</p></div><div>x</div>", "T\nlong story of the day"),
+        ("<div class='site_title'>S</div><div class='entry-header'><h1>T</h1></div><p>long story of the day</p>", "T\nlong story of the day"),
+    ],
+)
+def test_names_of_parts(page, want):
+    assert chosen(page) == want
+
+
+@pytest.mark.parametrize("tag", ["div", "b", "li", "p", "table"])
+def test_many_open_tags_cost_their_length(tag):
+    tracemalloc.start()
+    blocks, paths = parsed(f"<{tag}>" * 50_000 + "x")
+    _, most = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert [t for _, t in blocks] == ["x"] and len(paths) == 50_000 and most < 50e6
+
+
+def test_stray_ends_behind_many_open_blocks():
+    blocks, _ = parsed("<i>" + "<div>" * 20_000 + "</i>" * 20_000 + "x</div>y")
+    assert [t for _, t in blocks] == ["x", "y"]
