@@ -93,7 +93,12 @@ def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         train = batch.column(1).to_numpy(zero_copy_only=False)
         salt = (salt * 31 + int(keys[:64].sum() % np.uint64(1 << 31))) % SALTS
         held.append((keys, train[text].astype(np.int64)))
-        held[:] = [merged()] if sum(len(k) for k, _ in held) > HELD else held
+        if sum(len(k) for k, _ in held) > HELD:
+            held[:] = [merged()]
+            # Different grams beyond half the bound are handed on; rows of one part are added up later.
+            if 2 * len(held[0][0]) > HELD:
+                yield filed(*held[0], salt)
+                held.clear()
     if held:
         yield filed(*merged(), salt)
 

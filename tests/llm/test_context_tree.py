@@ -4,8 +4,11 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
+from foliomill.llm import op06_context_tree as tree
 from foliomill.llm.op06_context_tree import DEPTH, op6_context_tree, score
 
 SMALL = "/root/testdata/sf0.001"
@@ -96,3 +99,26 @@ def test_query(spark):
     assert len(unseen) > 10 and all(r.score < 0 for r in rows)
     # The tree has learned from 200 documents only; their words' entropy is about two bits a byte.
     assert sum(r.score for r in unseen) / sum(r.n_bytes for r in unseen) * -math.log2(10) < 3
+
+
+def test_grams_are_handed_on_beyond_a_bound(monkeypatch):
+    """Few or many are held: the same sums, and never much more than the bound between two slices."""
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("abcdefgh ") for _ in range(4000)) for _ in range(30)]
+
+    def sums(bound):
+        monkeypatch.setattr(tree, "HELD", bound)
+        monkeypatch.setattr(tree, "pieces", lambda batches, _: (b.slice(i, 1) for b in batches for i in range(b.num_rows)))
+        batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array([True] * len(texts))], names=["text", "train"])
+        total, sizes = Counter(), []
+        for out in tree.counted(iter([batch])):
+            found = [(tree.unpacked(k, np.uint64), tree.unpacked(m, np.int64)) for k, m in zip(out.column("keys").to_pylist(), out.column("many").to_pylist())]
+            sizes.append(sum(len(k) for k, _ in found))
+            for keys, many in found:
+                total.update(dict(zip(keys.tolist(), many.tolist())))
+        return total, sizes
+
+    whole, sizes = sums(10**9)
+    assert len(sizes) == 1 and whole.total() > 100_000
+    parts, sizes = sums(20_000)
+    assert parts == whole and len(sizes) > 3 and max(sizes) < 30_000
