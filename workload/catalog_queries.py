@@ -49,11 +49,11 @@ def list_by_title(t):
 
 @query(
     "list_by_year",
-    f"SELECT {LISTED} FROM papers ORDER BY publication_year DESC NULLS FIRST, paper_id LIMIT 100",
+    f"SELECT {LISTED} FROM papers ORDER BY publication_year ASC NULLS LAST, paper_id LIMIT 100",
     ("papers",),
 )
 def list_by_year(t):
-    return listed(t, limit=100, sort_by="publication_year")
+    return listed(t, limit=100, sort_by="publication_year", direction="asc")
 
 
 @query(

@@ -61,13 +61,21 @@ def duplicates_of(t):
     return dedup.duplicates_of(t.files, t.registry).select("path", "file_hash", "existing_id", "status")
 
 
-OUTCOMES = """(SELECT path, file_hash, CASE WHEN file_hash IN (SELECT file_hash FROM registry) THEN 'skipped'
- WHEN path = min(path) OVER (PARTITION BY file_hash) THEN 'ingested' ELSE 'skipped' END AS outcome FROM files)"""
+OUTCOMES = """(SELECT path, file_hash, error, CASE WHEN error IS NOT NULL THEN 'failed' WHEN file_hash IN (SELECT file_hash FROM registry) THEN 'skipped'
+ WHEN path = min(path) OVER (PARTITION BY file_hash) THEN 'ingested' ELSE 'skipped' END AS outcome FROM
+ (SELECT path, CASE WHEN path % 13 <> 4 THEN file_hash END AS file_hash, CASE WHEN path % 13 = 4 THEN 'unreadable ' || path END AS error FROM files))"""
 
 
-@query("scan_outcomes", f"SELECT path, file_hash, outcome FROM {OUTCOMES}", ("files", "registry"))
+def scanned(t):
+    """Files of which some could not be read."""
+    bad = F.col("path") % 13 == 4
+    broken = t.files.withColumn("error", F.when(bad, F.concat(F.lit("unreadable "), F.col("path"))))
+    return broken.withColumn("file_hash", F.when(~bad, F.col("file_hash")))
+
+
+@query("scan_outcomes", f"SELECT path, file_hash, error, outcome FROM {OUTCOMES}", ("files", "registry"))
 def scan_outcomes(t):
-    return dedup.scan_outcomes(t.files, t.registry, order=F.col("path")).select("path", "file_hash", "outcome")
+    return dedup.scan_outcomes(scanned(t), t.registry, order=F.col("path")).select("path", "file_hash", "error", "outcome")
 
 
 @query(
@@ -77,7 +85,7 @@ def scan_outcomes(t):
     ("files", "registry"),
 )
 def scan_summary(t):
-    return dedup.scan_counts(dedup.scan_outcomes(t.files, t.registry, order=F.col("path")))
+    return dedup.scan_counts(dedup.scan_outcomes(scanned(t), t.registry, order=F.col("path")))
 
 
 @query(
@@ -361,3 +369,14 @@ def item_rules(t):
         rules.valid_role(role).alias("role_ok"),
         rules.valid_summary(F.col("value_text")).alias("text_given"),
     )
+
+
+@query(
+    "named_items",
+    """SELECT l_orderkey AS record_id, bool_and(l_tax >= 0.02) AS all_named, count(*) AS n_items FROM lineitem GROUP BY l_orderkey""",
+)
+def named_items(t):
+    """Line items as the items of a record, some without the name they must have."""
+    name = F.when(F.col("l_tax") >= 0.02, F.col("l_returnflag"))
+    items = t.lineitem.groupBy(F.col("l_orderkey").alias("record_id")).agg(F.collect_list(F.struct(name.alias("parameter_name"))).alias("items"))
+    return items.select("record_id", rules.all_named(F.col("items"), "parameter_name").alias("all_named"), F.size("items").cast("bigint").alias("n_items"))
