@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -12,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from foliomill.session import durable
+from foliomill.session import durable, shared_folder
 
 __all__ = ["annotate", "durable", "held_out", "mixed", "pieces", "quoted", "shared_folder", "small", "table", "texts_of", "utf8"]
 
@@ -30,14 +29,6 @@ def held_out(id_column: str, parts: int) -> Column:
     return F.crc32(F.coalesce(quoted(id_column).cast("string"), F.lit("")).cast("binary")) % parts == 0
 
 
-def shared_folder(spark: SparkSession, kind: str) -> str:
-    """A new path below ``spark.checkpoint.dir``, the folder that all executors and the driver share."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    return f"{base.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
-
-
 def small(df: DataFrame, rows: int = 100_000) -> DataFrame:
     """``df``, marked for broadcast if it has no more than ``rows`` rows (of a hundred bytes or so); joined as usual else."""
     return F.broadcast(df) if df.count() <= rows else df
