@@ -161,6 +161,28 @@ def test_patches_deletions_and_compaction(spark, lake, inbox):
     assert pipeline.ingest(lake, str(inbox), "r3").first().ingested == 1
 
 
+@pytest.mark.parametrize("table", ["materials"])
+def test_a_compaction_that_broke_off_is_taken_up(spark, lake, inbox, monkeypatch, table):
+    pipeline.run_all(lake, str(inbox), "r1", reader, answers("one"), "m")
+    gone = papers_of(lake)["b"].paper_id
+    edits.delete_papers(lake, spark.createDataFrame([(gone,)], "paper_id string"), "e1")
+    before = {n: p.title for n, p in papers_of(lake).items()}, summaries(lake)
+    clear = Lake.clear
+
+    def breaking(self, name, runs, layout, by=None):
+        if name == table:
+            raise OSError("the driver is gone")
+        clear(self, name, runs, layout, by)
+
+    monkeypatch.setattr(Lake, "clear", breaking)
+    with pytest.raises(OSError):
+        edits.compact(lake, "packed")
+    monkeypatch.setattr(Lake, "clear", clear)
+    edits.compact(lake, "packed")
+    assert ({n: p.title for n, p in papers_of(lake).items()}, summaries(lake)) == before
+    assert lake.stored("materials").count() == 2 and lake.stored("registry").count() == 2
+
+
 def test_deletion_cascades_before_compaction(spark, lake, inbox):
     pipeline.run_all(lake, str(inbox), "r1", reader, answers("one"), "m")
     ids = spark.createDataFrame([(p.paper_id,) for p in papers_of(lake).values()], "paper_id string")
