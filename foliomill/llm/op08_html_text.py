@@ -12,7 +12,7 @@ from __future__ import annotations
 import hashlib
 import html
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -72,10 +72,12 @@ class Frame:
     nothing overrules, as against a wrapper's name or a form; ``main``: in an article or main element; ``named``: in a part
     that is called like one; ``saved``: in an article or main part that only such wrappers make boilerplate."""
 
-    __slots__ = ("boilerplate", "hard", "main", "name", "named", "path", "saved")
+    __slots__ = ("boilerplate", "hard", "inner", "main", "name", "named", "path", "saved")
 
     def __init__(self, name: str, path: str, boilerplate: bool, main: bool, hard: bool = False, saved: bool = False, named: bool = False):
         self.name, self.path, self.boilerplate, self.main, self.hard, self.saved, self.named = name, path, boilerplate, main, hard, saved, named
+        # Frames of the tags met in this one, as equal tags in one place have equal frames.
+        self.inner: dict[tuple[str, str], Frame] | None = None
 
 
 @lru_cache(1 << 14)
@@ -87,7 +89,23 @@ def told_by(name: str) -> tuple[bool, bool]:
     return alone and any(p in NAMES for p in parts), header
 
 
+@lru_cache(1 << 14)
+def path_of(outer: str, name: str, names: str) -> str:
+    return hashlib.blake2b(f"{outer}/{name} {names}".encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
+
+
 def frame(name: str, attributes: str, outer: Frame) -> Frame:
+    known = outer.inner and outer.inner.get((name, attributes))
+    if known:
+        return known
+    made = new_frame(name, attributes, outer)
+    if outer.inner is None:
+        outer.inner = {}
+    outer.inner[name, attributes] = made
+    return made
+
+
+def new_frame(name: str, attributes: str, outer: Frame) -> Frame:
     names, hidden = [], False
     if attributes:
         for key, *value in _attribute.findall(attributes):
@@ -107,7 +125,7 @@ def frame(name: str, attributes: str, outer: Frame) -> Frame:
     bad |= hidden and not whole
     hard = outer.hard or hidden or bad and name in BOILERPLATE - {"form", "fieldset"}
     saved = not hard and (outer.saved and not bad or spared and main)
-    path = hashlib.blake2b(f"{outer.path}/{name} {' '.join(names)}".encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
+    path = path_of(outer.path, name, " ".join(names))
     return Frame(name, path, outer.boilerplate or bad, outer.main or main and not bad, hard, saved, outer.named or called and not bad)
 
 
@@ -117,7 +135,7 @@ def parsed(page: str) -> tuple[list[tuple[Frame, str]], list[str]]:
     stack, blocks, paths, parts, owner = [root], [], [], [], root
     # How often a name is open, and where in the stack the open blocks are: a page of very many open tags costs no
     # search for what isn't there.
-    opened, block_at = Counter(), []
+    opened, block_at = defaultdict(int), []
 
     def flush() -> None:
         nonlocal owner
