@@ -164,7 +164,8 @@ def record_detail(records: DataFrame, children: dict[str, DataFrame], key: str =
     """Canonical records with all their child rows, in long form: the record's columns, ``kind``, ``ordinal`` and ``item``.
 
     ``item`` is the child row as JSON, whole; ``kind`` names its table.  A record without children has one row whose kind is
-    null.  The shape is the same however many children a record has.
+    null.  The shape is the same however many children a record has.  Children are merged in by a sorted join: what Spark
+    expects of their size, before lists are opened and JSON is written, is far too small to broadcast them by.
     """
     head = canonical(records)
     tagged = []
@@ -175,7 +176,7 @@ def record_detail(records: DataFrame, children: dict[str, DataFrame], key: str =
     together = tagged[0]
     for rows in tagged[1:]:
         together = together.unionByName(rows)
-    return head.join(together, key, "left")
+    return head.join(together.hint("merge"), key, "left")
 
 
 def record_lists(records: DataFrame, children: dict[str, DataFrame], ids: list, key: str = "record_id", order: str = "ordinal") -> DataFrame:

@@ -177,6 +177,13 @@ def test_record_detail_has_all_lists_in_one_shape(spark):
     assert len(lists["r1"].methods) == 1 and lists["r2"]["items"] == [] and lists["r2"].methods == []
 
 
+def test_record_detail_sends_no_children_to_the_driver(spark):
+    head = spark.range(50).selectExpr("id AS record_id", "id AS paper_id", "0 AS created_at")
+    items = spark.range(200).selectExpr("id % 40 AS record_id", "CAST(id AS INT) AS ordinal", "concat('n', id) AS name")
+    found = records.record_detail(head, {"items": items})
+    assert found.count() == 210 and "Broadcast" not in plan(found)
+
+
 def test_names_that_clash_get_columns_of_their_own(spark, tmp_path):
     names = ["pressure", "Pressure", "pressure_unit", "PRESSURE", "paper_id", "a b", "a b_confidence"]
     rows_ = [(p, "in", n, None, float(i + p), "u%d" % i, 0.5, i) for i, n in enumerate(names) for p in (1, 2)]

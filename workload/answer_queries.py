@@ -215,8 +215,9 @@ def evidence_rows(t):
 NEWEST = "(SELECT paper_id, max(record_id) AS record_id FROM settled WHERE outcome <> 'rejected' GROUP BY paper_id)"
 
 
-def version_heads(t):
-    heads = single_records(t).select("record_id", F.expr("CAST(floor(record_id / 10) AS BIGINT)").alias("paper_id"))
+def version_heads(t, settled=None):
+    settled = single_records(t) if settled is None else settled
+    heads = settled.select("record_id", F.expr("CAST(floor(record_id / 10) AS BIGINT)").alias("paper_id"))
     return heads.withColumn("created_at", F.lit(0))
 
 
@@ -258,7 +259,7 @@ def record_detail(t):
         "result_properties": records.explode_results(r),
         "evidence": records.record_evidence(r),
     }
-    detail = records.record_detail(version_heads(t), children)
+    detail = records.record_detail(version_heads(t, r), children)
     text = lambda *paths: F.coalesce(*(F.get_json_object("item", f"$.{p}") for p in paths))
     names, shown = [a for a, _ in ITEM_SQL.values()], {k: b for k, (_, b) in ITEM_SQL.items()}
     value = F.when(F.col("kind") == "evidence", text("field_value"))
