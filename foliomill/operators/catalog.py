@@ -147,9 +147,14 @@ def author_rows(links: DataFrame, authors: DataFrame) -> DataFrame:
     return links.select("paper_id", "author_id", "position").join(names, "author_id").select("paper_id", "position", "author_id", "author_name")
 
 
+def _unplaced() -> Column:
+    """Sorts authors without a position behind the others."""
+    return F.col("position").isNull().alias("_unplaced")
+
+
 def author_names(links: DataFrame, authors: DataFrame) -> DataFrame:
-    """``paper_id, author_names``: one list per paper, by position.  For the papers of a page; all papers are ``author_rows``."""
-    people = F.array_sort(F.collect_list(F.struct("position", "author_name")))
+    """``paper_id, author_names``: one list per paper, by position; ``author_rows`` has the same as rows."""
+    people = F.array_sort(F.collect_list(F.struct(_unplaced(), "position", "author_name")))
     return author_rows(links, authors).groupBy("paper_id").agg(F.transform(people, lambda p: p["author_name"]).alias("author_names"))
 
 

@@ -118,6 +118,19 @@ def test_authors_of_a_huge_paper_have_one_shape(spark):
         catalog.paper_page(papers, journals, links, authors, list(range(201)))
 
 
+def test_author_names_has_a_list_per_paper(spark):
+    from conftest import SMALL
+
+    from workload import QUERIES
+
+    lines = spark.read.parquet(f"{SMALL}/lineitem.parquet")
+    found = QUERIES["author_names"](spark, SMALL)
+    assert found.columns == ["paper_id", "author_names"] and found.count() == lines.select("l_orderkey").distinct().count()
+    links = spark.createDataFrame([(1, 1, 2), (1, 2, 1), (1, 3, None), (2, 3, 1)], "paper_id int, author_id int, position int")
+    authors = spark.createDataFrame([(1, "a"), (2, "b"), (3, None)], "author_id int, full_name string")
+    assert rows(catalog.author_names(links, authors), "paper_id", "author_names") == [(1, ["b", "a", None]), (2, [None])]
+
+
 def test_biblio_updates(spark):
     layout = "paper_id string, title string, doi string, abstract string, publication_year int, volume string, issue string, pages string, keywords array<string>, journal_id string"
     base = spark.createDataFrame(

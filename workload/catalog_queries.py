@@ -111,12 +111,11 @@ def list_papers_relations(t):
     return page.select("paper_id", "title", "journal_name", names, "has_extraction", "needs_review")
 
 
-@query(
-    "author_names",
-    "SELECT l_orderkey AS paper_id, l_linenumber AS position, l_suppkey AS author_id, s_name AS author_name FROM lineitem JOIN supplier ON s_suppkey = l_suppkey",
-)
+@query("author_names", f"SELECT paper_id, author_names FROM {PAPER_AUTHORS}")
 def author_names(t):
-    return catalog.author_rows(t.links, t.authors)
+    names = catalog.author_names(t.links, t.authors)
+    named = F.exists("author_names", lambda n: n.isNotNull())
+    return names.select("paper_id", F.when(named, F.array_join("author_names", "|")).alias("author_names"))
 
 
 @query("extraction_flags", f"SELECT * FROM {FLAGS}", ("event_records",))
