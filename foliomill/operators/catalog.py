@@ -168,13 +168,28 @@ def extraction_flags(records: DataFrame) -> DataFrame:
 def paper_detail(papers: DataFrame, journals: DataFrame, links: DataFrame, authors: DataFrame) -> DataFrame:
     """Everything about papers, a row per author (one with nulls for a paper without): the paper's columns, its ``journal``,
     what output is available, ``position``, ``author_id`` and ``author_name``."""
+    return _heads(papers, journals).join(author_rows(links, authors), "paper_id", "left")
+
+
+def _heads(papers: DataFrame, journals: DataFrame) -> DataFrame:
     journal = journals.select("journal_id", F.struct("journal_id", "name").alias("journal"))
     available = {
         "summary_available": ~missing(F.col("summary_path")),
         "extraction_available": ~missing(F.col("extraction_json_path")),
     }
-    heads = papers.drop("raw_text").join(journal, "journal_id", "left").withColumns(available)
-    return heads.join(author_rows(links, authors), "paper_id", "left")
+    return papers.drop("raw_text").join(journal, "journal_id", "left").withColumns(available)
+
+
+def paper_lists(papers: DataFrame, journals: DataFrame, links: DataFrame, authors: DataFrame) -> DataFrame:
+    """The same with a row per paper and its whole list ``authors`` by position, empty for a paper without.
+
+    Lists are gathered from the links before anything else of the papers is joined to them.
+    """
+    person = F.struct(_unplaced(), "position", F.col("author_name").alias("name"), "author_id")
+    people = author_rows(links, authors).groupBy("paper_id").agg(F.array_sort(F.collect_list(person)).alias("authors"))
+    people = people.withColumn("authors", F.transform("authors", lambda p: p.dropFields("_unplaced")))
+    joined = _heads(papers, journals).join(people, "paper_id", "left")
+    return joined.withColumn("authors", F.coalesce("authors", F.array().cast(people.schema["authors"].dataType)))
 
 
 def paper_page(papers: DataFrame, journals: DataFrame, links: DataFrame, authors: DataFrame, ids: list) -> DataFrame:

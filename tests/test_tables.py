@@ -131,6 +131,21 @@ def test_author_names_has_a_list_per_paper(spark):
     assert rows(catalog.author_names(links, authors), "paper_id", "author_names") == [(1, ["b", "a", None]), (2, [None])]
 
 
+def test_paper_detail_has_the_authors_of_each_paper(spark):
+    from conftest import SMALL
+
+    from workload import QUERIES
+
+    found = QUERIES["paper_detail"](spark, SMALL)
+    assert "authors" in found.columns and found.count() == spark.read.parquet(f"{SMALL}/documents.parquet").count()
+    papers = spark.range(2).selectExpr("id AS paper_id", "'j' AS journal_id", "'' AS summary_path", "'p' AS extraction_json_path", "'t' AS raw_text")
+    journals = spark.createDataFrame([("j", "J")], "journal_id string, name string")
+    links = spark.createDataFrame([(0, 1, 2), (0, 2, 1), (0, 3, None), (5, 3, 1)], "paper_id int, author_id int, position int")
+    authors = spark.createDataFrame([(1, "a"), (2, "b"), (3, "c")], "author_id int, full_name string")
+    got = {r.paper_id: r for r in catalog.paper_lists(papers, journals, links, authors).collect()}
+    assert [tuple(p) for p in got[0].authors] == [(1, "b", 2), (2, "a", 1), (None, "c", 3)] and got[1].authors == [] and len(got) == 2
+
+
 def test_biblio_updates(spark):
     layout = "paper_id string, title string, doi string, abstract string, publication_year int, volume string, issue string, pages string, keywords array<string>, journal_id string"
     base = spark.createDataFrame(

@@ -125,8 +125,8 @@ def extraction_flags(t):
 
 @query(
     "paper_detail",
-    """SELECT paper_id, title, journal_name, l_linenumber AS position, s_name AS author_name, status = 'extracted' AS summary_available, status = 'extracted' AS extraction_available
-FROM papers LEFT JOIN (SELECT * FROM lineitem JOIN supplier ON s_suppkey = l_suppkey) ON l_orderkey = paper_id""",
+    f"""SELECT paper_id, title, journal_name, coalesce(author_names, '') AS authors, status = 'extracted' AS summary_available, status = 'extracted' AS extraction_available
+FROM papers LEFT JOIN {PAPER_AUTHORS} USING (paper_id)""",
     ("papers",),
 )
 def paper_detail(t):
@@ -134,13 +134,12 @@ def paper_detail(t):
     papers = t.papers.withColumns(
         {"journal_id": journal_id(F.col("journal_name")), "summary_path": path, "extraction_json_path": path}
     )
-    detail = catalog.paper_detail(papers, journals(t), t.links, t.authors)
+    detail = catalog.paper_lists(papers, journals(t), t.links, t.authors)
     return detail.select(
         "paper_id",
         "title",
         F.col("journal.name").alias("journal_name"),
-        "position",
-        "author_name",
+        F.array_join(F.col("authors.name"), "|").alias("authors"),
         "summary_available",
         "extraction_available",
     )
