@@ -381,6 +381,23 @@ def test_maps_matrix_coverage(spark, export_tables, tmp_path):
     assert [e.field_name for e in {r.paper_id: r for r in shown.collect()}["p1"].extraction.source_evidence] == ["result.x"]
 
 
+def test_rows_of_other_records_stay_where_they_are(spark):
+    from conftest import SMALL
+
+    from foliomill.operators.filters import likely
+    from workload import QUERIES
+
+    for key in ("id", "concat('r', id)", "CAST(id AS INT)"):
+        ids = spark.range(0, 100_000, 50).selectExpr(f"IF(id = 50, NULL, {key}) AS record_id")
+        children = spark.range(100_000).selectExpr(f"IF(id = 7, NULL, {key}) AS record_id", "id AS n")
+        kept = {r.n for r in likely(children, ids, "record_id").collect()}
+        assert set(range(0, 100_000, 50)) - {50} <= kept and len(kept) < 2_100
+        wider = children.withColumn("record_id", F.lit(1.0))
+        assert likely(wider, ids, "record_id") is wider
+    papers, shown = QUERIES["export_wide"](spark, SMALL), QUERIES["export_nested"](spark, SMALL)
+    assert plan(papers).count("getbit") >= 3 and plan(shown).count("getbit") >= 2
+
+
 def test_last_value_with_one_hot_paper(spark):
     long = spark.range(6000).selectExpr("IF(id % 3 = 0, 'hot', concat('p', id % 50)) AS paper_id", "concat('n', id % 13) AS name", "id AS value", "(id * 7919) % 6000 AS ordinal")
     want = {}

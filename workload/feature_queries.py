@@ -88,7 +88,7 @@ LEFT JOIN ({pivot_sql('outputs', 'version_results', OUTPUTS, features.OUTPUT_EXT
     ("customers", "version_conditions", "version_results", "materials"),
 )
 def export_wide(t):
-    from workload.views import of_versions
+    from workload.views import materials, of_versions
 
     canon = records.canonical(t.versions.select("record_id", "paper_id", "created_at", "status"))
     return features.export_wide(
@@ -97,7 +97,7 @@ def export_wide(t):
         canon,
         features.long_inputs(of_versions(t.conditions, canon)),
         features.long_outputs(of_versions(t.results, canon)),
-        of_versions(t.materials, canon),
+        materials(t, canon),
         INPUTS,
         OUTPUTS,
     )

@@ -318,7 +318,9 @@ for _name, _exprs in (("conditions", CONDITION_EXPR), ("results", RESULT_EXPR)):
 
 def of_versions(children: DataFrame, versions: DataFrame) -> DataFrame:
     """Children of the given record versions, with the version's paper as their paper."""
-    return children.drop("paper_id").join(versions.select("record_id", "paper_id"), "record_id")
+    from foliomill.operators.filters import likely
+
+    return likely(children.drop("paper_id"), versions, "record_id").join(versions.select("record_id", "paper_id"), "record_id")
 
 
 def version_conditions(t) -> DataFrame:
@@ -340,10 +342,11 @@ for _name in ("conditions", "results"):
     )
 
 
-def materials(t) -> DataFrame:
-    """Ordered parts as materials of an order."""
+def materials(t, versions: DataFrame | None = None) -> DataFrame:
+    """Ordered parts as materials of an order, or of the given record versions only."""
     parts = t.part.select("p_partkey", "p_name", "p_brand", "p_type")
     lines = t.lineitem.selectExpr("l_orderkey AS record_id", "l_orderkey AS paper_id", ORDINAL, "l_partkey AS p_partkey")
+    lines = lines if versions is None else of_versions(lines, versions)
     return lines.join(parts, "p_partkey").selectExpr(
         "record_id",
         "paper_id",
