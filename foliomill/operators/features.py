@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from foliomill import config
 from foliomill.functions.text import value_text
+from foliomill.operators.filters import likely
 from foliomill.operators.ranks import write_ranked
 
 INPUT_PREFIX, OUTPUT_PREFIX = "input_", "output_"
@@ -41,7 +42,7 @@ def only_papers(papers: DataFrame, ids: DataFrame | None = None) -> DataFrame:
 
 def of_records(children: DataFrame, records: DataFrame) -> DataFrame:
     """Child rows of the given (canonical) records."""
-    return children.join(records.select("record_id"), "record_id", "left_semi")
+    return likely(children, records, "record_id").join(records.select("record_id"), "record_id", "left_semi")
 
 
 def long_inputs(conditions: DataFrame) -> DataFrame:

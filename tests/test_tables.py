@@ -398,6 +398,11 @@ def test_rows_of_other_records_stay_where_they_are(spark):
     assert plan(papers).count("getbit") >= 3 and plan(shown).count("getbit") >= 2
 
 
+def test_children_of_records_are_filtered_first(spark, export_tables):
+    _, _, canon, conditions, _, _ = export_tables
+    assert "getbit" in plan(features.of_records(conditions, canon))
+
+
 def test_last_value_with_one_hot_paper(spark):
     long = spark.range(6000).selectExpr("IF(id % 3 = 0, 'hot', concat('p', id % 50)) AS paper_id", "concat('n', id % 13) AS name", "id AS value", "(id * 7919) % 6000 AS ordinal")
     want = {}
