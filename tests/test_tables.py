@@ -403,6 +403,19 @@ def test_children_of_records_are_filtered_first(spark, export_tables):
     assert "getbit" in plan(features.of_records(conditions, canon))
 
 
+@pytest.mark.parametrize("name", ["export_csv", "export_json_header", "export_json_papers"])
+def test_written_exports_filter_first(spark, monkeypatch, name):
+    from conftest import SMALL
+
+    from workload import QUERIES
+
+    seen, sink = [], "write_csv" if name == "export_csv" else "write_export_json"
+    write = getattr(sinks, sink)
+    monkeypatch.setattr(sinks, sink, lambda rows_, *rest: (seen.append(plan(rows_)), write(rows_, *rest)))
+    QUERIES[name](spark, SMALL)
+    assert seen[0].count("getbit") >= 2
+
+
 def test_last_value_with_one_hot_paper(spark):
     long = spark.range(6000).selectExpr("IF(id % 3 = 0, 'hot', concat('p', id % 50)) AS paper_id", "concat('n', id % 13) AS name", "id AS value", "(id * 7919) % 6000 AS ordinal")
     want = {}
