@@ -45,10 +45,10 @@ def of_records(children: DataFrame, records: DataFrame) -> DataFrame:
     return likely(children, records, "record_id").join(records.select("record_id"), "record_id", "left_semi")
 
 
-def long_inputs(conditions: DataFrame) -> DataFrame:
-    """``paper_id, name, value, value_numeric, unit, confidence, needs_review, ordinal`` of inputs and context."""
+def long_inputs(conditions: DataFrame, key: str = "paper_id") -> DataFrame:
+    """``key, name, value, value_numeric, unit, confidence, needs_review, ordinal`` of inputs and context."""
     return conditions.where(F.col("variable_role").isin("input", "contextual")).select(
-        "paper_id",
+        key,
         norm_name(F.col("parameter_name"), INPUT_PREFIX).alias("name"),
         value_text(F.col("value_numeric"), F.col("value_text")).alias("value"),
         "value_numeric",
@@ -59,10 +59,10 @@ def long_inputs(conditions: DataFrame) -> DataFrame:
     )
 
 
-def long_outputs(results: DataFrame) -> DataFrame:
+def long_outputs(results: DataFrame, key: str = "paper_id") -> DataFrame:
     """The same of all results, whatever their role."""
     return results.select(
-        "paper_id",
+        key,
         norm_name(F.col("property_name"), OUTPUT_PREFIX).alias("name"),
         value_text(F.col("value_numeric"), F.col("value_text")).alias("value"),
         "value_numeric",
@@ -78,10 +78,10 @@ def dataset_long(children: DataFrame, role: str) -> DataFrame:
     return children.where(F.col("variable_role") == role)
 
 
-def last_values(long: DataFrame, fields: list[str], order: str | Column = "ordinal") -> DataFrame:
+def last_values(long: DataFrame, fields: list[str], order: str | Column = "ordinal", key: str = "paper_id") -> DataFrame:
     """One row per (paper, name): the last by ``order``.  Partial maxima are taken before the shuffle."""
     last = F.max_by(F.struct(*fields), order)
-    return long.groupBy("paper_id", "name").agg(last.alias("_last")).select("paper_id", "name", "_last.*")
+    return long.groupBy(key, "name").agg(last.alias("_last")).select(key, "name", "_last.*")
 
 
 def variable_names(long: DataFrame, most: int = config.MAX_PIVOT_NAMES) -> list[str]:
@@ -125,11 +125,11 @@ def column_dictionary(spark: SparkSession, columns: dict[tuple[str, str], str])
     return spark.createDataFrame(rows, "column string, name string, field string")
 
 
-def cells(long: DataFrame, order: str | Column = "ordinal", fields: list[str] | None = None) -> DataFrame:
+def cells(long: DataFrame, order: str | Column = "ordinal", fields: list[str] | None = None, key: str = "paper_id") -> DataFrame:
     """One row per paper with a map from variable name to its last cell."""
     fields = fields or CELL
-    last = last_values(long, fields, order)
-    return last.groupBy("paper_id").agg(
+    last = last_values(long, fields, order, key)
+    return last.groupBy(key).agg(
         F.map_from_entries(F.collect_list(F.struct("name", F.struct(*fields).alias("cell")))).alias("cells")
     )
 
@@ -166,11 +166,11 @@ def pivot_outputs(long: DataFrame, names: list[str] | None = None, order: str |
     return _pivot(long, names, order, OUTPUT_EXTRAS, rest)
 
 
-def primary_material(materials: DataFrame, order: str | Column = "ordinal") -> DataFrame:
+def primary_material(materials: DataFrame, order: str | Column = "ordinal", key: str = "paper_id") -> DataFrame:
     """Per paper the first material's descriptive columns."""
     fields = [F.col(source).alias(name) for name, source in PRIMARY_MATERIAL.items()]
-    first = materials.groupBy("paper_id").agg(F.min_by(F.struct(*fields), order).alias("_first"))
-    return first.select("paper_id", "_first.*")
+    first = materials.groupBy(key).agg(F.min_by(F.struct(*fields), order).alias("_first"))
+    return first.select(key, "_first.*")
 
 
 def export_wide(
@@ -184,22 +184,25 @@ def export_wide(
     output_names: list[str] | None = None,
     rest: bool | None = None,
     order: str | Column = "ordinal",
+    key: str = "paper_id",
 ) -> DataFrame:
     """One row per paper that has a canonical record: base columns, inputs, outputs, primary material.
 
     ``inputs`` and ``outputs`` are long forms of the canonical records.  With explicit names no pass over
     the data is needed to find them.  ``rest`` adds a map with the variables that have no column; where names are not
-    given, it is always there.
+    given, it is always there.  With ``record_id`` as ``key`` child rows are gathered by their record and need no paper, so they
+    are moved only to be grouped; rows of other records among them are left out when the papers take what is theirs.
     """
     rest = input_names is None or output_names is None if rest is None else rest
-    input_names = variable_names(inputs) if input_names is None else input_names
-    output_names = variable_names(outputs) if output_names is None else output_names
+    exact = (lambda rows: rows) if key == "paper_id" else (lambda rows: of_records(rows, records))
+    input_names = variable_names(exact(inputs)) if input_names is None else input_names
+    output_names = variable_names(exact(outputs)) if output_names is None else output_names
     named_journals = journals.select("journal_id", F.col("name").alias("journal"))
     base = papers.select("paper_id", "title", "doi", F.col("publication_year").alias("year"), "journal_id")
-    statuses = records.select("paper_id", F.col("status").alias("extraction_status"))
+    statuses = records.select(*dict.fromkeys(["paper_id", key]), F.col("status").alias("extraction_status"))
     base = base.join(statuses, "paper_id").join(named_journals, "journal_id", "left")
-    gathered = cells(inputs.unionByName(outputs), order)
-    joined = base.join(gathered, "paper_id", "left").join(primary_material(materials, order), "paper_id", "left")
+    gathered = cells(inputs.unionByName(outputs), order, key=key)
+    joined = base.join(gathered, key, "left").join(primary_material(materials, order, key), key, "left")
     # Names of inputs and outputs differ by their prefix, so their columns cannot meet.
     fixed = ["paper_id", "title", "doi", "year", "journal", "extraction_status"]
     taken = [*fixed, *PRIMARY_MATERIAL, "other_variables"]

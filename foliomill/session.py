@@ -42,6 +42,13 @@ def shared_folder(spark: SparkSession, kind: str) -> str:
     return f"{base.rstrip('/')}/{kind}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, kind: str) -> DataFrame:
+    """``df`` as columns in the shared folder, for a result that several branches of a job or several jobs read."""
+    path = shared_folder(df.sparkSession, kind)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def durable(df: DataFrame) -> DataFrame:
     """``df`` saved in the cluster's shared checkpoint folder, for a result that is read several times.
 

@@ -416,6 +416,40 @@ def test_written_exports_filter_first(spark, monkeypatch, name):
     assert seen[0].count("getbit") >= 2
 
 
+def test_few_strangers_pass_a_full_filter(spark, monkeypatch):
+    from foliomill.operators import filters
+
+    # As many bits to a key as a filter of 5 million has.
+    monkeypatch.setattr(filters, "FILTER_BITS", 1 << 15)
+    ids = spark.range(0, 52_000, 20).selectExpr("id AS record_id")
+    kept = {r.record_id for r in filters.likely(spark.range(52_000).selectExpr("id AS record_id"), ids, "record_id").collect()}
+    strangers = len(kept) - 2_600
+    assert set(range(0, 52_000, 20)) <= kept and strangers < 0.02 * 49_400
+
+
+def test_wide_export_by_record(spark, export_tables):
+    papers, journals, canon, conditions, results, materials = export_tables
+    by_paper = [features.long_inputs(features.of_records(conditions, canon)), features.long_outputs(features.of_records(results, canon))]
+    want = features.export_wide(papers, journals, canon, *by_paper, materials)
+    # Child rows name their record only, and an old version's are among them.
+    by_record = [features.long_inputs(conditions.drop("paper_id"), "record_id"), features.long_outputs(results.drop("paper_id"), "record_id")]
+    of_record = materials.withColumn("record_id", F.lit("r1")).drop("paper_id")
+    got = features.export_wide(papers, journals, canon, *by_record, of_record, key="record_id")
+    assert got.columns == want.columns and rows(got, *got.columns[:-5]) == rows(want, *want.columns[:-5])
+    assert {r.paper_id: (r.material_name, set(r.other_variables or ())) for r in got.collect()} == {r.paper_id: (r.material_name, set(r.other_variables or ())) for r in want.collect()}
+
+
+def test_csv_export_chooses_records_once(spark, monkeypatch):
+    from conftest import SMALL
+
+    from workload import QUERIES
+
+    seen, write = [], sinks.write_csv
+    monkeypatch.setattr(sinks, "write_csv", lambda wide, path: (seen.append(plan(wide)), write(wide, path)))
+    QUERIES["export_csv"](spark, SMALL)
+    assert "Window" not in seen[0] and "o_custkey" not in seen[0]
+
+
 def test_last_value_with_one_hot_paper(spark):
     long = spark.range(6000).selectExpr("IF(id % 3 = 0, 'hot', concat('p', id % 50)) AS paper_id", "concat('n', id % 13) AS name", "id AS value", "(id * 7919) % 6000 AS ordinal")
     want = {}

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from foliomill.operators import features, records
-from foliomill.session import shared_folder
+from foliomill.operators.filters import likely
+from foliomill.session import shared_folder, stored
 from foliomill.sources import sinks
 from workload.base import TWINS, query
 
@@ -88,25 +89,33 @@ LEFT JOIN ({pivot_sql('outputs', 'version_results', OUTPUTS, features.OUTPUT_EXT
     ("customers", "version_conditions", "version_results", "materials"),
 )
 def export_wide(t):
-    from workload.views import materials, of_versions
+    return wide_export(t, canonical_statuses(t))
+
+
+def canonical_statuses(t):
+    return records.canonical(t.versions.select("record_id", "paper_id", "created_at", "status"))
+
+
+def wide_export(t, canon):
+    from workload.views import materials
 
-    canon = records.canonical(t.versions.select("record_id", "paper_id", "created_at", "status"))
     return features.export_wide(
         t.customers,
         t.segments,
         canon,
-        features.long_inputs(of_versions(t.conditions, canon)),
-        features.long_outputs(of_versions(t.results, canon)),
+        features.long_inputs(likely(t.conditions, canon, "record_id"), "record_id"),
+        features.long_outputs(likely(t.results, canon, "record_id"), "record_id"),
         materials(t, canon),
         INPUTS,
         OUTPUTS,
+        key="record_id",
     )
 
 
 @query("export_csv", TWINS["export_wide"])
 def export_csv(t):
     """The wide table written as CSV and read back."""
-    wide, path = export_wide(t), shared_folder(t.spark, "csv")
+    wide, path = wide_export(t, stored(canonical_statuses(t), "records")), shared_folder(t.spark, "csv")
     sinks.write_csv(wide, path)
     return t.spark.read.schema(wide.schema).option("header", True).option("escape", '"').csv(path)
 

@@ -13,6 +13,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from foliomill.operators.filters import likely
+
 SQL: dict[str, str] = {}
 NEEDS: dict[str, tuple[str, ...]] = {}
 
@@ -318,8 +320,6 @@ for _name, _exprs in (("conditions", CONDITION_EXPR), ("results", RESULT_EXPR)):
 
 def of_versions(children: DataFrame, versions: DataFrame) -> DataFrame:
     """Children of the given record versions, with the version's paper as their paper."""
-    from foliomill.operators.filters import likely
-
     return likely(children.drop("paper_id"), versions, "record_id").join(versions.select("record_id", "paper_id"), "record_id")
 
 
@@ -343,10 +343,10 @@ for _name in ("conditions", "results"):
 
 
 def materials(t, versions: DataFrame | None = None) -> DataFrame:
-    """Ordered parts as materials of an order, or of the given record versions only."""
+    """Ordered parts as materials of an order, or of the given record versions and a few others."""
     parts = t.part.select("p_partkey", "p_name", "p_brand", "p_type")
     lines = t.lineitem.selectExpr("l_orderkey AS record_id", "l_orderkey AS paper_id", ORDINAL, "l_partkey AS p_partkey")
-    lines = lines if versions is None else of_versions(lines, versions)
+    lines = lines if versions is None else likely(lines, versions, "record_id")
     return lines.join(parts, "p_partkey").selectExpr(
         "record_id",
         "paper_id",
