@@ -219,25 +219,25 @@ X_FIELDS = ["value", "unit", "confidence"]
 Y_FIELDS = ["value", "value_min", "value_max", "unit", "conditions", "confidence"]
 
 
-def x_long(conditions: DataFrame, order: str | Column = "ordinal") -> DataFrame:
+def x_long(conditions: DataFrame, order: str | Column = "ordinal", key: str = "paper_id") -> DataFrame:
     """Inputs by their raw names, the last of a name winning; ``value`` is the number."""
     rows = dataset_long(conditions, "input").withColumns(
         {"name": F.col("parameter_name"), "value": F.col("value_numeric")}
     )
-    return last_values(rows, X_FIELDS, order)
+    return last_values(rows, X_FIELDS, order, key)
 
 
-def y_long(results: DataFrame, order: str | Column = "ordinal") -> DataFrame:
+def y_long(results: DataFrame, order: str | Column = "ordinal", key: str = "paper_id") -> DataFrame:
     """Outputs by their raw names, the last of a name winning."""
     rows = dataset_long(results, "output").withColumns({"name": F.col("property_name"), "value": F.col("value_numeric")})
-    return last_values(rows, Y_FIELDS, order)
+    return last_values(rows, Y_FIELDS, order, key)
 
 
-def variable_map(long: DataFrame, alias: str) -> DataFrame:
+def variable_map(long: DataFrame, alias: str, key: str = "paper_id") -> DataFrame:
     """Per paper a map from name to the struct of the other columns; ``long`` is unique by (paper, name)."""
-    fields = [c for c in long.columns if c not in ("paper_id", "name")]
+    fields = [c for c in long.columns if c not in (key, "name")]
     entries = F.collect_list(F.struct("name", F.struct(*fields).alias("cell")))
-    return long.groupBy("paper_id").agg(F.map_from_entries(entries).alias(alias))
+    return long.groupBy(key).agg(F.map_from_entries(entries).alias(alias))
 
 
 def xy_maps(conditions: DataFrame, results: DataFrame, order: str | Column = "ordinal") -> DataFrame:
@@ -312,31 +312,35 @@ def export_nested(
     """One row per paper (all papers, with or without a record) with a struct ``extraction``.
 
     ``records`` are canonical; ``raw`` adds the stored answer.  ``evidence`` (rows with
-    ``paper_id, ordinal, kind`` and the evidence columns) adds the evidence list.
+    ``record_id, ordinal, kind`` and the evidence columns) adds the evidence list.  Child rows are gathered by their record, so
+    they are moved only to be grouped; those of other records that the filter lets pass are left out when a paper takes its own.
     """
     named_journals = journals.select("journal_id", F.col("name").alias("journal"))
     base = papers.select("paper_id", "title", "doi", F.col("publication_year").alias("year"), "journal_id")
-    maps = xy_maps(of_records(conditions, records), of_records(results, records), order)
+    x = variable_map(x_long(likely(conditions, records, "record_id"), order, "record_id"), "X", "record_id")
+    y = variable_map(y_long(likely(results, records, "record_id"), order, "record_id"), "y", "record_id")
     head = records.select(
         "paper_id",
+        "record_id",
         F.lit(True).alias("_has"),
         "status",
         F.col("summary_text").alias("summary"),
         *[F.coalesce(F.col(m), F.lit("{}")).alias(m) for m in ("input_variables", "output_variables", "contextual_notes")],
         *(["raw_response"] if raw else []),
     )
-    joined = base.join(named_journals, "journal_id", "left").join(head, "paper_id", "left").join(maps, "paper_id", "left")
-    no_x, no_y = (F.create_map().cast(maps.schema[m].dataType) for m in ("X", "y"))
+    joined = base.join(named_journals, "journal_id", "left").join(head, "paper_id", "left")
+    joined = joined.join(x, "record_id", "left").join(y, "record_id", "left")
+    no_x, no_y = (F.create_map().cast(maps.schema[m].dataType) for maps, m in ((x, "X"), (y, "y")))
     split = F.struct(F.coalesce("X", no_x).alias("X"), F.coalesce("y", no_y).alias("y")).alias("bo_ready")
     parts = ["status", "summary", "input_variables", "output_variables", "contextual_notes", split]
     if raw:
         parts.append(F.col("raw_response"))
     if evidence is not None:
         fields = [c for c in evidence.columns if c not in ("record_id", "paper_id", "kind", "ordinal")]
-        listed = of_records(evidence, records).groupBy("paper_id").agg(
+        listed = likely(evidence, records, "record_id").groupBy("record_id").agg(
             F.array_sort(F.collect_list(F.struct("kind", "ordinal", *fields))).alias("source_evidence")
         )
-        joined = joined.join(listed, "paper_id", "left")
+        joined = joined.join(listed, "record_id", "left")
         parts.append(F.col("source_evidence"))
     return joined.select(
         "paper_id", "title", "doi", "year", "journal", F.when(F.col("_has"), F.struct(*parts)).alias("extraction")

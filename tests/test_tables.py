@@ -450,6 +450,27 @@ def test_csv_export_chooses_records_once(spark, monkeypatch):
     assert "Window" not in seen[0] and "o_custkey" not in seen[0]
 
 
+@pytest.mark.parametrize("name", ["export_json_header", "export_json_papers"])
+def test_json_exports_choose_records_once(spark, monkeypatch, name):
+    from conftest import SMALL
+
+    from workload import QUERIES
+
+    seen, write = [], sinks.write_export_json
+    monkeypatch.setattr(sinks, "write_export_json", lambda nested, header, *rest: (seen.extend([plan(nested), plan(header)]), write(nested, header, *rest)))
+    QUERIES[name](spark, SMALL)
+    assert not any("Window" in steps or "o_custkey" in steps for steps in seen) and "FullOuter" not in seen[0]
+
+
+def test_nested_export_takes_children_by_record(spark, export_tables):
+    papers, journals, canon, conditions, results, _ = export_tables
+    want = features.export_nested(papers, journals, canon, conditions, results)
+    got = features.export_nested(papers, journals, canon, conditions.drop("paper_id"), results.drop("paper_id"))
+    assert {r.paper_id: r.asDict(True) for r in got.collect()} == {r.paper_id: r.asDict(True) for r in want.collect()}
+    first = {r.paper_id: r for r in got.collect()}["p1"].extraction.bo_ready
+    assert set(first.X) == {"Film Thickness", "Gas"} and set(first.y) == {"TMR ratio"}
+
+
 def test_last_value_with_one_hot_paper(spark):
     long = spark.range(6000).selectExpr("IF(id % 3 = 0, 'hot', concat('p', id % 50)) AS paper_id", "concat('n', id % 13) AS name", "id AS value", "(id * 7919) % 6000 AS ordinal")
     want = {}

@@ -165,18 +165,11 @@ FROM customers c LEFT JOIN canon k USING (paper_id) LEFT JOIN {map_sql('x', 'ver
     ("customers", "version_conditions", "version_results"),
 )
 def export_nested(t):
-    from workload.views import of_versions
+    return shown_export(nested_export(t, records.canonical(t.versions)))
 
-    canon = records.canonical(t.versions)
-    nested = features.export_nested(
-        t.customers,
-        t.segments,
-        canon,
-        of_versions(t.conditions, canon),
-        of_versions(t.results, canon),
-        raw=True,
-    )
-    return shown_export(nested)
+
+def nested_export(t, canon):
+    return features.export_nested(t.customers, t.segments, canon, t.conditions, t.results, raw=True)
 
 
 def shown_export(nested):
@@ -198,11 +191,8 @@ def shown_export(nested):
 
 def json_export(t):
     """Papers and header of the nested export, written as JSON lines and read back."""
-    from workload.views import of_versions
-
-    canon = records.canonical(t.versions)
-    children = (of_versions(rows, canon) for rows in (t.conditions, t.results))
-    nested = features.export_nested(t.customers, t.segments, canon, *children, raw=True)
+    canon = stored(records.canonical(t.versions), "records")
+    nested = nested_export(t, canon)
     path = shared_folder(t.spark, "json")
     sinks.write_export_json(nested, features.export_header(t.customers, canon), path, F.lit("2024-05-01 10:00:00").cast("timestamp"))
     return t.spark.read.schema(nested.schema).json(f"{path}/papers"), t.spark.read.json(f"{path}/header")
