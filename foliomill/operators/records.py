@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from foliomill.functions.text import double_text
+from foliomill.operators.filters import likely
 from foliomill.schemas import CONDITION, MATERIAL, METHOD, RESULT, Field
 
 EVIDENCE_FIELDS = ["source_text", "page_numbers", "section", "confidence", "is_inferred", "inference_reasoning"]
@@ -57,6 +58,16 @@ def canonical(records: DataFrame, key: str = "paper_id", newest: list[str] | Non
     return records.withColumn("_rank", F.row_number().over(order)).where(F.col("_rank") == 1).drop("_rank")
 
 
+def canonical_whole(records: DataFrame, key: str = "paper_id", newest: list[str] | None = None) -> DataFrame:
+    """``canonical`` of stored wide rows: ids are chosen first, so answers of earlier versions stay where they are read.
+
+    The filter of chosen ids drops none of them, null or repeated ones either, and what else it lets pass loses again.
+    """
+    newest = newest or ["created_at", "record_id"]
+    chosen = canonical(records.select(*dict.fromkeys([key, *newest, "record_id"])), key, newest)
+    return canonical(likely(records, chosen, "record_id"), key, newest)
+
+
 def _children(records: DataFrame, kind: str, fields: tuple[Field, ...]) -> DataFrame:
     rows = records.select("record_id", "paper_id", F.posexplode(F.col(f"record.{kind}")).alias("ordinal", "_item"))
     return rows.select("record_id", "paper_id", "ordinal", *[F.col(f"_item.{f.name}").alias(f.name) for f in fields])

@@ -165,11 +165,11 @@ FROM customers c LEFT JOIN canon k USING (paper_id) LEFT JOIN {map_sql('x', 'ver
     ("customers", "version_conditions", "version_results"),
 )
 def export_nested(t):
-    return shown_export(nested_export(t, records.canonical(t.versions)))
+    return shown_export(nested_export(t, t.segments, records.canonical(t.versions)))
 
 
-def nested_export(t, canon):
-    return features.export_nested(t.customers, t.segments, canon, t.conditions, t.results, raw=True)
+def nested_export(t, journals, canon):
+    return features.export_nested(t.customers, journals, canon, t.conditions, t.results, raw=True)
 
 
 def shown_export(nested):
@@ -191,8 +191,9 @@ def shown_export(nested):
 
 def json_export(t):
     """Papers and header of the nested export, written as JSON lines and read back."""
-    canon = stored(records.canonical(t.versions), "records")
-    nested = nested_export(t, canon)
+    canon = stored(records.canonical_whole(t.versions), "records")
+    # Stored, so their size is known before papers would be moved by journal.
+    nested = nested_export(t, stored(t.segments, "journals"), canon)
     path = shared_folder(t.spark, "json")
     sinks.write_export_json(nested, features.export_header(t.customers, canon), path, F.lit("2024-05-01 10:00:00").cast("timestamp"))
     return t.spark.read.schema(nested.schema).json(f"{path}/papers"), t.spark.read.json(f"{path}/header")
