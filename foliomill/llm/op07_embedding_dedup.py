@@ -37,9 +37,11 @@ COSINE = 0.98
 # lengths beyond the most frequent ones get one pivot.
 SAMPLE, MOST_PIVOTS, MOST_LENGTHS = 4096, 1024, 16
 # A block's vectors, and bytes, at most (a range of rows may come out somewhat larger).
-BLOCK, BLOCK_BYTES = 1 << 17, 32 << 20
+BLOCK, BLOCK_BYTES = 1 << 16, 16 << 20
 # A row seen by a cell costs about as much as this many comparisons, and two cells that meet as much as this many such rows.
 ROW_COST, MEETING = 100, 500
+# Tasks in which blocks meet, at least, where there are so many pairs of them.
+TASKS = 512
 # Coordinates that are compared first, the share of pairs they are to leave at most, and vectors that are compared at a time.
 COORDINATES, LEFT, STRIP = 16, 0.002, 1024
 # From this share of pairs on all are compared in full at once.
@@ -102,11 +104,12 @@ def binary(x: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(offsets), pa.py_buffer(single)])
 
 
-def units(x: np.ndarray) -> np.ndarray:
-    x = x.astype(np.float64)
+def units(x: np.ndarray, kind: type = np.float64) -> np.ndarray:
+    x = x.astype(kind)
     # Scaled by the largest component first, so that no square overflows.
-    x /= np.abs(x).max(axis=1)[:, None]
-    return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+    x /= np.maximum(x.max(axis=1), -x.min(axis=1))[:, None]
+    x /= np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
+    return x
 
 
 def nearest(points: np.ndarray, pivots: np.ndarray) -> np.ndarray:
@@ -276,6 +279,7 @@ class Side:
 
 def numbers(raw: pa.Array, size: int) -> np.ndarray:
     """The stored rows as a matrix, doubles unless all are in single precision."""
+    raw = raw.cast(pa.binary())
     _, offsets, data = raw.buffers()
     at = np.frombuffer(offsets, np.int32, len(raw) + 1, raw.offset * 4)
     for kind in (np.float32, np.float64):
@@ -285,8 +289,8 @@ def numbers(raw: pa.Array, size: int) -> np.ndarray:
     return np.stack([np.frombuffer(r, np.float32 if len(r) == 4 * size else np.float64).astype(np.float64) for r in raw.to_pylist()])
 
 
-def sides_of(files: list[str], space: Callable[[int], tuple[np.ndarray, np.ndarray]], wanted: int | None = None) -> Iterator[tuple[int, Side]]:
-    """Kinds and their sides in the files of a block, in order; ``wanted``: the place of the only one asked for.
+def sides_of(files: list[str], space: Callable[[int], tuple[np.ndarray, np.ndarray]], wanted: int | None = None) -> Iterator[Side]:
+    """The sides in the files of a block, in the order of kinds; ``wanted``: the place of the only one asked for.
 
     ``space`` has pivots and axes for a length of vectors."""
     tables = []
@@ -301,19 +305,18 @@ def sides_of(files: list[str], space: Callable[[int], tuple[np.ndarray, np.ndarr
     for k in range(len(kinds)) if wanted is None else [wanted % len(kinds)]:
         cut = slice(begin[k], end[k])
         size = int(column["size"][begin[k]])
-        pivots, axes = space(size)
+        pivots, axes = (x.astype(np.float32) for x in space(size))
         raw = numbers(rows.column("raw").chunk(0).slice(begin[k], end[k] - begin[k]), size)
         cell, unit = column["cell"][cut], np.empty(raw.shape, np.float32)
         left, right = np.empty((2, len(raw), axes.shape[1] + 2), np.float32)
         near_own = np.empty(len(raw), np.float32)
         for at in range(0, len(raw), SEEN_ROWS):
             part = slice(at, at + SEEN_ROWS)
-            point = units(raw[part])
-            unit[part] = point
-            left[part], right[part] = factors(turned(point, axes=axes))
-            near_own[part] = np.einsum("ij,ij->i", point, pivots[cell[part]])
+            unit[part] = units(raw[part], raw.dtype)
+            left[part], right[part] = factors(turned(unit[part], axes=axes))
+            near_own[part] = np.einsum("ij,ij->i", unit[part], pivots[cell[part]])
         cells, bounds = np.unique(cell, return_index=True)
-        yield int(kinds[k]), Side(column["node"][cut], column["copies"][cut], cell, raw, unit, left, right, near_own, cells, np.append(bounds, len(raw)))
+        yield Side(column["node"][cut], column["copies"][cut], cell, raw, unit, left, right, near_own, cells, np.append(bounds, len(raw)))
 
 
 def meetings(a: Side, b: Side, pivots: np.ndarray, radius: float) -> Iterator[tuple[np.ndarray, np.ndarray, bool]]:
@@ -400,8 +403,7 @@ def links_between(a: Side, b: Side, pivots: np.ndarray, cosine: float) -> pa.Rec
     """``node``, ``other`` (a node it hangs together with) and ``links`` for the vectors of two blocks that have links there."""
     shift = 0 if a is b else len(a.node)
     node, copies = (a.node, a.copies) if a is b else (np.concatenate([a.node, b.node]), np.concatenate([a.copies, b.copies]))
-    repeated, single = len(np.unique(node)) < len(node), (copies == 1).all()
-    links, to = Links(len(node)), (b.unit, b.right)
+    single, links, to = (copies == 1).all(), Links(len(node)), (b.unit, b.right)
 
     def exact(i: np.ndarray, j: np.ndarray) -> np.ndarray:
         return np.einsum("ij,ij->i", units(a.raw[i]), units(b.raw[j]))
@@ -415,17 +417,16 @@ def links_between(a: Side, b: Side, pivots: np.ndarray, cosine: float) -> pa.Rec
                 def dense(close: np.ndarray, strip=strip, facing=facing, own=own) -> None:
                     if own:
                         close = np.triu(close, 1)
-                    if repeated:
-                        close &= node[strip][:, None] != node[facing + shift]
+                    # Different vectors of one id are no links of it.
+                    close &= node[strip][:, None] != node[facing + shift]
                     links.add_matrix(strip, facing + shift, close, copies, single)
 
                 i, j, _ = close_pairs(a.unit, a.left, cosine, strip, facing, to, exact, dense)
                 if own:
                     i, j = i[i < j], j[i < j]
                 i, j = strip[i], facing[j] + shift
-                if repeated:
-                    different = node[i] != node[j]
-                    i, j = i[different], j[different]
+                different = node[i] != node[j]
+                i, j = i[different], j[different]
                 if len(i):
                     links.add(i, j, copies, single)
     links.tie()
@@ -485,9 +486,10 @@ def sample_of(given: DataFrame, sizes: list) -> dict[int, np.ndarray]:
                 most = bound.get(x.shape[1], 0)
                 keys = keys_of(x)
                 # A task hands on each once; it meets few of them.
-                first = [i for i, key in enumerate(keys) if int.from_bytes(key) < most and not (key in seen or seen.add(key))]
+                first = [i for i, key in enumerate(keys) if int.from_bytes(key, "big") < most and not (key in seen or seen.add(key))]
                 if first:
-                    yield pa.RecordBatch.from_arrays([pa.array([keys[i] for i in first], pa.binary()), binary(x[first]), pa.array(np.full(len(first), x.shape[1], np.int32))], names=["key", "raw", "size"])
+                    columns = [pa.array([keys[i] for i in first], pa.binary()), binary(x[first]), pa.array(np.full(len(first), x.shape[1], np.int32))]
+                    yield pa.RecordBatch.from_arrays(columns, names=["key", "raw", "size"])
 
     rows = given.mapInArrow(run, "key binary, raw binary, size int").groupBy("key", "size").agg(F.first("raw").alias("raw"))
     place = F.row_number().over(Window.partitionBy("size").orderBy("key"))
@@ -542,8 +544,8 @@ def blocks_of(given: DataFrame, space: Callable[[int], tuple[np.ndarray, np.ndar
                 new[1:] |= pc.not_equal(column[1:], column[:-1]).to_numpy(zero_copy_only=False)
             first = np.flatnonzero(new)
             out = rows.take(pa.array(first))
-            node, copies = (rows.column(name).to_numpy() for name in ("node", "copies"))
-            out = out.set_column(0, "node", pa.array(np.minimum.reduceat(node, first))).set_column(1, "copies", pa.array(np.add.reduceat(copies, first)))
+            for at, (name, of_all) in enumerate((("node", np.minimum), ("copies", np.add))):
+                out = out.set_column(at, name, pa.array(of_all.reduceat(rows.column(name).to_numpy(), first)))
             if out.num_rows > 1:
                 yield out.slice(0, out.num_rows - 1)
             held = out.slice(out.num_rows - 1)
@@ -598,24 +600,31 @@ def range_join(
     parts = max(-(-bytes_ // BLOCK_BYTES), -(-nodes // block), min(parallel, -(-nodes // STRIP)))
     blocks_of(given, space, parts).write.parquet(path)
     blocks = spark.read.parquet(path)
-    files = blocks.groupBy(F.col("_metadata.file_path").alias("file")).agg(F.min("kind").alias("low"), F.max("kind").alias("high"), F.count("*").alias("rows"))
-    files = sorted(files.collect(), key=lambda f: (f["low"], f["high"], f["file"]))  # some 32 MB each
-    most = min(block, max(STRIP, -(-sum(f["rows"] for f in files) // parallel)), max(1, BLOCK_BYTES * nodes // max(1, sum(s["nodes"] * 4 * s["size"] for s in sizes))))
-    pairs = meeting_blocks(files, most)
+    of_file = [F.min("kind").alias("low"), F.max("kind").alias("high"), F.count("*").alias("rows")]
+    files = blocks.groupBy(F.col("_metadata.file_path").alias("file")).agg(*of_file).collect()
+    files = sorted(files, key=lambda f: (f["low"], f["high"], f["file"]))  # some 16 MB each
+    # As few blocks as give every core a pair of them, or as fill the memory for them.
+    few = max(1, min(parallel, math.isqrt(2 * parallel * sum(s["labels"] for s in sizes))))
+    fitting = max(1, BLOCK_BYTES * nodes // max(1, sum(s["nodes"] * 4 * s["size"] for s in sizes)))
+    pairs = meeting_blocks(files, min(block, fitting, max(STRIP, -(-sum(f["rows"] for f in files) // few))))
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Pairs come by their first block, of which the last kind is kept.
+        held, a = None, None
         for batch in batches:
             for number in batch.column(0).to_pylist():
                 names, others = pairs[number]
                 if others is None:
-                    for _, side in sides_of(names, space):
-                        yield links_between(side, side, space(side.raw.shape[1])[0], cosine)
-                else:
-                    # Blocks are ranges of kinds: two have the last of one and the first of the other in common.
-                    (_, a), (_, b) = next(sides_of(names, space, -1)), next(sides_of(others, space, 0))
-                    yield links_between(a, b, space(a.raw.shape[1])[0], cosine)
-
-    numbers_ = spark.range(0, len(pairs), 1, min(len(pairs), 10_000))
+                    held = names
+                    for a in sides_of(names, space):
+                        yield links_between(a, a, space(a.raw.shape[1])[0], cosine)
+                    continue
+                if held != names:
+                    held, a = names, next(sides_of(names, space, -1))
+                # Blocks are ranges of kinds: two have the last of one and the first of the other in common.
+                yield links_between(a, next(sides_of(others, space, 0)), space(a.raw.shape[1])[0], cosine)
+
+    numbers_ = spark.range(0, len(pairs), 1, min(len(pairs), max(TASKS, 64 * parallel)))
     joined = durable(numbers_.mapInArrow(meet, "node bigint, other bigint, links bigint"))
     links = joined.groupBy("node").agg(F.sum("links").alias("links"))
     tied = components(joined.where("node <> other").select(F.col("node").alias("a"), F.col("other").alias("b")))

@@ -1,6 +1,8 @@
 import os
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 
 from foliomill.llm import op07_embedding_dedup as op07
@@ -44,13 +46,43 @@ def test_blocks_and_dense_groups(spark, monkeypatch, number):
     rows += [(7000 + i, [1.0, float(i)], 1) for i in range(40)]
     want = brute([(i, np.asarray(v, np.float32).tolist() if number == "float" else v, k) for i, v, k in rows])
     assert max(n for n, _, _ in want.values()) > 100
-    for cost, strip, block in ((0.001, 16, 64), (1e9, 7, 50)):
+    for cost, block in ((0.001, 64), (1e9, 50)):
         monkeypatch.setattr(op07, "ROW_COST", cost)
-        monkeypatch.setattr(op07, "STRIP", strip)
         got = {r.vec_id: tuple(r)[1:] for r in range_join(frame_of(spark, rows, number), block=block).collect()}
         assert got == want
 
 
+@pytest.mark.parametrize("pivots", [1, 12])
+@pytest.mark.parametrize("share", [0, 1 / 16, 2])
+def test_two_blocks_in_strips(tmp_path, monkeypatch, pivots, share):
+    monkeypatch.setattr(op07, "STRIP", 9)
+    monkeypatch.setattr(op07, "DENSE", share)  # all, some or no pairs in full at once
+    monkeypatch.setattr(op07, "SEEN_ROWS", 25)
+    monkeypatch.setattr(op07, "SEEN_CELLS", 5)
+    rng = np.random.default_rng(8)
+    vectors = np.concatenate([rng.normal(size=(40, 6)), 1 + rng.normal(scale=0.1, size=(60, 6))])[rng.permutation(100)]
+    space = (op07.units(vectors[:pivots]), op07.fixed(6))
+    cell, copies = op07.nearest(vectors, space[0]), rng.integers(1, 4, 100)
+    blocks = []
+    for number, rows in enumerate((np.arange(55), np.arange(55, 100))):
+        rows = rows[np.argsort(cell[rows], kind="stable")]
+        columns = {"kind": np.zeros(len(rows), np.int64), "cell": cell[rows].astype(np.int32), "node": rows, "copies": copies[rows]}
+        columns |= {"size": np.full(len(rows), 6, np.int32), "raw": op07.binary(vectors[rows])}
+        pq.write_table(pa.table(columns), tmp_path / f"{number}.parquet")
+        blocks += op07.sides_of([f"file:{tmp_path}/{number}.parquet"], lambda size: space)
+    units = op07.units(vectors)
+    linked = units @ units.T >= 0.98
+    np.fill_diagonal(linked, False)
+    got, tied = np.zeros(100, np.int64), []
+    for a, b in ((blocks[0], blocks[0]), (blocks[1], blocks[1]), (blocks[0], blocks[1])):
+        for node, other, links in zip(*(c.to_pylist() for c in op07.links_between(a, b, space[0], 0.98).columns)):
+            got[node] += links
+            tied.append((node, other))
+    assert got.tolist() == (linked @ copies).tolist() and got.max() > 20
+    whole, found = op07.forest(*np.nonzero(linked), 100), op07.forest(*np.array(tied).T, 100)
+    assert whole.tolist() == found.tolist()
+
+
 def test_an_id_with_two_vectors_is_no_link_of_itself(spark):
     rows = [(1, [1.0, 0.0], 0), (1, [1.0, 0.01], 0), (2, [1.0, 0.02], 0), (2, [1.0, 0.02], 0)]
     got = sorted(tuple(r) for r in range_join(frame_of(spark, rows)).collect())
