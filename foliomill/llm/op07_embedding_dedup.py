@@ -299,8 +299,12 @@ def sides_of(files: list[str], space: Callable[[int], tuple[np.ndarray, np.ndarr
         with filesystem.open_input_file(inner) as stream:
             tables.append(pq.ParquetFile(stream).read(columns=["kind", "cell", "node", "copies", "size", "raw"]))
     rows = pa.concat_tables(tables).combine_chunks()
+    # Rows come by kind and cell, unless files are named in another order than that of their ranges.
+    order = np.lexsort([rows.column(name).to_numpy() for name in ("cell", "kind")])
+    if (np.diff(order) != 1).any():
+        rows = rows.take(pa.array(order)).combine_chunks()
     column = {name: rows.column(name).chunk(0).to_numpy() for name in ("kind", "cell", "node", "copies", "size")}
-    kinds, begin = np.unique(column["kind"], return_index=True)  # rows come sorted by kind and cell
+    kinds, begin = np.unique(column["kind"], return_index=True)
     end = np.append(begin[1:], len(rows))
     for k in range(len(kinds)) if wanted is None else [wanted % len(kinds)]:
         cut = slice(begin[k], end[k])
